@@ -20,6 +20,8 @@ from ..functions import rules
 from ..operators.relational import join_slice, with_name
 from ..sources.tables import Tables
 
+MONEY2 = "decimal(18,2)"  # per-line commissions, rounded to cents
+
 OUTPUT = (
     "order_id", "order_date", "product_id", "product_name_nl", "sales_class", "brand", "category",
     "root_category", "qty", "website_id", "status", "channel", "country", "shipping_method",
@@ -54,13 +56,13 @@ def eligible_lines(t: Tables, p: P.MarginParams = P.MarginParams()) -> DataFrame
         rules.country(c("website_id")).alias("country"),
         "shipping_method", "status",
         rules.bol_fixed_commission(c("channel"), c("product_id"), c("line_total"), c("qty"))
-             .alias("bol_fixed_cost_per_product"),
+             .cast(MONEY2).alias("bol_fixed_cost_per_product"),
         rules.bol_variable_commission(c("channel"), c("product_id"), c("line_total"),
-                                      c("commission_percentage")).alias("bol_variable_cost_per_product"),
+                                      c("commission_percentage")).cast(MONEY2).alias("bol_variable_cost_per_product"),
         rules.manomano_commission(c("channel"), c("product_id"), c("brand"), c("line_total_ex_vat"))
-             .alias("ManoMano_marketing_cost_per_product"),
+             .cast(MONEY2).alias("ManoMano_marketing_cost_per_product"),
         rules.amazon_commission(c("channel"), c("product_id"), c("line_total_ex_vat"))
-             .alias("Amazon_marketing_cost_per_product"),
+             .cast(MONEY2).alias("Amazon_marketing_cost_per_product"),
         F.when(c("_spid").isNotNull(), 1).otherwise(0).alias("is_coll_product"),
     )
 
