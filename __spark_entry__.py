@@ -28,52 +28,52 @@ def _tables(spark: SparkSession, sf_dir: str):
     return testdata.load(spark, sf_dir, PR.as_of)
 
 
-# registry key -> (job over Tables, oracle CTE name)
+# registry key -> (job over (Tables, Profile), oracle CTE name)
 JOBS: dict[str, tuple[Callable, str]] = {
     # B1 contribution-margin base and its sub-steps; D8
-    "b1_contribution_margin": (lambda t: margin.contribution_margin(t, PR.margin), "b1"),
-    "b1_eligible_lines": (lambda t: margin.eligible_lines(t, PR.margin), "b1_t1"),
-    "b1_order_rollup": (lambda t: margin.order_rollup(margin.eligible_lines(t, PR.margin)), "b1_t4"),
-    "d8_allocated_shipping_cost": (lambda t: margin.allocated_shipping_cost(t, PR.margin), "d8"),
+    "b1_contribution_margin": (lambda t, pr: margin.contribution_margin(t, pr.margin), "b1"),
+    "b1_eligible_lines": (lambda t, pr: margin.eligible_lines(t, pr.margin), "b1_t1"),
+    "b1_order_rollup": (lambda t, pr: margin.order_rollup(margin.eligible_lines(t, pr.margin)), "b1_t4"),
+    "d8_allocated_shipping_cost": (lambda t, pr: margin.allocated_shipping_cost(t, pr.margin), "d8"),
     # B2 replenishment list and its sub-steps; D9, D10
-    "b2_replenishment_list": (lambda t: replenishment.replenishment_list(t, PR.replenishment), "b2"),
-    "b2_reorder_factors": (lambda t: replenishment.reorder_factors(t, PR.replenishment), "b2_rpf"),
-    "b2_order_counts": (lambda t: replenishment.order_counts(t, PR.replenishment), "b2_oc"),
-    "b2_candidates": (lambda t: replenishment.candidates(t, PR.replenishment).distinct(), "b2_candidates"),
-    "d9_purchase_check": (lambda t: replenishment.purchase_check(t, PR.replenishment), "d9"),
-    "d10_low_stock_report": (lambda t: replenishment.low_stock_report(t, PR.replenishment), "d10"),
+    "b2_replenishment_list": (lambda t, pr: replenishment.replenishment_list(t, pr.replenishment), "b2"),
+    "b2_reorder_factors": (lambda t, pr: replenishment.reorder_factors(t, pr.replenishment), "b2_rpf"),
+    "b2_order_counts": (lambda t, pr: replenishment.order_counts(t, pr.replenishment), "b2_oc"),
+    "b2_candidates": (lambda t, pr: replenishment.candidates(t, pr.replenishment).distinct(), "b2_candidates"),
+    "d9_purchase_check": (lambda t, pr: replenishment.purchase_check(t, pr.replenishment), "d9"),
+    "d10_low_stock_report": (lambda t, pr: replenishment.low_stock_report(t, pr.replenishment), "d10"),
     # B3 stock health, B4 trend, D7 bucket totals
-    "b3_stock_health": (lambda t: stock_health.stock_health(t, PR.stock_health), "b3"),
-    "b3_stock_health_base": (lambda t: stock_health.stock_health_base(t), "b3_t1"),
-    "b4_stock_health_trend": (lambda t: stock_health.stock_health_trend(
-        stock_health.stock_health_snapshots(t), PR.stock_health), "b4"),
-    "d7_bucket_totals": (lambda t: stock_health.bucket_totals(t, PR.stock_health), "d7"),
+    "b3_stock_health": (lambda t, pr: stock_health.stock_health(t, pr.stock_health), "b3"),
+    "b3_stock_health_base": (lambda t, pr: stock_health.stock_health_base(t), "b3_t1"),
+    "b4_stock_health_trend": (lambda t, pr: stock_health.stock_health_trend(
+        stock_health.stock_health_snapshots(t), pr.stock_health), "b4"),
+    "d7_bucket_totals": (lambda t, pr: stock_health.bucket_totals(t, pr.stock_health), "d7"),
     # B5, B6, B7 expected sales
-    "b5_expected_sales_leaf_blowers": (lambda t: expected_sales.seasonal_expected_sales(t, PR.leaf_blower), "b5"),
-    "b6_expected_sales_lamps": (lambda t: expected_sales.seasonal_expected_sales(t, PR.lamps), "b6"),
-    "b7_expected_sales_horizon": (lambda t: expected_sales.horizon_expected_sales(t, PR.horizon), "b7"),
+    "b5_expected_sales_leaf_blowers": (lambda t, pr: expected_sales.seasonal_expected_sales(t, pr.leaf_blower), "b5"),
+    "b6_expected_sales_lamps": (lambda t, pr: expected_sales.seasonal_expected_sales(t, pr.lamps), "b6"),
+    "b7_expected_sales_horizon": (lambda t, pr: expected_sales.horizon_expected_sales(t, pr.horizon), "b7"),
     # B8 shipped child quantities
-    "b8_shipped_child_quantities": (lambda t: bundles.shipped_child_quantities(t, PR.shipped_child), "b8"),
+    "b8_shipped_child_quantities": (lambda t, pr: bundles.shipped_child_quantities(t, pr.shipped_child), "b8"),
     # B9, B10, B11 purchase and stock listings; D4, D5
-    "b9_purchase_value": (lambda t: purchase.purchase_value(t, PR.purchase_value), "b9"),
-    "b10_open_purchase_quantities": (lambda t: purchase.open_purchase_quantities(t), "b10"),
-    "b11_current_stock": (lambda t: purchase.current_stock(t), "b11"),
-    "d4_open_purchase_values": (lambda t: purchase.open_purchase_values(t), "d4"),
-    "d5_stock_value_totals": (lambda t: purchase.stock_value_totals(t), "d5"),
+    "b9_purchase_value": (lambda t, pr: purchase.purchase_value(t, pr.purchase_value), "b9"),
+    "b10_open_purchase_quantities": (lambda t, pr: purchase.open_purchase_quantities(t), "b10"),
+    "b11_current_stock": (lambda t, pr: purchase.current_stock(t), "b11"),
+    "d4_open_purchase_values": (lambda t, pr: purchase.open_purchase_values(t), "d4"),
+    "d5_stock_value_totals": (lambda t, pr: purchase.stock_value_totals(t), "d5"),
     # B12 out-of-stock base, D3; B14 stock development, D6
-    "b12_out_of_stock_base": (lambda t: history.out_of_stock_base(t, PR.out_of_stock), "b12"),
-    "d3_out_of_stock_percentage": (lambda t: history.out_of_stock_percentage(t, PR.out_of_stock), "d3"),
-    "b14_stock_development": (lambda t: history.stock_development(t), "b14"),
-    "d6_stock_value_per_class": (lambda t: history.stock_value_per_class(t), "d6"),
+    "b12_out_of_stock_base": (lambda t, pr: history.out_of_stock_base(t, pr.out_of_stock), "b12"),
+    "d3_out_of_stock_percentage": (lambda t, pr: history.out_of_stock_percentage(t, pr.out_of_stock), "d3"),
+    "b14_stock_development": (lambda t, pr: history.stock_development(t), "b14"),
+    "d6_stock_value_per_class": (lambda t, pr: history.stock_value_per_class(t), "d6"),
     # B13 shipping-time base, D1, D2
-    "b13_shipping_lines": (lambda t: shipping.shipping_lines(t, PR.shipping_time), "b13"),
-    "d1_class_shares": (lambda t: shipping.class_shares(t, PR.shipping_time), "d1"),
-    "d2_shipped_within": (lambda t: shipping.shipped_within(t, PR.shipping_time), "d2"),
+    "b13_shipping_lines": (lambda t, pr: shipping.shipping_lines(t, pr.shipping_time), "b13"),
+    "d1_class_shares": (lambda t, pr: shipping.class_shares(t, pr.shipping_time), "d1"),
+    "d2_shipped_within": (lambda t, pr: shipping.shipped_within(t, pr.shipping_time), "d2"),
 }
 
 
 def _runner(job: Callable) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: job(_tables(spark, sf_dir))
+    return lambda spark, sf_dir: job(_tables(spark, sf_dir), PR)
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -23,16 +23,24 @@ def not_in(df: DataFrame, key: str, subquery: DataFrame, sub_key: str) -> DataFr
     SQL ``NOT IN`` is null-aware: one NULL in the subquery removes every row, and a
     NULL key is removed unless the subquery is empty. Spark plans a null-aware anti
     join only as a broadcast; beyond the broadcast limit it falls back to a nested-loop
-    join. Here the two null rules are two scalar subqueries (one number each) and the
-    exclusion itself is an ordinary hash anti join on non-null keys, which is
-    broadcast or shuffled by size like any other join.
+    join. Here:
+
+    * one scalar subquery classifies the subquery as empty (0), without NULLs (1) or
+      with a NULL (2); rows are kept only when it is not 2. The predicate names no
+      column, so Catalyst does not copy it into every table joined on the key;
+    * the exclusion is a hash anti join with null-safe equality against the non-null
+      values plus one NULL row when the subquery is not empty (``limit(1)``), which
+      removes NULL keys exactly when SQL does. It is broadcast or shuffled by size
+      like any other join.
     """
     values = subquery.select(F.col(sub_key).alias("_nin_key"))
-    n_all = values.select(F.count(F.lit(1))).scalar()
-    n_null = values.where(F.col("_nin_key").isNull()).select(F.count(F.lit(1))).scalar()
-    kept = df.where((n_all == 0) | (F.col(key).isNotNull() & (n_null == 0)))
-    non_null = values.where(F.col("_nin_key").isNotNull())
-    return kept.join(non_null, kept[key] == non_null["_nin_key"], "left_anti")
+    rows, non_nulls = F.count(F.lit(1)), F.count(F.col("_nin_key"))
+    mode = values.select(F.when(rows == 0, 0).when(non_nulls == rows, 1).otherwise(2)).scalar()
+    kept = df.where(mode != 2)
+    key_type = values.schema["_nin_key"].dataType
+    build = values.where(F.col("_nin_key").isNotNull()).unionByName(
+        values.limit(1).select(F.lit(None).cast(key_type).alias("_nin_key")))
+    return kept.join(build, kept[key].eqNullSafe(build["_nin_key"]), "left_anti")
 
 
 def exclude_parents(df: DataFrame, set_items: DataFrame, key: str = "product_id") -> DataFrame:

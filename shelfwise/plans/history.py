@@ -46,21 +46,26 @@ def eligible_for_out_of_stock(t: Tables, p: P.OutOfStockParams) -> DataFrame:
 
 
 def out_of_stock_base(t: Tables, p: P.OutOfStockParams) -> DataFrame:
-    """Daily stock of the followed products over the last ``history_days`` days."""
+    """Daily stock of the followed products over the last ``history_days`` days.
+
+    The report de-duplicates its output rows. An output row is a history row joined on
+    product_id to one product row, and both are projections of the output row, so
+    de-duplicating the two sides separately gives the same set: the shuffle for it
+    carries the narrow history columns only, and the product side is small.
+    """
     since = p.as_of - dt.timedelta(days=p.history_days)
-    hist = t.product_history.where(F.col("date") >= F.lit(since))
-    eligible = eligible_for_out_of_stock(t, p).withColumnRenamed("product_id", "_epid")
+    eligible = eligible_for_out_of_stock(t, p).withColumnRenamed("product_id", "_epid").distinct()
+    followed = eligible.select(F.col("_epid").alias("_fpid"))
+    hist = (t.product_history.where(F.col("date") >= F.lit(since))
+            .join(followed, F.col("product_id") == followed._fpid, "left_semi")
+            .select("product_id", "date",
+                    F.coalesce(F.col("stock_magento"), F.lit(0).cast("long")).alias("STOCK_MAGENTO"),
+                    "cost_net")
+            .distinct())
     joined = hist.join(eligible, hist.product_id == eligible._epid, "inner")
     return joined.select(
-        F.col("product_id").alias("PRODUCT_ID"),
-        "date",
-        "BRAND",
-        "CATEGORY",
-        "ROOT_CATEGORY",
-        F.coalesce(F.col("stock_magento"), F.lit(0).cast("long")).alias("STOCK_MAGENTO"),
-        "cost_net",
-        "SALES_CLASS_YEAR",
-    ).distinct()
+        F.col("product_id").alias("PRODUCT_ID"), "date", "BRAND", "CATEGORY", "ROOT_CATEGORY",
+        "STOCK_MAGENTO", "cost_net", "SALES_CLASS_YEAR")
 
 
 def out_of_stock_percentage(t: Tables, p: P.OutOfStockParams) -> DataFrame:
@@ -73,23 +78,34 @@ def out_of_stock_percentage(t: Tables, p: P.OutOfStockParams) -> DataFrame:
 
 
 def stock_development(t: Tables, sort: bool = True) -> DataFrame:
-    """Daily stock value of stocked non-parent products with current dimensions."""
+    """Daily stock value of stocked non-parent products with current dimensions.
+
+    As in B12, the de-duplication is applied to each side of the product_id joins (the
+    narrow history rows, and every product-level lookup after projection) instead of
+    to the wide output rows; the joins then cannot create duplicates.
+    """
     hist = exclude_parents(t.product_history.where(F.col("stock_magento") > 0), t.set_items)
+    value = F.when(F.col("stock_magento") > 0, F.col("cost_net") * F.col("stock_magento")).otherwise(F.lit(0))
+    hist = hist.select(
+        "product_id", F.col("date").alias("DATE"), F.col("cost_net").alias("PER_UNIT_COST"),
+        F.col("stock_magento").alias("STOCK_MAGENTO"),
+        F.round(value, 2).cast("decimal(18,2)").alias("STOCK_VALUE"),
+    ).distinct()
     prods = t.products.select(F.col("product_id").alias("_ppid"), "manufacturer_id", "main_category_id")
     prods = with_name(prods, t.manufacturers, "manufacturer_id", "manufacturer_id", "BRAND")
-    prods = with_categories(prods, t.categories).drop("manufacturer_id", "main_category_id")
+    prods = with_categories(prods, t.categories).select("_ppid", "BRAND", "CATEGORY", "ROOT_CATEGORY").distinct()
     df = hist.join(prods, hist.product_id == prods._ppid, "left").drop("_ppid")
-    labels = t.product_labels.select(F.col("product_id").alias("_lpid"), F.col("label").alias("_label"))
+    labels = t.product_labels.select(F.col("product_id").alias("_lpid"),
+                                     F.coalesce(F.col("label"), F.lit("NONE")).alias("_label")).distinct()
     df = df.join(labels, df.product_id == labels._lpid, "left").drop("_lpid")
     df = membership_flag(df, t.clearance_products_hist, "IS_SUPER_SALES_ITEM")
     cls = class_wide(t.classifications, [(P.YEAR_SALES, "label", "SALES_CLASS_YEAR"),
                                          (P.D42_SALES, "label", "SALES_CLASS_LAST_42_DAYS")])
     cls = cls.withColumnRenamed("product_id", "_cpid")
     df = df.join(cls, df.product_id == cls._cpid, "left").drop("_cpid")
-    value = F.when(F.col("stock_magento") > 0, F.col("cost_net") * F.col("stock_magento")).otherwise(F.lit(0))
     out = df.select(
         F.col("product_id").alias("PRODUCT_ID"),
-        F.col("date").alias("DATE"),
+        "DATE",
         "SALES_CLASS_YEAR",
         "SALES_CLASS_LAST_42_DAYS",
         "BRAND",
@@ -97,10 +113,10 @@ def stock_development(t: Tables, sort: bool = True) -> DataFrame:
         "ROOT_CATEGORY",
         F.coalesce(F.col("_label"), F.lit("NONE")).alias("LABEL"),
         "IS_SUPER_SALES_ITEM",
-        F.col("cost_net").alias("PER_UNIT_COST"),
-        F.col("stock_magento").alias("STOCK_MAGENTO"),
-        F.round(value, 2).cast("decimal(18,2)").alias("STOCK_VALUE"),
-    ).distinct()
+        "PER_UNIT_COST",
+        "STOCK_MAGENTO",
+        "STOCK_VALUE",
+    )
     return out.orderBy(F.col("STOCK_VALUE").desc()) if sort else out
 
 
