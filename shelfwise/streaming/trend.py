@@ -1,0 +1,40 @@
+"""The stock-health trend (B4) as an incremental Structured Streaming job.
+
+The trend report reads a snapshot table that grows by one partition per day. The
+trend rows are a pure per-row projection of the snapshot rows (no state, no
+aggregation), so the job is a file-source stream over the snapshot folder with the
+same ``stock_health_trend`` projection, written in append mode to a Parquet sink.
+The checkpoint records which snapshot files were processed: each new day is read
+once, a failed micro-batch is re-run from the checkpoint, and the file sink commits
+exactly once.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from ..conf import ensure_checkpoint_dir
+from ..params import StockHealthParams
+from ..plans.stock_health import stock_health_trend
+from ..sources.snapshots import PARTITION
+
+
+def start_trend_stream(spark: SparkSession, snapshots_path: str, output_path: str,
+                       schema: StructType, checkpoint_location: str | None = None,
+                       available_now: bool = True, max_files_per_trigger: int | None = None,
+                       params: StockHealthParams = StockHealthParams()) -> StreamingQuery:
+    """Start the trend stream. ``available_now`` processes every unseen snapshot file
+    and stops (a scheduled daily run); otherwise it keeps polling for new files."""
+    if checkpoint_location is None:
+        checkpoint_location = ensure_checkpoint_dir(spark).rstrip("/") + "/stock-health-trend-stream"
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    trend = stock_health_trend(reader.parquet(snapshots_path), params)
+    writer = (trend.writeStream.format("parquet").outputMode("append")
+              .option("path", output_path).option("checkpointLocation", checkpoint_location)
+              .partitionBy(PARTITION))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()
