@@ -29,17 +29,18 @@ def not_in(df: DataFrame, key: str, subquery: DataFrame, sub_key: str) -> DataFr
       with a NULL (2); rows are kept only when it is not 2. The predicate names no
       column, so Catalyst does not copy it into every table joined on the key;
     * the exclusion is a hash anti join with null-safe equality against the non-null
-      values plus one NULL row when the subquery is not empty (``limit(1)``), which
-      removes NULL keys exactly when SQL does. It is broadcast or shuffled by size
-      like any other join.
+      values plus one NULL row when the subquery is not empty (the same scalar decides
+      it), which removes NULL keys exactly when SQL does. It is broadcast or shuffled
+      by size like any other join.
     """
     values = subquery.select(F.col(sub_key).alias("_nin_key"))
     rows, non_nulls = F.count(F.lit(1)), F.count(F.col("_nin_key"))
     mode = values.select(F.when(rows == 0, 0).when(non_nulls == rows, 1).otherwise(2)).scalar()
     kept = df.where(mode != 2)
     key_type = values.schema["_nin_key"].dataType
-    build = values.where(F.col("_nin_key").isNotNull()).unionByName(
-        values.limit(1).select(F.lit(None).cast(key_type).alias("_nin_key")))
+    null_row = (df.sparkSession.range(1).where(mode != 0)
+                .select(F.lit(None).cast(key_type).alias("_nin_key")))
+    build = values.where(F.col("_nin_key").isNotNull()).unionByName(null_row)
     return kept.join(build, kept[key].eqNullSafe(build["_nin_key"]), "left_anti")
 
 

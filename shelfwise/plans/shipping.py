@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -39,27 +39,22 @@ def class_shares(t: Tables, p: P.ShippingTimeParams) -> DataFrame:
     """Revenue, distinct products and distinct orders per sales class, and each as a
     share of the total over all classes.
 
-    One pass: ``rollup`` produces the per-class rows and the grand total together; the
-    total row is spread to the class rows by a window over the aggregated result,
-    which has one row per class (bounded by the number of classes).
+    The totals are one scalar subquery returning a struct (one global aggregate, whose
+    distinct counts are partially aggregated before their shuffle), so no window or
+    join moves the per-class rows to one task.
     """
     lines = shipping_lines(t, p)
-    agg = lines.rollup("sales_class").agg(
-        F.grouping_id().alias("_g"),
-        F.sum("line_total_ex_vat").cast("decimal(38,4)").alias("REVENUE"),
-        F.countDistinct("product_id").alias("N_PRODUCTS"),
-        F.countDistinct("ORDER_ID").alias("N_ORDERS"),
-    )
-    everything = Window.partitionBy()
-    total = {c: F.max(F.when(F.col("_g") == 1, F.col(c))).over(everything)
-             for c in ("REVENUE", "N_PRODUCTS", "N_ORDERS")}
-    return agg.select(
+    measures = [F.sum("line_total_ex_vat").cast("decimal(38,4)").alias("REVENUE"),
+                F.countDistinct("product_id").alias("N_PRODUCTS"),
+                F.countDistinct("ORDER_ID").alias("N_ORDERS")]
+    per_class = lines.groupBy("sales_class").agg(*measures)
+    total = lines.agg(*measures).select(F.struct("REVENUE", "N_PRODUCTS", "N_ORDERS")).scalar()
+    return per_class.select(
         "sales_class", "REVENUE", "N_PRODUCTS", "N_ORDERS",
-        safe_ratio(F.col("REVENUE"), total["REVENUE"]).alias("REVENUE_SHARE"),
-        safe_ratio(F.col("N_PRODUCTS"), total["N_PRODUCTS"]).alias("PRODUCT_SHARE"),
-        safe_ratio(F.col("N_ORDERS"), total["N_ORDERS"]).alias("ORDER_SHARE"),
-        "_g",
-    ).where(F.col("_g") == 0).drop("_g")
+        safe_ratio(F.col("REVENUE"), total.getField("REVENUE")).alias("REVENUE_SHARE"),
+        safe_ratio(F.col("N_PRODUCTS"), total.getField("N_PRODUCTS")).alias("PRODUCT_SHARE"),
+        safe_ratio(F.col("N_ORDERS"), total.getField("N_ORDERS")).alias("ORDER_SHARE"),
+    )
 
 
 def shipped_within(t: Tables, p: P.ShippingTimeParams) -> DataFrame:
