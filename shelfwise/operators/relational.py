@@ -44,6 +44,20 @@ def not_in(df: DataFrame, key: str, subquery: DataFrame, sub_key: str) -> DataFr
     return kept.join(build, kept[key].eqNullSafe(build["_nin_key"]), "left_anti")
 
 
+def not_in_all(df: DataFrame, key: str, subqueries: Sequence[tuple[DataFrame, str]]) -> DataFrame:
+    """``key NOT IN (s1) AND key NOT IN (s2) AND ...`` as one ``NOT IN (s1 UNION ALL s2 ...)``.
+
+    The two are the same under SQL's null rules: a NULL in any list removes every row;
+    a NULL key survives only when every list is empty; otherwise it is membership in
+    the union. One test instead of several saves a scalar subquery per list.
+    """
+    union = None
+    for sub, col in subqueries:
+        part = sub.select(F.col(col).alias("_nin_any"))
+        union = part if union is None else union.unionByName(part)
+    return not_in(df, key, union, "_nin_any")
+
+
 def exclude_parents(df: DataFrame, set_items: DataFrame, key: str = "product_id") -> DataFrame:
     """``key NOT IN (SELECT parent_product_id FROM set_items)``."""
     return not_in(df, key, set_items, "parent_product_id")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..operators.relational import (
-    class_slice, class_wide, exclude_parents, membership_flag, not_in_list, with_categories, with_name,
+    class_slice, class_wide, exclude_parents, membership_flag, not_in_all, with_categories, with_name,
 )
 from ..sources.tables import Tables
 
@@ -30,9 +30,9 @@ def eligible_for_out_of_stock(t: Tables, p: P.OutOfStockParams) -> DataFrame:
     row of the product matches once the yearly sales row exists.
     """
     prods = t.products.where(F.col("status") != P.HIDDEN_STATUS)
-    prods = exclude_parents(prods, t.set_items)
-    prods = not_in_list(prods, t.auto_disable_products)
-    prods = not_in_list(prods, t.clearance_products)
+    prods = not_in_all(prods, "product_id", [(t.set_items, "parent_product_id"),
+                                             (t.auto_disable_products, "product_id"),
+                                             (t.clearance_products, "product_id")])
     prods = with_name(prods, t.suppliers, "supplier_id", "default_supplier_id", "_supplier")
     prods = prods.where(F.col("_supplier") != P.EOL_SUPPLIER)
     prods = with_name(prods, t.manufacturers, "manufacturer_id", "manufacturer_id", "BRAND")

@@ -15,7 +15,9 @@ import pytest
 from conftest import frame
 from pyspark.sql import functions as F
 
-from shelfwise.operators.relational import OPEN_PO_ALL, class_wide, exclude_parents, not_in, with_open_po
+from shelfwise.operators.relational import (
+    OPEN_PO_ALL, class_wide, exclude_parents, not_in, not_in_all, with_open_po,
+)
 
 SEEDS = range(8)
 
@@ -42,6 +44,24 @@ def test_not_in_matches_sql(spark, seed):
     assert rows_of(not_in(left, "k", sub, "s")) == expected
 
 
+@pytest.mark.parametrize("seed", SEEDS)
+def test_not_in_all_matches_conjunction_of_not_ins(spark, seed):
+    rng = random.Random(100 + seed)
+    left = spark.createDataFrame([(maybe(rng, rng.randint(0, 9)), i) for i in range(12)], "k long, i long")
+    subs = []
+    for j in range(3):
+        empty = rng.random() < 0.3
+        with_null = rng.random() < 0.2
+        rows = [] if empty else [(maybe(rng, rng.randint(0, 9), 0.5 if with_null else 0.0),) for _ in range(3)]
+        sub = spark.createDataFrame(rows, "s long")
+        sub.createOrReplaceTempView(f"s{j}_all")
+        subs.append((sub, "s"))
+    left.createOrReplaceTempView("l_all")
+    expected = rows_of(spark.sql("SELECT * FROM l_all WHERE k NOT IN (SELECT s FROM s0_all) "
+                                 "AND k NOT IN (SELECT s FROM s1_all) AND k NOT IN (SELECT s FROM s2_all)"))
+    assert rows_of(not_in_all(left, "k", subs)) == expected
+
+
 def random_po(spark, rng, n_products=6):
     rows = [dict(product_id=maybe(rng, rng.randint(1, n_products), 0.1), qty=maybe(rng, rng.randint(-5, 20), 0.1),
                  status_id=rng.choice([2, 3, 4, 5, 6]),
