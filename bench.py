@@ -11,6 +11,7 @@ to the driver); the median is reported. ``value`` is the sum of the medians.
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import statistics
@@ -52,11 +53,53 @@ def run_once(df) -> float:
     return time.perf_counter() - t0
 
 
+def _event_lines(path: str):
+    """Lines of one (possibly zstd-compressed) rolling event-log file."""
+    if path.endswith(".zstd"):
+        import io
+
+        import zstandard
+        with open(path, "rb") as fh:
+            reader = zstandard.ZstdDecompressor().stream_reader(fh)
+            yield from io.TextIOWrapper(reader, encoding="utf-8")
+    else:
+        with open(path, encoding="utf-8") as fh:
+            yield from fh
+
+
+def shuffle_bytes_by_group(event_dir: str) -> dict[str, int]:
+    """Shuffle bytes written per job group, summed over the task-end events of Spark's
+    event log (each timed job runs under a job group named after its query)."""
+    stage_group: dict[int, str] = {}
+    written: dict[str, int] = {}
+    for path in sorted(glob.glob(os.path.join(event_dir, "**", "events_*"), recursive=True)):
+        for line in _event_lines(path):
+            if line.strip():
+                event = json.loads(line)
+                kind = event.get("Event")
+                if kind == "SparkListenerJobStart":
+                    group = (event.get("Properties") or {}).get("spark.jobGroup.id")
+                    if group:
+                        for stage in event.get("Stage IDs", []):
+                            stage_group[stage] = group
+                elif kind == "SparkListenerTaskEnd":
+                    group = stage_group.get(event.get("Stage ID"))
+                    metrics = event.get("Task Metrics") or {}
+                    moved = (metrics.get("Shuffle Write Metrics") or {}).get("Shuffle Bytes Written", 0)
+                    if group and moved:
+                        written[group] = written.get(group, 0) + moved
+    return written
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     only = [k for k in os.environ.get("BENCH_ONLY", "").split(",") if k]
+    scratch = os.environ.get("BENCH_SCRATCH") or f"/tmp/shelfwise-bench-{uuid.uuid4().hex[:8]}"
+    event_dir = os.path.join(scratch, "events")
+    os.makedirs(event_dir, exist_ok=True)
+    os.environ["SHELFWISE_EVENT_LOG_DIR"] = event_dir
     spark = local_session(cores=cpus, shuffle_partitions=max(8, 2 * cpus), app="shelfwise-bench")
     root = os.environ.get("BENCH_WAREHOUSE") or os.path.join(ensure_checkpoint_dir(spark),
                                                              f"bench-warehouse-{uuid.uuid4().hex[:8]}")
@@ -69,8 +112,13 @@ def main() -> None:
         if only and key not in only:
             continue
         run_once(job(tables))
+        spark.sparkContext.setJobGroup(key, key)
         timings[key] = round(statistics.median(run_once(job(tables)) for _ in range(runs)), 3)
+        spark.sparkContext.setJobGroup("idle", "idle")
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
+    conf = {"spark": spark.version, "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions")}
+    spark.stop()
+    shuffled = shuffle_bytes_by_group(event_dir)
     print(json.dumps({
         "metric": "sum_of_median_job_seconds",
         "value": round(sum(timings.values()), 3),
@@ -80,10 +128,9 @@ def main() -> None:
         "cpus": cpus,
         "runs": runs,
         "prepare_warehouse_sec": round(prepare, 3),
-        "spark": spark.version,
-        "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
+        "shuffle_bytes_per_run": {k: shuffled.get(k, 0) // runs for k in timings},
+        **conf,
     }))
-    spark.stop()
 
 
 if __name__ == "__main__":

@@ -57,6 +57,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
     for key, value in {**CORRECTNESS_CONF, **SCALE_CONF}.items():
         builder = builder.config(key, value)
+    event_dir = os.environ.get("SHELFWISE_EVENT_LOG_DIR")
+    if event_dir:  # stage and task metrics for the bench, read back from the files
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -90,7 +90,14 @@ def stock_development(t: Tables, sort: bool = True) -> DataFrame:
         "product_id", F.col("date").alias("DATE"), F.col("cost_net").alias("PER_UNIT_COST"),
         F.col("stock_magento").alias("STOCK_MAGENTO"),
         F.round(value, 2).cast("decimal(18,2)").alias("STOCK_VALUE"),
-    ).distinct()
+    )
+    if sort:
+        # Equal rows have equal STOCK_VALUE, so ranges of STOCK_VALUE are also a valid
+        # partitioning for the de-duplication: one shuffle of the narrow history rows
+        # serves the distinct and the report's sort (the lookups below are broadcast
+        # joins, which keep the partitioning; otherwise Spark adds the exchanges it needs).
+        hist = hist.repartitionByRange(F.col("STOCK_VALUE").desc())
+    hist = hist.distinct()
     prods = t.products.select(F.col("product_id").alias("_ppid"), "manufacturer_id", "main_category_id")
     prods = with_name(prods, t.manufacturers, "manufacturer_id", "manufacturer_id", "BRAND")
     prods = with_categories(prods, t.categories).select("_ppid", "BRAND", "CATEGORY", "ROOT_CATEGORY").distinct()

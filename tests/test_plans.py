@@ -80,3 +80,21 @@ def test_margin_pre_aggregates_before_the_order_shuffle(spark, capsys, warehouse
     plan = plan_of(margin.contribution_margin(warehouse, PR.margin), capsys)
     assert re.search(r"Keys \[3\]: \[order_id#\d+L, website_id#\d+, shipping_method#\d+\]\n"
                      r"Functions \[3\]: \[partial_sum", plan)
+
+
+SORTED = {
+    "b2_replenishment_list": "ORDER_QTY", "b3_stock_health": "STOCK_VALUE",
+    "b5_expected_sales_leaf_blowers": "ORDER_VALUE", "b6_expected_sales_lamps": "ORDER_VALUE",
+    "b7_expected_sales_horizon": "ORDER_VALUE", "b8_shipped_child_quantities": "quantity_sold",
+    "b14_stock_development": "STOCK_VALUE", "d10_low_stock_report": "LOW_STOCK_PERCENTAGE_DAYS",
+}
+
+
+@pytest.mark.parametrize("key", sorted(SORTED))
+def test_reports_come_out_in_report_order(spark, warehouse, key):
+    """Descending by the report's sort column, NULLs last (the oracle compare ignores order)."""
+    job, _ = E.JOBS[key]
+    values = [r[SORTED[key]] for r in job(warehouse, PR).collect()]
+    present = [v for v in values if v is not None]
+    assert values[:len(present)] == present, "NULLs must come last"
+    assert all(a >= b for a, b in zip(present, present[1:]))
