@@ -119,6 +119,7 @@ def adapter_ctes(as_of: dt.date) -> dict[str, str]:
         "clearance_products": "SELECT p_partkey + 1 AS product_id FROM part WHERE (p_partkey + 1) % 29 = 0",
         "clearance_products_hist": "SELECT p_partkey + 1 AS product_id FROM part WHERE (p_partkey + 1) % 31 = 0",
         "auto_disable_products": "SELECT p_partkey + 1 AS product_id FROM part WHERE (p_partkey + 1) % 37 = 0",
+        "bf_assortment_sales": "SELECT p_partkey + 1 AS product_id FROM part WHERE (p_partkey + 1) % 47 = 0",
         "separate_parcel_products": "SELECT p_partkey + 1 AS product_id FROM part WHERE (p_partkey + 1) % 5 = 0",
         "min_order_qty": """
             SELECT p_partkey + 1 AS product_id, CAST(2.5 AS DOUBLE) AS minimum_qty

@@ -114,12 +114,17 @@ def rounded_mean_floor(mean: Column) -> Column:
     return F.when(mean <= 0, F.lit(0.0)).otherwise(round_half_away(mean, 2))
 
 
-def sales_rate(year_class: Column, label: Column, mean7: Column, mean42: Column) -> Column:
-    """Daily sales rate used for the order quantity (class dependent)."""
+def sales_rate(year_class: Column, label: Column, mean7: Column, mean42: Column,
+               rate_rule: str = "max_7_42") -> Column:
+    """Daily sales rate used for the order quantity (class dependent).
+
+    ``rate_rule`` "max_7_42" (default) takes the larger of the 7- and 42-day means for
+    A+, A and B; "42_only" takes the 42-day mean for them too.
+    """
     top = round_half_away(greatest_strict(mean7, mean42), 2)
     m42 = round_half_away(mean42, 2)
-    positive_top = F.when(top > 0, top).otherwise(F.lit(0.0))
     positive_42 = F.when(m42 > 0, m42).otherwise(F.lit(0.0))
+    positive_top = positive_42 if rate_rule == "42_only" else F.when(top > 0, top).otherwise(F.lit(0.0))
     return (F.when(year_class.isin(*P.MAX_RATE_CLASSES), positive_top)
             .when(year_class == "C", positive_42)
             .when((year_class == "D") & (label == P.NEW_LABEL), positive_42)
@@ -147,7 +152,7 @@ def corrected_lead_time(raw_factor: Column, supplier: Column, p: P.Replenishment
     """Lead days times the reorder factor; the raw (not defaulted) factor decides."""
     scaled = (F.when(supplier.isin(*P.FAST_SUPPLIERS), p.fast_supplier_lead_days * raw_factor)
               .otherwise(p.lead_days * raw_factor))
-    return F.when(raw_factor.isNotNull(), scaled).otherwise(F.lit(float(p.lead_days)))
+    return F.when(raw_factor.isNotNull(), scaled).otherwise(F.lit(float(p.no_factor_lead_days)))
 
 
 def reorder_point(year_class: Column, lead_time: Column, avg42: Column) -> Column:

@@ -83,9 +83,13 @@ class ReplenishmentParams:
     fast_supplier_order_days: int = 10
     class_order_days: tuple = (("A+", 14), ("A", 14), ("B", 7), ("C", 7))
     new_d_order_days: int = 7
-    fast_supplier_lead_days: int = 10
-    lead_days: int = 14
-    check_max_orders: int = 3        # purchase CHECK flag: fewer orders than this
+    fast_supplier_lead_days: int = 10  # alternative in the report: 5
+    lead_days: int = 14                # alternative in the report: 28
+    no_factor_lead_days: int = 14      # lead time when a product has no reorder factor
+    check_max_orders: int = 3          # purchase CHECK flag: fewer orders than this
+    # Alternatives the report keeps commented out:
+    rate_rule: str = "max_7_42"        # "42_only": A+/A/B use the 42-day mean alone
+    exclude_black_friday: bool = False # class arm skips products in bf_assortment_sales
 
 
 @dataclass(frozen=True)
@@ -101,6 +105,9 @@ class SeasonParams:
     months: tuple
     category_patterns: tuple
     days_in_season: int
+    # Alternative the report keeps commented out: drop end-of-life suppliers and
+    # rows with nothing to order.
+    only_orderable: bool = False
 
 
 # Seasonal expected sales, one category (leaf blowers), 2021 September-December / 121 days.
@@ -170,10 +177,11 @@ class Profile:
     horizon: HorizonParams = field(default_factory=HorizonParams)
     shipped_child: ShippedChildParams = field(default_factory=ShippedChildParams)
     purchase_value: PurchaseValueParams = field(default_factory=PurchaseValueParams)
+    replenishment_options: dict = field(default_factory=dict)  # ReplenishmentParams overrides
 
     @property
     def replenishment(self) -> ReplenishmentParams:
-        return ReplenishmentParams(as_of=self.as_of)
+        return ReplenishmentParams(as_of=self.as_of, **self.replenishment_options)
 
     @property
     def out_of_stock(self) -> OutOfStockParams:

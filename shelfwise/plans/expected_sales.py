@@ -66,6 +66,8 @@ def seasonal_expected_sales(t: Tables, s: P.SeasonParams, sort: bool = True) ->
     out = out.select("PRODUCT_ID", "DESCRIPTION", "BRAND", "DEFAULT_SUPPLIER", "CATEGORY", "ROOT_CATEGORY",
                      "COST_PER_UNIT", "STOCK_MAGENTO", "TOTAL_QTY_SOLD_2021", "AVG_SALES_PER_DAY",
                      "CONFIRMED", "BACKORDER", "ORDER_QTY", "ORDER_VALUE")
+    if s.only_orderable:
+        out = out.where((F.col("DEFAULT_SUPPLIER") != P.EOL_SUPPLIER) & (F.col("ORDER_QTY") > 0))
     return out.orderBy(F.col("ORDER_VALUE").desc()) if sort else out
 
 

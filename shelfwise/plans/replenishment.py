@@ -11,7 +11,8 @@ from .. import params as P
 from ..functions import rules
 from ..functions.exprs import round_half_away, to_int_half_away, yes_no
 from ..operators.relational import (
-    OPEN_PO_ALL, class_wide, exclude_parents, membership_flag, with_categories, with_name, with_open_po,
+    OPEN_PO_ALL, class_wide, exclude_parents, membership_flag, with_categories, with_name,
+    with_not_in_truth, with_open_po,
 )
 from ..sources.tables import Tables
 
@@ -94,9 +95,12 @@ def candidates(t: Tables, p: P.ReplenishmentParams) -> DataFrame:
     df = df.join(cls, df.product_id == cls._cpid, "left").drop("_cpid")
     df = with_categories(df, t.categories)
     klass, label = F.col("SALES_CLASS"), F.col("_label")
-    keep = (klass.isin(*P.REORDER_CLASSES) | ((klass == "D") & (F.col("stock_magento") < 0))
-            | (label == P.NEW_LABEL))
-    df = df.where(keep)
+    class_rule = klass.isin(*P.REORDER_CLASSES) | ((klass == "D") & (F.col("stock_magento") < 0))
+    if p.exclude_black_friday:
+        # the report's commented-out line adds "not a Black Friday product" to the class arm
+        df = with_not_in_truth(df, "product_id", t.bf_assortment_sales, "product_id", "_not_bf")
+        class_rule = F.col("_not_bf") & class_rule
+    df = df.where(class_rule | (label == P.NEW_LABEL))
     return df.select(
         F.col("product_id").alias("PRODUCT_ID"),
         "SALES_CLASS",
@@ -120,7 +124,7 @@ def candidates(t: Tables, p: P.ReplenishmentParams) -> DataFrame:
         rules.rounded_mean_floor(F.col("_m7")).alias("AVG_SALES_LAST_7_DAYS"),
         rules.rounded_mean_floor(F.col("_m42")).alias("AVG_SALES_LAST_42_DAYS"),
         rules.rounded_mean_floor(F.col("_m365")).alias("AVG_SALES_LAST_365_DAYS"),
-        rules.sales_rate(klass, label, F.col("_m7"), F.col("_m42")).alias("AVG_SALES_QTY"),
+        rules.sales_rate(klass, label, F.col("_m7"), F.col("_m42"), p.rate_rule).alias("AVG_SALES_QTY"),
         F.col("stock_magento").alias("STOCK_MAGENTO"),
         F.coalesce(F.col("total_order_last_90_days"), F.lit(0).cast("long")).alias("TOTAL_ORDER_LAST_90_DAYS"),
         rules.order_days(F.col("status"), F.col("_supplier"), klass, label, p).alias("ORDER_DAYS"),

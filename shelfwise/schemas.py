@@ -72,6 +72,7 @@ TABLES = {
     "clearance_products": PRODUCT_LIST,
     "clearance_products_hist": PRODUCT_LIST,
     "auto_disable_products": PRODUCT_LIST,
+    "bf_assortment_sales": PRODUCT_LIST,
     "separate_parcel_products": PRODUCT_LIST,
     "min_order_qty": MIN_ORDER_QTY,
     "min_desired_qty": MIN_DESIRED_QTY,

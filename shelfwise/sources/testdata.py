@@ -205,8 +205,8 @@ def channel_commission(part: DataFrame) -> DataFrame:
 def classifications(lines: DataFrame, as_of: dt.date) -> DataFrame:
     """Per (product, period, type): sales sum, daily mean and A+..D label.
 
-    One scan of the last year of lines with conditional sums per period, then the
-    six (period, type) rows per product are produced with ``stack``.
+    One scan of the last year of lines with conditional sums per period; the six
+    (period, type) rows per product come from one ``explode`` of an array of structs.
     """
     day = F.to_date(F.col("order_date"))
     year_from = as_of - dt.timedelta(days=365)
@@ -292,6 +292,7 @@ def load(spark: SparkSession, sf_dir: str, as_of: dt.date = TESTDATA_AS_OF) -> T
         "clearance_products": lambda: _product_list(part(), 29, "clearance_products"),
         "clearance_products_hist": lambda: _product_list(part(), 31, "clearance_products_hist"),
         "auto_disable_products": lambda: _product_list(part(), 37, "auto_disable_products"),
+        "bf_assortment_sales": lambda: _product_list(part(), 47, "bf_assortment_sales"),
         "separate_parcel_products": lambda: _product_list(part(), 5, "separate_parcel_products"),
         "min_order_qty": lambda: _product_list(part(), 41, "min_order_qty", minimum_qty=2.5),
         "min_desired_qty": lambda: _product_list(part(), 43, "min_desired_qty", minimum_desired_qty=4),

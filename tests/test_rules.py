@@ -165,3 +165,10 @@ def test_rounding_helpers(spark):
     assert got == [1, 3, -3, 1, None]
     got = values(spark, [(1.0, None), (1.0, 2.0)], "a double, b double", lambda c: greatest_strict(c("a"), c("b")))
     assert got == [None, 2.0]
+
+
+def test_sales_rate_42_only_alternative(spark):
+    rows = [("A", None, 1.0, 2.0), ("B", None, 3.0, 0.5), ("C", None, 3.0, 0.5)]
+    got = values(spark, rows, "cls string, label string, m7 double, m42 double",
+                 lambda c: rules.sales_rate(c("cls"), c("label"), c("m7"), c("m42"), "42_only"))
+    assert got == [2.0, 0.5, 0.5]
