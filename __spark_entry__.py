@@ -93,9 +93,13 @@ JOBS: dict[str, tuple] = {
 }
 
 
+def _as_is(pr: Profile) -> Profile:
+    return pr
+
+
 def variant_of(key: str) -> Callable[[Profile], Profile]:
     entry_ = JOBS[key]
-    return entry_[2] if len(entry_) > 2 else (lambda pr: pr)
+    return entry_[2] if len(entry_) > 2 else _as_is
 
 
 def run(key: str, tables, profile: Profile) -> DataFrame:
@@ -122,8 +126,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {}
+    by_profile: dict[int, tuple[Profile, dict[str, str]]] = {}
     for key in JOBS:
         cte, profile = oracle_for(key, PR)
-        out[key] = oracle_queries(profile)[cte]
+        by_profile.setdefault(id(variant_of(key)), (profile, {}))[1][key] = cte
+    out = {}
+    for profile, wanted in by_profile.values():
+        sql = oracle_queries(profile, sorted(set(wanted.values())))
+        out.update({key: sql[cte] for key, cte in wanted.items()})
     return out
