@@ -33,7 +33,6 @@ SCALE_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
     "spark.sql.files.maxPartitionBytes": "128MB",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
