@@ -90,14 +90,12 @@ def not_in_list(df: DataFrame, product_list: DataFrame, key: str = "product_id")
 
 def membership_flag(df: DataFrame, product_list: DataFrame, name: str,
                     key: str = "product_id") -> DataFrame:
-    """Add ``name`` = 'YES' when ``key`` is in the list, else 'NO'.
+    """Add ``name`` = 'YES' when ``key`` is in the list, else 'NO' (also for NULL).
 
-    The list is de-duplicated before the left join, so the flag never multiplies rows.
+    An IN subquery in a projection, which Spark plans as an existence join: duplicate
+    list entries never multiply rows and need no de-duplication shuffle.
     """
-    ids = (product_list.select(F.col("product_id").alias(f"_{name}_id"))
-           .where(F.col(f"_{name}_id").isNotNull()).distinct())
-    joined = df.join(ids, df[key] == ids[f"_{name}_id"], "left")
-    return joined.withColumn(name, yes_no(F.col(f"_{name}_id").isNotNull())).drop(f"_{name}_id")
+    return df.withColumn(name, yes_no(F.col(key).isin(product_list.select("product_id"))))
 
 
 # (period, type, field) -> output column, for the classification pivot.

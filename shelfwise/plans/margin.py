@@ -44,9 +44,7 @@ def eligible_lines(t: Tables, p: P.MarginParams = P.MarginParams()) -> DataFrame
     rates = t.channel_commission.select(F.col("product_id").alias("_cpid"), "commission_percentage")
     df = df.join(rates, df.product_id == rates._cpid, "left").drop("_cpid")
     df = join_slice(df, t.classifications, P.YEAR_SALES, {"label": "sales_class"})
-    parcels = (t.separate_parcel_products.select(F.col("product_id").alias("_spid"))
-               .where(F.col("_spid").isNotNull()).distinct())
-    df = df.join(parcels, df.product_id == parcels._spid, "left")
+    parcels = t.separate_parcel_products.select("product_id")
     c = F.col
     return df.select(
         "order_id",
@@ -63,7 +61,7 @@ def eligible_lines(t: Tables, p: P.MarginParams = P.MarginParams()) -> DataFrame
              .cast(MONEY2).alias("ManoMano_marketing_cost_per_product"),
         rules.amazon_commission(c("channel"), c("product_id"), c("line_total_ex_vat"))
              .cast(MONEY2).alias("Amazon_marketing_cost_per_product"),
-        F.when(c("_spid").isNotNull(), 1).otherwise(0).alias("is_coll_product"),
+        F.when(c("product_id").isin(parcels), 1).otherwise(0).alias("is_coll_product"),
     )
 
 
