@@ -49,19 +49,18 @@ def with_not_in_truth(df: DataFrame, key: str, subquery: DataFrame, sub_key: str
 
     For a NOT IN inside an OR, where it cannot be applied as a row filter: empty
     subquery -> TRUE; NULL key -> NULL; member -> FALSE; a NULL in the subquery -> NULL;
-    otherwise TRUE. Membership is a left join against the distinct non-null values.
+    otherwise TRUE. Membership is an existence join against the non-null values.
     """
     values = subquery.select(F.col(sub_key).alias("_nit_key"))
     rows, non_nulls = F.count(F.lit(1)), F.count(F.col("_nit_key"))
     mode = values.select(F.when(rows == 0, 0).when(non_nulls == rows, 1).otherwise(2)).scalar()
-    members = values.where(F.col("_nit_key").isNotNull()).distinct()
-    joined = df.join(members, df[key] == members["_nit_key"], "left")
+    member = F.col(key).isin(values.where(F.col("_nit_key").isNotNull()))
     truth = (F.when(mode == 0, F.lit(True))
              .when(F.col(key).isNull(), F.lit(None).cast("boolean"))
-             .when(F.col("_nit_key").isNotNull(), F.lit(False))
+             .when(member, F.lit(False))
              .when(mode == 2, F.lit(None).cast("boolean"))
              .otherwise(F.lit(True)))
-    return joined.withColumn(name, truth).drop("_nit_key")
+    return df.withColumn(name, truth)
 
 
 def not_in_all(df: DataFrame, key: str, subqueries: Sequence[tuple[DataFrame, str]]) -> DataFrame:

@@ -16,7 +16,7 @@ from conftest import frame
 from pyspark.sql import functions as F
 
 from shelfwise.operators.relational import (
-    OPEN_PO_ALL, class_wide, exclude_parents, not_in, not_in_all, with_open_po,
+    OPEN_PO_ALL, class_wide, exclude_parents, not_in, not_in_all, with_not_in_truth, with_open_po,
 )
 
 SEEDS = range(8)
@@ -62,6 +62,21 @@ def test_not_in_all_matches_conjunction_of_not_ins(spark, seed):
     assert rows_of(not_in_all(left, "k", subs)) == expected
 
 
+@pytest.mark.parametrize("seed", SEEDS)
+def test_not_in_truth_inside_an_or(spark, seed):
+    rng = random.Random(200 + seed)
+    left = spark.createDataFrame([(maybe(rng, rng.randint(0, 9)), maybe(rng, rng.random() < 0.5),
+                                   maybe(rng, rng.random() < 0.3)) for _ in range(14)], "k long, c boolean, d boolean")
+    mode = seed % 3
+    sub = spark.createDataFrame([] if mode == 2 else [(maybe(rng, rng.randint(0, 9), 0.4 if mode == 0 else 0.0),)
+                                                      for _ in range(4)], "s long")
+    left.createOrReplaceTempView("l_or")
+    sub.createOrReplaceTempView("s_or")
+    expected = rows_of(spark.sql("SELECT * FROM l_or WHERE (k NOT IN (SELECT s FROM s_or) AND c) OR d"))
+    ours = with_not_in_truth(left, "k", sub, "s", "_t").where((F.col("_t") & F.col("c")) | F.col("d"))
+    assert rows_of(ours.drop("_t")) == expected
+
+
 def random_po(spark, rng, n_products=6):
     rows = [dict(product_id=maybe(rng, rng.randint(1, n_products), 0.1), qty=maybe(rng, rng.randint(-5, 20), 0.1),
                  status_id=rng.choice([2, 3, 4, 5, 6]),
