@@ -196,7 +196,3 @@ def with_name(df: DataFrame, dim: DataFrame, dim_key: str, df_key: str, name: st
 OPEN_PO_ALL = {"ORDERED": P.PO_ORDERED, "CONFIRMED": P.PO_CONFIRMED,
                "BACKORDER": P.PO_BACKORDER, "RECEIVED": P.PO_RECEIVED}
 OPEN_PO_CONF_BACK = {"CONFIRMED": P.PO_CONFIRMED, "BACKORDER": P.PO_BACKORDER}
-
-
-def positive_part(c: Column) -> Column:
-    return F.when(c < 0, F.lit(0)).otherwise(c)
