@@ -33,6 +33,10 @@ SCALE_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
     "spark.sql.files.maxPartitionBytes": "128MB",
+    # Static size estimates of Parquet scans use the compressed file size; a factor
+    # keeps a dimension near the threshold from being broadcast on that estimate alone
+    # (AQE still broadcasts it when its measured size is small).
+    "spark.sql.sources.fileCompressionFactor": "4.0",
 }
 
 
