@@ -1,16 +1,16 @@
 """Relational building blocks shared by the jobs.
 
 Every function returns a lazy DataFrame; none collects to the driver. Joins carry no
-broadcast hint: the dimension sides are broadcast by AQE when their measured size is
-under ``spark.sql.autoBroadcastJoinThreshold`` and fall back to a sort-merge join
-otherwise, so nothing is broadcast without a size check.
+broadcast hint: a side is broadcast only when its size (the planner's conservative
+estimate, or the measured size of the materialised stage under AQE) is under
+``spark.sql.autoBroadcastJoinThreshold``; otherwise the join stays a sort-merge join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
