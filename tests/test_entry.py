@@ -48,3 +48,17 @@ def test_query_matches_oracle(spark, duck, key):
     rel = duck.sql(E.oracle_sql()[key])
     assert sorted(df.columns) == sorted(rel.columns)
     assert canon([tuple(r) for r in df.collect()], df.columns) == canon(rel.fetchall(), rel.columns)
+
+
+def test_money_columns_list_matches_the_jobs(spark):
+    """MONEY_COLUMNS (used to build the oracle casts) lists exactly the DECIMAL outputs,
+    and the registered queries present no DECIMAL column."""
+    from pyspark.sql.types import DecimalType
+
+    from shelfwise.sources import testdata
+    t = testdata.load(spark, SF_SMALL, E.PR.as_of)
+    for key in E.JOBS:
+        df = E.run(key, t, E.PR)
+        assert tuple(f.name for f in df.schema.fields if isinstance(f.dataType, DecimalType)) \
+            == E.MONEY_COLUMNS[key], key
+        assert not any(isinstance(f.dataType, DecimalType) for f in E.present(df).schema.fields)
