@@ -44,9 +44,10 @@ def seasonal_expected_sales(t: Tables, s: P.SeasonParams, sort: bool = True) ->
     """
     lines = t.order_lines.where(season_filter("order_date", s.year, s.months)
                                 & like_any("category", s.category_patterns))
-    lines = exclude_parents(lines, t.set_items)
     pre = lines.groupBy("product_id", "brand", "category", "root_category").agg(
         F.max("description").alias("_desc"), F.sum("qty").alias("_qty"))
+    # "not a parent" depends on product_id only: tested per group, not per line
+    pre = exclude_parents(pre, t.set_items)
     prods = t.products.select(F.col("product_id").alias("_pid"), "cost_net", "stock_magento",
                               "default_supplier_id")
     joined = pre.join(prods, pre.product_id == prods._pid, "left")
