@@ -22,6 +22,7 @@ from .conf import apply_conf
 from .params import TESTDATA_PROFILE, Profile, reference_profile
 from .plans import bundles, expected_sales, history, margin, purchase, replenishment, shipping, stock_health
 from .sources.tables import from_warehouse
+from .sources.validate import key_violations
 
 # job name -> function of (Tables, Profile)
 JOBS = {
@@ -48,6 +49,7 @@ JOBS = {
     "shipping-lines": lambda t, pr: shipping.shipping_lines(t, pr.shipping_time),
     "class-shares": lambda t, pr: shipping.class_shares(t, pr.shipping_time),
     "shipped-within": lambda t, pr: shipping.shipped_within(t, pr.shipping_time),
+    "key-violations": lambda t, pr: key_violations(t),
 }
 
 
