@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -193,6 +193,16 @@ def with_name(df: DataFrame, dim: DataFrame, dim_key: str, df_key: str, name: st
     return df.join(d, df[df_key] == d[f"_{name}_k"], "left").drop(f"_{name}_k")
 
 
+def report_order(sort_key: str, *tie_breakers: str) -> list[Column]:
+    """``sort_key`` descending (NULLs last), then the row's key columns ascending.
+
+    The reports sort by one column only, and most rows can share a value (an order
+    quantity of 0). A global sort range-partitions on all its keys, so the tie-breakers
+    let Spark spread equal sort values over many tasks instead of one.
+    """
+    return [F.col(sort_key).desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in tie_breakers]]
+
+
 OPEN_PO_ALL = {"ORDERED": P.PO_ORDERED, "CONFIRMED": P.PO_CONFIRMED,
                "BACKORDER": P.PO_BACKORDER, "RECEIVED": P.PO_RECEIVED}
 OPEN_PO_CONF_BACK = {"CONFIRMED": P.PO_CONFIRMED, "BACKORDER": P.PO_BACKORDER}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.relational import exclude_parents
+from ..operators.relational import exclude_parents, report_order
 from ..params import ShippedChildParams
 from ..sources.tables import Tables
 
@@ -50,4 +50,6 @@ def shipped_child_quantities(t: Tables, p: ShippedChildParams = ShippedChildPara
     out = both.groupBy(*GROUP).agg(F.max("product_name").alias("product_name"),
                                    F.sum("quantity_sold").alias("quantity_sold"))
     out = out.select("product_id", "product_name", "root_category", "category", "country", "quantity_sold")
-    return out.orderBy(F.col("quantity_sold").desc()) if sort else out
+    if not sort:
+        return out
+    return out.orderBy(*report_order("quantity_sold", "product_id", "country", "category", "root_category"))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions.exprs import round_half_away
 from ..functions.rules import order_qty_with_stock
-from ..operators.relational import OPEN_PO_CONF_BACK, class_wide, exclude_parents, with_name, with_open_po
+from ..operators.relational import (
+    OPEN_PO_CONF_BACK, class_wide, exclude_parents, report_order, with_name, with_open_po,
+)
 from ..sources.tables import Tables
 
 
@@ -69,7 +71,7 @@ def seasonal_expected_sales(t: Tables, s: P.SeasonParams, sort: bool = True) ->
                      "CONFIRMED", "BACKORDER", "ORDER_QTY", "ORDER_VALUE")
     if s.only_orderable:
         out = out.where((F.col("DEFAULT_SUPPLIER") != P.EOL_SUPPLIER) & (F.col("ORDER_QTY") > 0))
-    return out.orderBy(F.col("ORDER_VALUE").desc()) if sort else out
+    return out.orderBy(*report_order("ORDER_VALUE", "PRODUCT_ID", "CATEGORY", "ROOT_CATEGORY")) if sort else out
 
 
 HORIZON_CLASSES = [
@@ -127,4 +129,4 @@ def horizon_expected_sales(t: Tables, h: P.HorizonParams = P.HorizonParams(),
     out = (t4.withColumn("ORDER_QTY", qty.cast("double"))
            .withColumn("ORDER_VALUE", round_half_away(F.col("ORDER_QTY") * F.col("PURCHASE_PRICE"), 0))
            .where((F.col("DEFAULT_SUPPLIER") != h.excluded_supplier) & (F.col("ORDER_QTY") > 0)))
-    return out.orderBy(F.col("ORDER_VALUE").desc()) if sort else out
+    return out.orderBy(*report_order("ORDER_VALUE", "PRODUCT_ID", "ROOT_CATEGORY")) if sort else out

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..operators.relational import (
-    class_slice, class_wide, exclude_parents, membership_flag, not_in_all, with_categories, with_name,
+    class_slice, class_wide, exclude_parents, membership_flag, not_in_all, report_order,
+    with_categories, with_name,
 )
 from ..sources.tables import Tables
 
@@ -96,7 +97,7 @@ def stock_development(t: Tables, sort: bool = True) -> DataFrame:
         # partitioning for the de-duplication: one shuffle of the narrow history rows
         # serves the distinct and the report's sort (the lookups below are broadcast
         # joins, which keep the partitioning; otherwise Spark adds the exchanges it needs).
-        hist = hist.repartitionByRange(F.col("STOCK_VALUE").desc())
+        hist = hist.repartitionByRange(*report_order("STOCK_VALUE", "product_id", "DATE"))
     hist = hist.distinct()
     prods = t.products.select(F.col("product_id").alias("_ppid"), "manufacturer_id", "main_category_id")
     prods = with_name(prods, t.manufacturers, "manufacturer_id", "manufacturer_id", "BRAND")
@@ -124,7 +125,7 @@ def stock_development(t: Tables, sort: bool = True) -> DataFrame:
         "STOCK_MAGENTO",
         "STOCK_VALUE",
     )
-    return out.orderBy(F.col("STOCK_VALUE").desc()) if sort else out
+    return out.orderBy(*report_order("STOCK_VALUE", "PRODUCT_ID", "DATE")) if sort else out
 
 
 def stock_value_per_class(t: Tables) -> DataFrame:

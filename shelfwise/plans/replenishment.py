@@ -11,8 +11,8 @@ from .. import params as P
 from ..functions import rules
 from ..functions.exprs import round_half_away, to_int_half_away, yes_no
 from ..operators.relational import (
-    OPEN_PO_ALL, class_wide, exclude_parents, membership_flag, with_categories, with_name,
-    with_not_in_truth, with_open_po,
+    OPEN_PO_ALL, class_wide, exclude_parents, membership_flag, report_order, with_categories,
+    with_name, with_not_in_truth, with_open_po,
 )
 from ..sources.tables import Tables
 
@@ -149,7 +149,7 @@ def replenishment_list(t: Tables, p: P.ReplenishmentParams, sort: bool = True) -
     t8 = t7.withColumn("ORDER_QTY", rules.order_qty_open_only(
         F.col("STOCK_MAGENTO"), open_qty, F.col("PRIMARY_QTY")).cast("double"))
     t9 = t8.withColumn("ORDER_VALUE", round_half_away(F.col("ORDER_QTY") * F.col("PER_UNIT_COST"), 0))
-    return t9.orderBy(F.col("ORDER_QTY").desc()) if sort else t9
+    return t9.orderBy(*report_order("ORDER_QTY", "PRODUCT_ID")) if sort else t9
 
 
 def purchase_check(t: Tables, p: P.ReplenishmentParams) -> DataFrame:
@@ -169,4 +169,4 @@ def low_stock_report(t: Tables, p: P.ReplenishmentParams) -> DataFrame:
         "product_id", "_cpid")
     out = rpf.join(cls, rpf.PRODUCT_ID == cls._cpid, "left").drop("_cpid")
     return out.select("PRODUCT_ID", "SALES_CLASS", "LOW_STOCK_PERCENTAGE_DAYS", "REORDER_POINT_FACTOR") \
-        .orderBy(F.col("LOW_STOCK_PERCENTAGE_DAYS").desc())
+        .orderBy(*report_order("LOW_STOCK_PERCENTAGE_DAYS", "PRODUCT_ID"))

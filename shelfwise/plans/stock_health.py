@@ -9,7 +9,7 @@ from .. import params as P
 from ..functions.exprs import floor_nonpositive
 from ..functions.rules import BUCKET_COLUMNS, coverage_buckets
 from ..operators.relational import (
-    class_wide, exclude_parents, membership_flag, with_categories, with_name,
+    class_wide, exclude_parents, membership_flag, report_order, with_categories, with_name,
 )
 from ..sources.tables import Tables
 
@@ -75,7 +75,7 @@ def stock_health(t: Tables, p: P.StockHealthParams = P.StockHealthParams(),
                  sort: bool = True) -> DataFrame:
     """Stock value per product spread over days-of-cover buckets, largest first."""
     out = with_buckets(stock_health_base(t), p)
-    return out.orderBy(F.col("STOCK_VALUE").desc()) if sort else out
+    return out.orderBy(*report_order("STOCK_VALUE", "PRODUCT_ID")) if sort else out
 
 
 def stock_health_snapshots(t: Tables) -> DataFrame:
