@@ -65,11 +65,23 @@ def from_warehouse(spark: SparkSession, root: str, fmt: str = "parquet") -> Tabl
     return Tables({name: reader(name) for name in schemas.TABLES})
 
 
-def write_warehouse(tables: Tables, root: str, mode: str = "overwrite") -> None:
-    """Write every logical table to ``{root}/{name}`` (history partitioned by date)."""
+def write_warehouse(tables: Tables, root: str, mode: str = "overwrite", files_per_date: int = 1,
+                    max_records_per_file: int = 0) -> None:
+    """Write every logical table to ``{root}/{name}`` (history partitioned by date).
+
+    The history is first repartitioned by (date, hash bucket of product_id), so each
+    date gets ``files_per_date`` files written by as many tasks, instead of one small
+    file per date from every task. Choose ``files_per_date`` so that a day's history
+    divided by it is a few hundred MB; ``max_records_per_file`` caps files further.
+    """
     for name in schemas.TABLES:
         df = getattr(tables, name)
+        if name == "product_history":
+            bucket = F.pmod(F.xxhash64("product_id"), F.lit(files_per_date))
+            df = df.repartition(F.col("date"), bucket)
         writer = df.write.mode(mode)
+        if max_records_per_file:
+            writer = writer.option("maxRecordsPerFile", max_records_per_file)
         if name == "product_history":
             writer = writer.partitionBy("date")
         writer.parquet(f"{root}/{name}")
