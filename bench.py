@@ -100,7 +100,8 @@ def main() -> None:
     event_dir = os.path.join(scratch, "events")
     os.makedirs(event_dir, exist_ok=True)
     os.environ["SHELFWISE_EVENT_LOG_DIR"] = event_dir
-    spark = local_session(cores=cpus, shuffle_partitions=max(8, 2 * cpus), app="shelfwise-bench")
+    partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(8, 2 * cpus)))
+    spark = local_session(cores=cpus, shuffle_partitions=partitions, app="shelfwise-bench")
     root = os.environ.get("BENCH_WAREHOUSE") or os.path.join(ensure_checkpoint_dir(spark),
                                                              f"bench-warehouse-{uuid.uuid4().hex[:8]}")
     t0 = time.perf_counter()
