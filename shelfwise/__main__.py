@@ -21,6 +21,7 @@ from pyspark.sql import SparkSession
 from .conf import apply_conf
 from .params import TESTDATA_PROFILE, Profile, reference_profile
 from .plans import bundles, expected_sales, history, margin, purchase, replenishment, shipping, stock_health
+from .sources import snapshots
 from .sources.tables import from_warehouse
 from .sources.validate import key_violations
 
@@ -50,6 +51,8 @@ JOBS = {
     "class-shares": lambda t, pr: shipping.class_shares(t, pr.shipping_time),
     "shipped-within": lambda t, pr: shipping.shipped_within(t, pr.shipping_time),
     "key-violations": lambda t, pr: key_violations(t),
+    "stock-health-snapshot": None,   # writes one day of the snapshot table (see main)
+    "stock-health-trend": None,      # trend over a stored snapshot table (see main)
 }
 
 
@@ -66,10 +69,21 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True, help="output folder (Parquet, overwritten)")
     ap.add_argument("--testdata-years", action="store_true",
                     help="use the years of the test profile instead of the report's")
+    ap.add_argument("--snapshots", help="snapshot table folder (stock-health-trend)")
     args = ap.parse_args(argv)
     spark = apply_conf(SparkSession.builder.getOrCreate())
     tables = from_warehouse(spark, args.warehouse)
-    df = JOBS[args.job](tables, profile_for(args.as_of, args.testdata_years))
+    profile = profile_for(args.as_of, args.testdata_years)
+    if args.job == "stock-health-snapshot":
+        # replaces only the as-of day's partition of the snapshot table at --out
+        snapshots.write_snapshot(snapshots.current_snapshot(tables, args.as_of), args.out)
+        return
+    if args.job == "stock-health-trend":
+        if not args.snapshots:
+            ap.error("stock-health-trend needs --snapshots")
+        df = stock_health.stock_health_trend(snapshots.read_snapshots(spark, args.snapshots), profile.stock_health)
+    else:
+        df = JOBS[args.job](tables, profile)
     df.write.mode("overwrite").parquet(args.out)
 
 

@@ -20,3 +20,17 @@ def test_cli_writes_the_job_result(spark, tmp_path):
     assert written.count() == expected.count() > 0
     assert written.exceptAll(expected).count() == 0
     assert len(JOBS) >= 20
+
+
+def test_cli_snapshot_then_trend(spark, tmp_path):
+    import datetime as dt
+    root, snaps, out = (str(tmp_path / n) for n in ("warehouse", "snapshots", "trend"))
+    write_warehouse(testdata.load(spark, SF_SMALL, PR.as_of), root)
+    for day in (PR.as_of - dt.timedelta(days=1), PR.as_of, PR.as_of):   # the repeat replaces its day
+        main(["stock-health-snapshot", "--warehouse", root, "--as-of", day.isoformat(), "--out", snaps])
+    main(["stock-health-trend", "--warehouse", root, "--as-of", PR.as_of.isoformat(),
+          "--snapshots", snaps, "--out", out])
+    trend = spark.read.parquet(out)
+    assert trend.select("snapshot_date").distinct().count() == 2
+    assert trend.count() == 2 * spark.read.parquet(snaps).where(f"snapshot_date = '{PR.as_of}'").count()
+    assert "SUM_OF_0_30_DGN" in trend.columns
