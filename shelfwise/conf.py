@@ -47,6 +47,27 @@ def apply_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shuffle_partitions_for(largest_shuffle_bytes: int, target_partition_bytes: int = 256 * 2**20,
+                           minimum: int = 200) -> int:
+    """Initial shuffle partitions so the largest shuffle splits into ~256 MB pieces.
+
+    AQE only *coalesces* shuffle partitions (and splits skewed join partitions), so the
+    initial number must be large enough for the biggest stage; small stages are merged
+    back to the advisory size at run time. Example: the margin base at 100 TB shuffles
+    its eligible, column-pruned lines (order of 5-10 TB) -> 20,000-40,000 partitions.
+    """
+    return max(minimum, -(-largest_shuffle_bytes // target_partition_bytes))
+
+
+def apply_cluster_conf(spark: SparkSession, largest_shuffle_bytes: int) -> SparkSession:
+    """``apply_conf`` plus shuffle partitioning sized for the largest expected shuffle."""
+    apply_conf(spark)
+    n = str(shuffle_partitions_for(largest_shuffle_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", n)
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "shelfwise") -> SparkSession:
     """A local session for tests and the bench (no UI, no extra ports)."""

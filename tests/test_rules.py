@@ -172,3 +172,9 @@ def test_sales_rate_42_only_alternative(spark):
     got = values(spark, rows, "cls string, label string, m7 double, m42 double",
                  lambda c: rules.sales_rate(c("cls"), c("label"), c("m7"), c("m42"), "42_only"))
     assert got == [2.0, 0.5, 0.5]
+
+
+def test_shuffle_partition_sizing():
+    from shelfwise.conf import shuffle_partitions_for
+    assert shuffle_partitions_for(10 * 2**40) == 40960      # 10 TiB at 256 MiB each
+    assert shuffle_partitions_for(1) == 200                 # never below the floor
