@@ -18,7 +18,7 @@ from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
-from .conf import apply_conf
+from .conf import apply_cluster_conf, apply_conf
 from .params import TESTDATA_PROFILE, Profile, reference_profile
 from .plans import bundles, expected_sales, history, margin, purchase, replenishment, shipping, stock_health
 from .sources import snapshots
@@ -70,8 +70,14 @@ def main(argv=None) -> None:
     ap.add_argument("--testdata-years", action="store_true",
                     help="use the years of the test profile instead of the report's")
     ap.add_argument("--snapshots", help="snapshot table folder (stock-health-trend)")
+    ap.add_argument("--largest-shuffle-gb", type=float,
+                    help="size shuffle partitions for this much data in the largest shuffle")
     args = ap.parse_args(argv)
-    spark = apply_conf(SparkSession.builder.getOrCreate())
+    spark = SparkSession.builder.getOrCreate()
+    if args.largest_shuffle_gb:
+        apply_cluster_conf(spark, int(args.largest_shuffle_gb * 2**30))
+    else:
+        apply_conf(spark)
     tables = from_warehouse(spark, args.warehouse)
     profile = profile_for(args.as_of, args.testdata_years)
     if args.job == "stock-health-snapshot":
