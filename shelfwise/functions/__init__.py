@@ -1,0 +1 @@
+"""Column expressions: engine-sensitive helpers (exprs) and the business rules (rules)."""

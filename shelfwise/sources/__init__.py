@@ -1,0 +1 @@
+"""Logical input tables: warehouse read/write, the test-data adapter, snapshots, key checks."""

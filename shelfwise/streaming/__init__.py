@@ -1,0 +1 @@
+"""Incremental (Structured Streaming) form of the stock-health trend."""
