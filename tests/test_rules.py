@@ -178,3 +178,26 @@ def test_shuffle_partition_sizing():
     from shelfwise.conf import shuffle_partitions_for
     assert shuffle_partitions_for(10 * 2**40) == 40960      # 10 TiB at 256 MiB each
     assert shuffle_partitions_for(1) == 200                 # never below the floor
+
+
+def test_round_half_away_matches_decimal_rounding(spark):
+    """ROUND(x, d) of a DOUBLE rounds the decimal value half away from zero (E3),
+    including the .xx5 cases a binary double would round down."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    cases = []
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.integers(min_value=-10**9, max_value=10**9), st.integers(min_value=0, max_value=6))
+    def collect(units, scale):
+        cases.append(units / 10 ** scale)
+
+    collect()
+    cases += [1.005, 2.675, -1.005, 0.125, 1234.5675]
+    df = spark.createDataFrame([(x,) for x in cases], "x double")
+    got = [r[0] for r in df.select(round_half_away(F.col("x"), 2)).collect()]
+    want = [float(Decimal(repr(x)).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP)) for x in cases]
+    assert got == want
