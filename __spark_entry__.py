@@ -64,6 +64,8 @@ JOBS: dict[str, tuple] = {
     "b2_reorder_factors": (lambda t, pr: replenishment.reorder_factors(t, pr.replenishment), "b2_rpf"),
     "b2_order_counts": (lambda t, pr: replenishment.order_counts(t, pr.replenishment), "b2_oc"),
     "b2_candidates": (lambda t, pr: replenishment.candidates(t, pr.replenishment).distinct(), "b2_candidates"),
+    "b2_candidate_open_quantities": (
+        lambda t, pr: replenishment.candidate_open_quantities(t, pr.replenishment), "b2_open"),
     "d9_purchase_check": (lambda t, pr: replenishment.purchase_check(t, pr.replenishment), "d9"),
     "d10_low_stock_report": (lambda t, pr: replenishment.low_stock_report(t, pr.replenishment), "d10"),
     "b2_replenishment_list_alternatives": (
@@ -73,6 +75,7 @@ JOBS: dict[str, tuple] = {
     "b3_stock_health_base": (lambda t, pr: stock_health.stock_health_base(t), "b3_t1"),
     "b4_stock_health_trend": (lambda t, pr: stock_health.stock_health_trend(
         stock_health.stock_health_snapshots(t), pr.stock_health), "b4"),
+    "b4_stock_health_snapshots": (lambda t, pr: stock_health.stock_health_snapshots(t), "b4_snapshots"),
     "d7_bucket_totals": (lambda t, pr: stock_health.bucket_totals(t, pr.stock_health), "d7"),
     # B5, B6, B7 expected sales
     "b5_expected_sales_leaf_blowers": (lambda t, pr: expected_sales.seasonal_expected_sales(t, pr.leaf_blower), "b5"),
@@ -81,9 +84,13 @@ JOBS: dict[str, tuple] = {
         lambda t, pr: expected_sales.seasonal_expected_sales(t, pr.leaf_blower), "b5", _only_orderable),
     "b6_expected_sales_lamps_orderable": (
         lambda t, pr: expected_sales.seasonal_expected_sales(t, pr.lamps), "b6", _only_orderable),
+    "b5_season_sales": (lambda t, pr: expected_sales.season_sales(t, pr.leaf_blower), "b5_t1"),
     "b7_expected_sales_horizon": (lambda t, pr: expected_sales.horizon_expected_sales(t, pr.horizon), "b7"),
+    "b7_horizon_candidates": (lambda t, pr: expected_sales.horizon_candidates(t, pr.horizon), "b7_t1"),
     # B8 shipped child quantities
     "b8_shipped_child_quantities": (lambda t, pr: bundles.shipped_child_quantities(t, pr.shipped_child), "b8"),
+    "b8_bundle_child_quantities": (
+        lambda t, pr: bundles.bundle_child_quantities(t, pr.shipped_child), "b8_bundle_out"),
     # B9, B10, B11 purchase and stock listings; D4, D5
     "b9_purchase_value": (lambda t, pr: purchase.purchase_value(t, pr.purchase_value), "b9"),
     "b10_open_purchase_quantities": (lambda t, pr: purchase.open_purchase_quantities(t), "b10"),
@@ -107,6 +114,11 @@ JOBS: dict[str, tuple] = {
 # the results (rows, pandas, Arrow) sees the same numbers. Kept in step with the jobs
 # by tests/test_entry.py.
 MONEY_COLUMNS: dict[str, tuple[str, ...]] = {
+    "b2_candidate_open_quantities": (),
+    "b4_stock_health_snapshots": ('STOCK_VALUE',),
+    "b5_season_sales": ('COST_PER_UNIT',),
+    "b7_horizon_candidates": ('PURCHASE_PRICE',),
+    "b8_bundle_child_quantities": (),
     "b1_contribution_margin": ('shipping_cost_per_shipping_method', 'line_total', 'line_total_ex_vat', 'margin_total_net', 'total_revenue_for_cost_share', 'mktplace_marketing_cost', 'revenue_applicable_for_payment_cost'),
     "b1_eligible_lines": ('line_total', 'line_total_ex_vat', 'margin_total_net', 'bol_fixed_cost_per_product', 'bol_variable_cost_per_product', 'ManoMano_marketing_cost_per_product', 'Amazon_marketing_cost_per_product'),
     "b1_order_rollup": ('total_revenue_for_cost_share', 'shipping_cost_per_shipping_method'),

@@ -39,6 +39,16 @@ def explode_bundles(groups: DataFrame, set_items: DataFrame) -> DataFrame:
                          "country", (F.col("quantity_sold") * F.col("_per")).alias("quantity_sold"))
 
 
+def bundle_child_quantities(t: Tables, p: ShippedChildParams = ShippedChildParams()) -> DataFrame:
+    """B8.1 on its own: the bundle lines of the year exploded to their children and
+    summed per child product, category and country."""
+    groups = _eligible_line_groups(t, p)
+    exploded = explode_bundles(groups.where(F.col("_is_bundle")), t.set_items)
+    return (exploded.groupBy(*GROUP).agg(F.max("product_name").alias("product_name"),
+                                         F.sum("quantity_sold").alias("quantity_sold"))
+            .select("product_id", "product_name", "root_category", "category", "country", "quantity_sold"))
+
+
 def shipped_child_quantities(t: Tables, p: ShippedChildParams = ShippedChildParams(),
                              sort: bool = True) -> DataFrame:
     """Direct lines of non-parent products plus bundle lines exploded to their

@@ -37,8 +37,8 @@ def like_any(column: str, patterns: tuple) -> Column:
     return cond
 
 
-def seasonal_expected_sales(t: Tables, s: P.SeasonParams, sort: bool = True) -> DataFrame:
-    """Last season's sales per product as the quantity to have for the next one.
+def season_sales(t: Tables, s: P.SeasonParams) -> DataFrame:
+    """B5 / B6 first step: last season's quantity and daily average per product row.
 
     Lines are summed per (product, brand, category, root_category) before the product
     and supplier lookups; the groups are then summed again on the report's keys, which
@@ -59,9 +59,13 @@ def seasonal_expected_sales(t: Tables, s: P.SeasonParams, sort: bool = True) ->
         F.col("category").alias("CATEGORY"), F.col("root_category").alias("ROOT_CATEGORY"),
         F.col("cost_net").alias("COST_PER_UNIT"), F.col("stock_magento").alias("STOCK_MAGENTO"),
     ).agg(F.max("_desc").alias("DESCRIPTION"), F.sum("_qty").alias("TOTAL_QTY_SOLD_2021"))
-    t1 = t1.withColumn("AVG_SALES_PER_DAY",
-                       round_half_away(F.col("TOTAL_QTY_SOLD_2021") / F.lit(s.days_in_season), 2))
-    t4 = with_open_po(t1, t.pending_po, OPEN_PO_CONF_BACK)
+    return t1.withColumn("AVG_SALES_PER_DAY",
+                         round_half_away(F.col("TOTAL_QTY_SOLD_2021") / F.lit(s.days_in_season), 2))
+
+
+def seasonal_expected_sales(t: Tables, s: P.SeasonParams, sort: bool = True) -> DataFrame:
+    """Last season's sales per product as the quantity to have for the next one."""
+    t4 = with_open_po(season_sales(t, s), t.pending_po, OPEN_PO_CONF_BACK)
     qty = order_qty_with_stock(F.col("STOCK_MAGENTO"), F.col("CONFIRMED") + F.col("BACKORDER"),
                                F.col("TOTAL_QTY_SOLD_2021"))
     out = t4.withColumn("ORDER_QTY", qty).withColumn(
@@ -83,10 +87,9 @@ HORIZON_CLASSES = [
 ]
 
 
-def horizon_expected_sales(t: Tables, h: P.HorizonParams = P.HorizonParams(),
-                           sort: bool = True) -> DataFrame:
-    """In-stock daily mean x horizon days as the quantity to have, for the
-    products of one manufacturer that sold last year.
+def horizon_candidates(t: Tables, h: P.HorizonParams = P.HorizonParams()) -> DataFrame:
+    """B7 first step: one distinct row per product of the manufacturer that sold last
+    year (and per label and root category), with its horizon quantity.
 
     The source joins every order line of the product only to read root_category and
     then removes the copies with DISTINCT; the same rows come from the distinct
@@ -123,7 +126,14 @@ def horizon_expected_sales(t: Tables, h: P.HorizonParams = P.HorizonParams(),
         F.col("stock_magento").alias("STOCK_MAGENTO"),
         round_half_away(F.col("_mean_in_stock") * h.horizon_days, 0).alias("PRIMARY_QTY"),
     ).distinct()
-    t4 = with_open_po(t1, t.pending_po, OPEN_PO_CONF_BACK)
+    return t1
+
+
+def horizon_expected_sales(t: Tables, h: P.HorizonParams = P.HorizonParams(),
+                           sort: bool = True) -> DataFrame:
+    """In-stock daily mean x horizon days as the quantity to have, for the
+    products of one manufacturer that sold last year."""
+    t4 = with_open_po(horizon_candidates(t, h), t.pending_po, OPEN_PO_CONF_BACK)
     qty = order_qty_with_stock(F.col("STOCK_MAGENTO"), F.col("CONFIRMED") + F.col("BACKORDER"),
                                F.col("PRIMARY_QTY"))
     out = (t4.withColumn("ORDER_QTY", qty.cast("double"))

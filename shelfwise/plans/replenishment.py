@@ -135,6 +135,12 @@ def candidates(t: Tables, p: P.ReplenishmentParams) -> DataFrame:
     )
 
 
+def candidate_open_quantities(t: Tables, p: P.ReplenishmentParams) -> DataFrame:
+    """B2.10 on its own: ordered / confirmed / backorder / received per candidate."""
+    ids = candidates(t, p).select("PRODUCT_ID").distinct()
+    return with_open_po(ids, t.pending_po, OPEN_PO_ALL, floor_negative=("RECEIVED",))
+
+
 def replenishment_list(t: Tables, p: P.ReplenishmentParams, sort: bool = True) -> DataFrame:
     """B2: replenishment list with open quantities, reorder point and order quantity."""
     t1 = candidates(t, p)
