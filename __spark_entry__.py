@@ -99,6 +99,8 @@ JOBS: dict[str, tuple] = {
     "d5_stock_value_totals": (lambda t, pr: purchase.stock_value_totals(t), "d5"),
     # B12 out-of-stock base, D3; B14 stock development, D6
     "b12_out_of_stock_base": (lambda t, pr: history.out_of_stock_base(t, pr.out_of_stock), "b12"),
+    "b12_followed_products": (
+        lambda t, pr: history.eligible_for_out_of_stock(t, pr.out_of_stock).distinct(), "b12_products"),
     "d3_out_of_stock_percentage": (lambda t, pr: history.out_of_stock_percentage(t, pr.out_of_stock), "d3"),
     "b14_stock_development": (lambda t, pr: history.stock_development(t), "b14"),
     "d6_stock_value_per_class": (lambda t, pr: history.stock_value_per_class(t), "d6"),
@@ -114,6 +116,7 @@ JOBS: dict[str, tuple] = {
 # the results (rows, pandas, Arrow) sees the same numbers. Kept in step with the jobs
 # by tests/test_entry.py.
 MONEY_COLUMNS: dict[str, tuple[str, ...]] = {
+    "b12_followed_products": (),
     "b2_candidate_open_quantities": (),
     "b4_stock_health_snapshots": ('STOCK_VALUE',),
     "b5_season_sales": ('COST_PER_UNIT',),
