@@ -35,11 +35,12 @@ def reorder_factors(t: Tables, p: P.ReplenishmentParams) -> DataFrame:
     """
     since = p.as_of - dt.timedelta(days=p.factor_days)
     hist = t.product_history.where(F.col("date") > F.lit(since))
-    cls = class_wide(t.classifications, [(P.YEAR_SALES, "label", "_yr_label"),
-                                         (P.D42_SALES, "mean", "_m42")])
+    # The same pivot as the candidate rows (a superset of the two slices needed here),
+    # so within the replenishment list both uses share one aggregation.
+    cls = class_wide(t.classifications, PRODUCT_CLASSES)
     # The history is inner-joined to these product rows on the key, so "not a parent"
     # is tested once per product here instead of once per history row.
-    cls = exclude_parents(cls.where(F.col("_yr_label").isin(*P.REORDER_CLASSES)), t.set_items)
+    cls = exclude_parents(cls.where(F.col("SALES_CLASS").isin(*P.REORDER_CLASSES)), t.set_items)
     cls = cls.withColumnRenamed("product_id", "_cpid")
     df = hist.join(cls, hist.product_id == cls._cpid, "inner")
     threshold = round_half_away(F.col("_m42") * p.low_stock_days_of_sales, 0)
