@@ -77,7 +77,9 @@ def candidates(t: Tables, p: P.ReplenishmentParams) -> DataFrame:
     The report's filter is ``(not a parent AND class rule) OR (label new AND the
     label's product is not a parent)``; the label join makes both arms test the same
     product, so it is applied as ``not a parent AND (class rule OR label new)``: one
-    anti join instead of two nested-loop existence joins.
+    anti join instead of two nested-loop existence joins. The report also left-joins
+    the bundle bridge with the product as parent; after the parent filter that join
+    matches nothing and none of its columns is used, so it is left out.
     """
     prods = exclude_parents(t.products, t.set_items)
     rpf = reorder_factors(t, p).select(F.col("PRODUCT_ID").alias("_rpid"),
