@@ -31,6 +31,20 @@ from shelfwise.plans import (
 )
 from shelfwise.sources import testdata
 
+try:  # the training-data operators are optional: the rest works without their folder
+    from shelfwise.llm.queries import ORACLE_SQL as LLM_ORACLE_SQL
+    from shelfwise.llm.queries import QUERIES as LLM_QUERIES
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith("shelfwise.llm"):
+        raise
+    LLM_QUERIES, LLM_ORACLE_SQL = {}, {}
+try:
+    import corpus_pipeline
+except ModuleNotFoundError as missing:
+    if missing.name != "corpus_pipeline" and not (missing.name or "").startswith("shelfwise.llm"):
+        raise
+    corpus_pipeline = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -193,7 +207,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key: _runner(key) for key in JOBS}
+    out = {key: _runner(key) for key in JOBS} | dict(LLM_QUERIES)
+    if corpus_pipeline is not None:
+        out["pipeline"] = corpus_pipeline.run
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
@@ -205,6 +222,9 @@ def oracle_sql() -> dict[str, str]:
     for profile, wanted in by_profile.values():
         sql = oracle_queries(profile, sorted(set(wanted.values())))
         out.update({key: _present_sql(sql[cte], MONEY_COLUMNS[key]) for key, cte in wanted.items()})
+    out.update(LLM_ORACLE_SQL)
+    if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL:
+        out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
 
 
