@@ -52,6 +52,7 @@ class Item:
 
     def __post_init__(self) -> None:
         self.rare = [w for w, c in zip(self.words, self.content) if c]
+        self.distinct = set(self.rare or self.words)
         self.answer = [w for w, c in zip(self.words[self.answer_from:], self.content[self.answer_from:]) if c]
 
 
@@ -72,18 +73,29 @@ class Steps:
         self.base = np.concatenate(([0], np.cumsum(self.n_steps)))
         within = np.arange(len(start)) - np.repeat(self.first[:-1], n_words)
         self.of_word = np.repeat(self.base[:-1], n_words) + within // STEP
+        self.place = within % STEP
         self.begin = np.flatnonzero(np.diff(self.of_word, prepend=-1))
 
+    def distinct_terms(self) -> np.ndarray:
+        """The terms of every step, each once."""
+        pairs = self.of_word * FEATURES + terms(self.hashes)
+        pairs = np.sort(pairs.astype(np.int32) if len(self.begin) < (1 << 31 - BITS) else pairs)
+        return pairs[np.diff(pairs, prepend=-1) != 0] & (FEATURES - 1)
+
     def sums(self, vectors: np.ndarray) -> np.ndarray:
-        """Sum of the term vectors over each step."""
-        if not len(self.hashes):
-            return np.zeros((0, vectors.shape[1]), vectors.dtype)
-        out, term = [], terms(self.hashes)
-        for at in range(0, len(self.begin), 512):  # bounded temporary
-            lo = self.begin[at]
-            hi = self.begin[at + 512] if at + 512 < len(self.begin) else len(term)
-            out.append(np.add.reduceat(vectors[term[lo:hi]], self.begin[at:at + 512] - lo, axis=0))
-        return np.concatenate(out)
+        """Sum of the term vectors over each step. Steps are filled up with a term of zeros,
+        so one take and one addition a place serve many steps."""
+        width = vectors.shape[1]
+        padded = np.ascontiguousarray(np.concatenate((vectors, np.zeros((1, width), vectors.dtype))))
+        grid = np.full((len(self.begin), STEP), FEATURES, np.int64)
+        grid[self.of_word, self.place] = terms(self.hashes)
+        out = np.zeros((len(grid), width), vectors.dtype)
+        some = np.empty((256, width), vectors.dtype)  # a temporary that fits the cache
+        for at in range(0, len(grid), 256):
+            part, columns = out[at:at + 256], grid[at:at + 256].T.copy()
+            for column in columns:
+                part += np.take(padded, column, axis=0, out=some[:len(part)], mode="clip")
+        return out
 
     def windows(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, first step, vector) of each window of two steps (or the only step)."""
@@ -120,8 +132,7 @@ def term_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         for frame in frames:
             for _, texts in word_blocks(frame["text"].tolist()):
                 steps = Steps(hasher, texts)
-                pairs = np.unique(steps.of_word * FEATURES + terms(steps.hashes))
-                seen[:FEATURES] += np.bincount(pairs & (FEATURES - 1), minlength=FEATURES)
+                seen[:FEATURES] += np.bincount(steps.distinct_terms(), minlength=FEATURES)
                 seen[FEATURES] += len(steps.begin)
         some = np.flatnonzero(seen)
         yield pd.DataFrame({"term": some, "n": seen[some]})
@@ -231,6 +242,9 @@ def find_leaks(texts: list[str | None], basis: np.ndarray, queries: np.ndarray,
                 begin = max(lo, lo + s * STEP - len(item.words))
                 around = steps.hashes[begin:min(hi, lo + s * STEP + WINDOW + len(item.words))]
                 words = around.tolist()
+                # no subsequence can be longer than the words in common
+                if len(item.distinct.intersection(words)) < part * len(item.distinct):
+                    continue
                 lcs = common_length(item.words, words) / len(item.words)
                 if lcs < part:
                     continue
@@ -243,7 +257,7 @@ def find_leaks(texts: list[str | None], basis: np.ndarray, queries: np.ndarray,
     return found
 
 
-def leak_finders(docs: DataFrame, items: DataFrame, rank: int = 128, min_cosine: float = 0.4, whole: float = 0.85,
+def leak_finders(docs: DataFrame, items: DataFrame, rank: int = 128, min_cosine: float = 0.5, whole: float = 0.85,
                  part: float = 0.6, max_items: int = 4096, max_bytes: int = 8 << 20
                  ) -> list[tuple[list, Callable[[str], Column]]]:
     """One (item_ids, column function) per block of the benchmark: the function gives the
