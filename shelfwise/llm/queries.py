@@ -1,11 +1,16 @@
 """The registered queries of the subpackage and their SQL counterparts."""
 
 from shelfwise.llm.decontaminate import op1_decontamination
+from shelfwise.llm.langid import op2_language_id
+from shelfwise.llm.lm import op3_lm_score
 from shelfwise.llm.packing import op7_best_fit_packing
 from shelfwise.llm.pii import op4_pii
+from shelfwise.llm.quality import op8_quality_resampling
+from shelfwise.llm.search import op10_topk_search
 from shelfwise.llm.simhash import op9_simhash_near_dedup
 from shelfwise.llm.toxicity import op6_toxicity
 
 QUERIES = {q.__name__: q for q in (
-    op1_decontamination, op4_pii, op6_toxicity, op7_best_fit_packing, op9_simhash_near_dedup)}
+    op1_decontamination, op2_language_id, op3_lm_score, op4_pii, op6_toxicity, op7_best_fit_packing,
+    op8_quality_resampling, op9_simhash_near_dedup, op10_topk_search)}
 ORACLE_SQL: dict[str, str] = {}
