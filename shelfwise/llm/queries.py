@@ -1,6 +1,7 @@
 """The registered queries of the subpackage and their SQL counterparts."""
 
 from shelfwise.llm.decontaminate import op1_decontamination
+from shelfwise.llm.exact_substrings import op5_suffix_array_dedup
 from shelfwise.llm.langid import op2_language_id
 from shelfwise.llm.lm import op3_lm_score
 from shelfwise.llm.packing import op7_best_fit_packing
@@ -11,6 +12,6 @@ from shelfwise.llm.simhash import op9_simhash_near_dedup
 from shelfwise.llm.toxicity import op6_toxicity
 
 QUERIES = {q.__name__: q for q in (
-    op1_decontamination, op2_language_id, op3_lm_score, op4_pii, op6_toxicity, op7_best_fit_packing,
-    op8_quality_resampling, op9_simhash_near_dedup, op10_topk_search)}
+    op1_decontamination, op2_language_id, op3_lm_score, op4_pii, op5_suffix_array_dedup, op6_toxicity,
+    op7_best_fit_packing, op8_quality_resampling, op9_simhash_near_dedup, op10_topk_search)}
 ORACLE_SQL: dict[str, str] = {}
