@@ -9,8 +9,10 @@ The hash of those bytes is the anchor's key.
 
 1. Keys are counted over all texts. A bitmap of fixed size with the repeated ones is
    broadcast; a key that only shares a bit costs some work later and changes nothing.
-2. Anchors with a repeated key send the bytes around them (a segment), equal segments
-   are counted once each, and distinct segments of a key meet in a task.
+2. Each anchor with a repeated key names its segment, the bytes from WINDOW - 1 before it
+   to LENGTH after its start, by a hash. Segments are counted: one that occurs twice has
+   all its strings repeated. A key that also has a segment seen once is open; only for
+   open keys are the bytes sent, each distinct segment about once, to meet in a task.
 3. There, segments become strings of content-defined chunks. ``suffix_order`` sorts their
    suffixes: groups of equal Lyndon prefix are handled in descending order, each suffix
    points to the previous suffix of a smaller group, which moves to a new, higher group
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from shelfwise.llm.common import INVERSE, ODD, _powers, stored, table
 
 LENGTH = 400
-WINDOW = 256
+WINDOW = 128
 GRAM = 16
 CHUNK_GRAM = 8
 MARK_BITS = 27
@@ -171,7 +173,7 @@ def repeated_starts(keys: np.ndarray, counts: np.ndarray, before: np.ndarray, se
     rolling = Rolling(data)
     edge = (rolling.all_of(CHUNK_GRAM) & np.uint64(31)) == 0
     # chunk strings: the content between neighbouring edges, a separator after each segment
-    spans, owner_first, tokens, where = [], [], [], []
+    spans = []
     for i, (b, size) in enumerate(zip(base.tolist(), sizes.tolist())):
         cuts = b + np.flatnonzero(edge[b:b + size - CHUNK_GRAM + 1])
         spans.append(cuts)
@@ -187,10 +189,9 @@ def repeated_starts(keys: np.ndarray, counts: np.ndarray, before: np.ndarray, se
     position = np.empty(len(order), np.int64)
     position[order] = np.arange(len(order))
     # strings of LENGTH bytes around the anchor: first cut inside, chunks inside
-    first_start = np.zeros(len(segments), np.int64)
     n_starts = np.maximum(0, np.minimum(before, sizes - LENGTH) + 1)
     segment = np.repeat(np.arange(len(segments)), n_starts)
-    start = np.arange(n_starts.sum()) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts) + first_start[segment]
+    start = np.arange(n_starts.sum()) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts)
     at = base[segment] + start
     low = np.searchsorted(cut_all, at)
     high = np.searchsorted(cut_all, at + LENGTH - CHUNK_GRAM, side="right")
@@ -231,9 +232,9 @@ def anchor_keys(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def repeated_bitmap(keys: DataFrame) -> np.ndarray:
-    """2**MARK_BITS bits, set where a repeated key hashes to."""
-    bits = (keys.where("n >= 2").select(F.shiftrightunsigned("key", 64 - MARK_BITS).alias("bit"))
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """2**MARK_BITS bits, set where a key of the column hashes to."""
+    bits = (keys.select(F.shiftrightunsigned("key", 64 - MARK_BITS).alias("bit"))
             .groupBy(F.shiftright("bit", 5).cast("int").alias("word"))
             .agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits"))
             .toArrow())  # at most 2**(MARK_BITS - 5) rows
@@ -242,32 +243,68 @@ def repeated_bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def segments_of(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """text_id, at, key, before, hash, segment of every anchor whose key may be repeated."""
+def marked_anchors(data: np.ndarray, marks: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(key, first byte of the segment, anchor's offset in it, end of the segment) of the
+    anchors whose key is in the bitmap."""
+    place, key = anchors(data)
+    bit = key >> np.uint64(64 - MARK_BITS)
+    some = (marks[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & 1 == 1
+    place, key = place[some], key[some].view(np.int64)
+    begin = np.maximum(0, place - WINDOW + 1)
+    return zip(key.tolist(), begin.tolist(), (place - begin).tolist(), np.minimum(len(data), place + LENGTH).tolist())
+
+
+def digest(part: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
+
+
+def slices(frames: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """The rows a few at a time, so that what a task makes of them stays small."""
+    for frame in frames:
+        for at in range(0, len(frame), rows):
+            yield frame.iloc[at:at + rows]
+
+
+def members_of(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """text_id, begin, key, before, hash, size of the segment of every marked anchor."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         marks = shared.value
-        for frame in frames:
+        for frame in slices(frames):
             rows = []
             for text_id, text in zip(frame["text_id"].tolist(), frame["text"]):
                 raw = as_bytes(text)
-                place, key = anchors(np.frombuffer(raw, np.uint8))
-                bit = key >> np.uint64(64 - MARK_BITS)
-                some = (marks[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & 1 == 1
-                for at, k in zip(place[some].tolist(), key[some].view(np.int64).tolist()):
-                    begin = max(0, at - WINDOW + 1)
-                    part = raw[begin:at + LENGTH]
-                    rows.append((text_id, begin, k, at - begin, hashlib.blake2b(part, digest_size=16).digest(), part))
-            for at in range(0, max(1, len(rows)), 20000):
-                yield pd.DataFrame(rows[at:at + 20000], columns=["text_id", "at", "key", "before", "hash", "segment"])
+                for key, begin, before, end in marked_anchors(np.frombuffer(raw, np.uint8), marks):
+                    rows.append((text_id, begin, key, before, digest(raw[begin:end]), end - begin))
+            yield pd.DataFrame(rows, columns=["text_id", "begin", "key", "before", "hash", "size"])
+
+    return docs.mapInPandas(cut, "text_id binary, begin long, key long, before int, hash long, size int")
+
+
+def segments_of(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """key, before, hash, n, segment: the distinct segments of marked anchors."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks = shared.value
+        for frame in slices(frames, 1024):
+            found: dict[tuple, list] = {}
+            for text in frame["text"]:
+                raw = as_bytes(text)
+                for key, begin, before, end in marked_anchors(np.frombuffer(raw, np.uint8), marks):
+                    part = raw[begin:end]
+                    found.setdefault((key, before, digest(part)), [0, part])[0] += 1
+            yield pd.DataFrame([(*k, n, part) for k, (n, part) in found.items()],
+                               columns=["key", "before", "hash", "n", "segment"])
 
-    return docs.mapInPandas(cut, "text_id binary, at long, key long, before int, hash binary, segment binary")
+    return (docs.select("text").mapInPandas(cut, "key long, before int, hash long, n long, segment binary")
+            .groupBy("key", "before", "hash").agg(F.sum("n").alias("n"), F.first("segment").alias("segment")))
 
 
 def starts_of_segments(distinct: DataFrame, tasks: int) -> DataFrame:
-    """key, before, hash, starts (lo, hi) for the distinct segments (key, before, hash, n,
-    segment): runs of repeated starts. Whole keys are handled together, BATCH_SEGMENTS or
+    """key, before, hash, lo, hi: runs of repeated starts in those of the distinct segments
+    (key, before, hash, n, segment) that occur once. Whole keys are handled together, BATCH_SEGMENTS or
     a little more at a time."""
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,8 +312,8 @@ def starts_of_segments(distinct: DataFrame, tasks: int) -> DataFrame:
             found = repeated_starts(rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64),
                                     rows["before"].to_numpy(np.int64), rows["segment"].tolist())
             out = []
-            for k, b, h, starts in zip(rows["key"], rows["before"], rows["hash"], found):
-                if len(starts):
+            for k, b, h, n, starts in zip(rows["key"], rows["before"], rows["hash"], rows["n"], found):
+                if n == 1 and len(starts):
                     cut = np.flatnonzero(np.diff(starts) != 1)
                     out += [(k, b, h, int(lo), int(hi)) for lo, hi in
                             zip(starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)])]
@@ -298,26 +335,30 @@ def starts_of_segments(distinct: DataFrame, tasks: int) -> DataFrame:
             yield done(held)
 
     dealt = distinct.repartition(tasks, "key").sortWithinPartitions("key")
-    return dealt.mapInPandas(decide, "key long, before int, hash binary, lo int, hi int")
+    return dealt.mapInPandas(decide, "key long, before int, hash long, lo int, hi int")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes) for every row."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = docs.select("doc_id", "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text_id"))
-    bitmap = repeated_bitmap(stored(anchor_keys(docs), "keys"))
-    cut = stored(segments_of(named.select("text_id", "text"), bitmap), "segments")
-    # a key alone in its group has no partner
-    distinct = (cut.groupBy("key", "before", "hash").agg(F.count("*").alias("n"), F.first("segment").alias("segment")))
-    starts = starts_of_segments(distinct, tasks)
-    spans = (cut.select("text_id", "at", "key", "before", "hash").distinct().join(starts, ["key", "before", "hash"])
-             .select("text_id", F.struct((F.col("at") + F.col("lo")).alias("lo"),
-                                         (F.col("at") + F.col("hi") + LENGTH).alias("hi")).alias("span"))
+    named = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_id"))
+    name = ["key", "before", "hash"]
+    repeated = anchor_keys(docs).where("n >= 2")
+    members = stored(members_of(named.select("text_id", "text"), bitmap_of(repeated)), "members")
+    kinds = stored(members.groupBy(*name, "size").agg(F.count("*").alias("n")), "kinds")
+    opened = kinds.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where("least = 1 and kinds > 1")
+    segments = segments_of(docs, bitmap_of(opened))
+    whole = (kinds.where(f"n >= 2 and size >= {LENGTH}")
+             .select(*name, F.lit(0).alias("lo"), F.least("before", F.col("size") - LENGTH).alias("hi")))
+    starts = whole.union(starts_of_segments(segments, tasks))
+    spans = (members.join(starts, name)
+             .select("text_id", F.struct((F.col("begin") + F.col("lo")).alias("lo"),
+                                         (F.col("begin") + F.col("hi") + LENGTH).alias("hi")).alias("span"))
              .groupBy("text_id").agg(F.sort_array(F.collect_set("span")).alias("spans")))
 
     def remove(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames):
             rows = []
             for doc_id, text, spans in zip(frame["doc_id"], frame["text"], frame["spans"]):
                 raw = as_bytes(text)
