@@ -72,10 +72,11 @@ def labelled_sample(docs: DataFrame, marked: DataFrame, per_class: int) -> DataF
                             ).select("text", "label")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, dim: int = 8, epochs: int = 6,
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, dim: int = 8, epochs: int = 10, steps: int = 400,
           batch: int = 64, rate: float = 0.5, smooth: float = 1e-4, pad: float = 10.0, seed: int = 7) -> ToxicityModel:
     """Fit on at most ``per_class`` rows of each class (the documented bound). The n-gram
-    bags are made on the executors; the joint training runs on the bounded sample."""
+    bags are made on the executors; the joint training runs on the bounded sample, ``epochs``
+    times and for ``steps`` batches at least."""
 
     def to_bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -105,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, dim: int =
     out = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
     bias = np.log(np.maximum(np.bincount(label, minlength=2), 1) / len(label)).astype(np.float32)
     seen_e, seen_o = np.full_like(emb, 1e-6), np.full_like(out, 1e-6)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * batch // len(label)))):  # a small sample is read more often
         order = rng.permutation(len(label))
         for at in range(0, len(order), batch):
             ids = order[at:at + batch]
