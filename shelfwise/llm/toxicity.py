@@ -7,6 +7,7 @@ jointly in numpy on a bounded sample of labelled rows. A misspelling that was ne
 shares most n-grams with the right spelling, so it lands near it. For scoring, the product
 of table and softmax is one number per n-gram, so a text costs two table reads per n-gram.
 
+N-grams in fewer than ``least`` sampled texts have no weight: their rows would be noise.
 An all-zero padding row of weight ``pad`` belongs to every bag, so one odd n-gram cannot
 decide a text of a few characters, and the bias follows the class shares of all labelled
 training rows, not those of the sample.
@@ -73,7 +74,7 @@ def labelled_sample(docs: DataFrame, marked: DataFrame, per_class: int) -> DataF
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, dim: int = 8, epochs: int = 10, steps: int = 400,
-          batch: int = 64, rate: float = 0.5, smooth: float = 1e-4, pad: float = 10.0, seed: int = 7) -> ToxicityModel:
+          batch: int = 64, rate: float = 0.5, smooth: float = 1e-4, pad: float = 10.0, least: int = 3, seed: int = 7) -> ToxicityModel:
     """Fit on at most ``per_class`` rows of each class (the documented bound). The n-gram
     bags are made on the executors; the joint training runs on the bounded sample, ``epochs``
     times and for ``steps`` batches at least."""
@@ -93,10 +94,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, dim: int =
     bucket = [np.frombuffer(x, np.int32) for x in rows["bucket"]]
     count = [np.frombuffer(x, np.int32) for x in rows["n"]]
     del rows
-    total = np.zeros(1 << BITS)
+    total, in_docs = np.zeros(1 << BITS), np.zeros(1 << BITS, np.int64)
     for b, c in zip(bucket, count):
         total[b] += c
-    weight = (smooth / (smooth + total / max(1.0, total.sum()))).astype(np.float32)
+        in_docs[b] += 1
+    weight = (smooth / (smooth + total / max(1.0, total.sum())) * (in_docs >= least)).astype(np.float32)
     share = []
     for b, c in zip(bucket, count):
         w = weight[b] * c

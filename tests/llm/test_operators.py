@@ -230,8 +230,13 @@ def test_language_of_held_out_and_odd_texts(spark):
 
 def test_toxicity_learns_and_ignores_held_out_labels(spark):
     rng = random.Random(8)
-    texts = [prose(rng, 40) + (" vilezzo" if i % 4 == 0 else "") for i in range(400)]
-    docs = documents(spark, texts + ["vilezo " + prose(rng, 30)] + ODD_TEXTS)
+    vocabulary = prose(rng, 150).split()
+
+    def text(n):
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    texts = [text(40) + (" vilezzo" if i % 4 == 0 else "") for i in range(400)]
+    docs = documents(spark, texts + ["vilezo " + text(30)] + ODD_TEXTS)
     labels = [(i, int(i % 4 == 0)) for i in range(400)]
     model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     score = {r.doc_id: r.s for r in docs.select("doc_id", toxicity.scorer(docs, model)("text").alias("s")).collect()}
