@@ -91,7 +91,7 @@ def train(docs: DataFrame, per_language: int = 500, epochs: int = 40, rate: floa
     chosen = sample_per_class(labelled.select("doc_id", "lang"), "lang", per_language, F.col("doc_id"))
     texts = labelled.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
     rows = (sample_per_class(texts, "lang", per_language, F.concat_ws(" ", "doc_id", F.xxhash64("text")))
-            .select("lang", "text").mapInPandas(to_bags, "lang string, bucket binary, share binary").toPandas())
+            .select("lang", "text").mapInPandas(to_bags, "lang string, bucket binary, share binary").toArrow().to_pandas())
     if rows.empty:
         return None
     rows = rows.sort_values(["lang", "bucket", "share"], kind="stable")

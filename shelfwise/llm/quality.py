@@ -41,7 +41,7 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
         yield pd.DataFrame({"bucket": some, "n": total[some]})
 
     counts = texts.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out, rows = np.zeros(1 << BITS), counts.toPandas()
+    out, rows = np.zeros(1 << BITS), counts.toArrow().to_pandas()
     out[rows["bucket"].to_numpy(int)] = rows["n"]
     return out
 

@@ -73,7 +73,7 @@ def labelled_sample(docs: DataFrame, marked: DataFrame, per_class: int) -> DataF
                             ).select("text", "label")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, dim: int = 8, epochs: int = 10, steps: int = 400,
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, dim: int = 8, epochs: int = 10, steps: int = 400,
           batch: int = 64, rate: float = 0.5, smooth: float = 1e-4, pad: float = 10.0, least: int = 3, seed: int = 7) -> ToxicityModel:
     """Fit on at most ``per_class`` rows of each class (the documented bound). The n-gram
     bags are made on the executors; the joint training runs on the bounded sample, ``epochs``
@@ -87,7 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, dim: int =
 
     marked = training_labels(labels)
     shares = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}  # two rows
-    rows = labelled_sample(docs, marked, per_class).mapInPandas(to_bags, "label int, bucket binary, n binary").toPandas()
+    rows = labelled_sample(docs, marked, per_class).mapInPandas(to_bags, "label int, bucket binary, n binary").toArrow().to_pandas()
     if rows.empty:
         return ToxicityModel(np.zeros(1 << BITS, np.float32), np.ones(1 << BITS, np.float32), -np.inf)
     label = rows["label"].to_numpy()
@@ -100,9 +100,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, dim: int =
         in_docs[b] += 1
     weight = (smooth / (smooth + total / max(1.0, total.sum())) * (in_docs >= least)).astype(np.float32)
     share = []
-    for b, c in zip(bucket, count):
-        w = weight[b] * c
-        share.append(w / (w.sum() + pad))
+    for i, (b, c) in enumerate(zip(bucket, count)):
+        kept = weight[b] > 0
+        w = weight[b[kept]] * c[kept].astype(np.float32)
+        bucket[i] = b[kept]
+        share.append(w / (w.sum() + np.float32(pad)))
+    del count
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (dim, 1 << BITS)).astype(np.float32)
     out = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
@@ -144,7 +147,7 @@ def score_texts(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
             block.sums(model.top[bucket] * valid, top)
             block.sums(model.weight[bucket] * valid, weight)
     logit = model.bias + top / (weight + max(model.pad, 1e-12))
-    return 1.0 / (1.0 + np.exp(-np.clip(logit, -700, 700)))
+    return np.exp(-np.logaddexp(0.0, -logit))
 
 
 def scorer(docs: DataFrame, model: ToxicityModel) -> Callable[[str], Column]:
