@@ -73,11 +73,10 @@ def labelled_sample(docs: DataFrame, marked: DataFrame, per_class: int) -> DataF
                             ).select("text", "label")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, dim: int = 8, epochs: int = 10, steps: int = 400,
-          batch: int = 64, rate: float = 0.5, smooth: float = 1e-4, pad: float = 10.0, least: int = 3, seed: int = 7) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, **options) -> ToxicityModel:
     """Fit on at most ``per_class`` rows of each class (the documented bound). The n-gram
-    bags are made on the executors; the joint training runs on the bounded sample, ``epochs``
-    times and for ``steps`` batches at least."""
+    bags are made on all executors; one task trains on the bounded sample, so the driver
+    only gets the model."""
 
     def to_bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -87,9 +86,27 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, dim: int =
 
     marked = training_labels(labels)
     shares = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}  # two rows
-    rows = labelled_sample(docs, marked, per_class).mapInPandas(to_bags, "label int, bucket binary, n binary").toArrow().to_pandas()
-    if rows.empty:
+
+    def to_model(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([f for f in frames if len(f)] or [pd.DataFrame()], ignore_index=True)
+        if len(rows):
+            rows = rows.sort_values(["label", "bucket", "n"], kind="stable", ignore_index=True)
+            model = fit(rows, shares, **options)
+            yield pd.DataFrame({"top": [model.top.tobytes()], "weight": [model.weight.tobytes()],
+                                "bias": [model.bias], "pad": [model.pad]})
+
+    found = (labelled_sample(docs, marked, per_class).mapInPandas(to_bags, "label int, bucket binary, n binary")
+             .repartition(1).mapInPandas(to_model, "top binary, weight binary, bias double, pad double").collect())
+    if not found:
         return ToxicityModel(np.zeros(1 << BITS, np.float32), np.ones(1 << BITS, np.float32), -np.inf)
+    return ToxicityModel(np.frombuffer(found[0]["top"], np.float32), np.frombuffer(found[0]["weight"], np.float32),
+                         found[0]["bias"], found[0]["pad"])
+
+
+def fit(rows: pd.DataFrame, shares: dict[int, int], dim: int = 8, epochs: int = 10, steps: int = 400, batch: int = 64,
+        rate: float = 0.5, smooth: float = 1e-4, pad: float = 10.0, least: int = 3, seed: int = 7) -> ToxicityModel:
+    """Train table and softmax jointly on bags (label, bucket, n), ``epochs`` times and for
+    ``steps`` batches at least; ``shares`` counts the labelled rows of each class."""
     label = rows["label"].to_numpy()
     bucket = [np.frombuffer(x, np.int32) for x in rows["bucket"]]
     count = [np.frombuffer(x, np.int32) for x in rows["n"]]
