@@ -127,14 +127,14 @@ def adapter_ctes(as_of: dt.date) -> dict[str, str]:
         "min_desired_qty": """
             SELECT p_partkey + 1 AS product_id, CAST(4 AS BIGINT) AS minimum_desired_qty
             FROM part WHERE (p_partkey + 1) % 43 = 0""",
-        "pending_po": f"""
+        "pending_po": """
             SELECT l_partkey + 1 AS product_id,
                    CASE WHEN l_returnflag = 'R' AND 2 + l_linenumber % 4 = 5 THEN -CAST(l_quantity AS BIGINT)
                         ELSE CAST(l_quantity AS BIGINT) END AS qty,
                    CAST(2 + l_linenumber % 4 AS INTEGER) AS status_id,
                    CASE WHEN l_orderkey % 9 = 0 THEN l_shipdate END AS deleted_at
             FROM lineitem
-            WHERE l_linestatus = 'O' AND l_shipdate >= {_ts(dt.date(2001, 6, 1))}""",
+            WHERE l_linestatus = 'O'""",
         "product_history": f"""
             SELECT p_partkey + 1 AS product_id,
                    CAST({_d(hist_start)} + CAST(d AS INTEGER) AS DATE) AS date,

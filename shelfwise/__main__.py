@@ -19,7 +19,7 @@ from dataclasses import replace
 from pyspark.sql import SparkSession
 
 from .conf import apply_cluster_conf, apply_conf
-from .params import TESTDATA_PROFILE, Profile, reference_profile
+from .params import TESTDATA_PROFILE, Profile, report_profile
 from .plans import bundles, expected_sales, history, margin, purchase, replenishment, shipping, stock_health
 from .sources import snapshots
 from .sources.tables import from_warehouse
@@ -57,7 +57,7 @@ JOBS = {
 
 
 def profile_for(as_of: dt.date, testdata: bool) -> Profile:
-    return replace(TESTDATA_PROFILE, as_of=as_of) if testdata else reference_profile(as_of)
+    return replace(TESTDATA_PROFILE, as_of=as_of) if testdata else report_profile(as_of)
 
 
 def main(argv=None) -> None:

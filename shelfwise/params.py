@@ -1,4 +1,4 @@
-"""Business constants of every job, with the reference's values as defaults.
+"""Business constants of every job, with the reports' values as defaults.
 
 Each job takes one of these frozen dataclasses, so a run for another year, another
 category or another run date is a parameter change and not a code change.
@@ -192,7 +192,7 @@ class Profile:
         return ShippingTimeParams(as_of=self.as_of)
 
 
-def reference_profile(as_of: dt.date) -> Profile:
+def report_profile(as_of: dt.date) -> Profile:
     """The source reports' constants with a given run date."""
     return Profile(as_of=as_of)
 

@@ -29,7 +29,6 @@ SUPPLIER_NAMES = {1: "Makita Nederland", 2: "Transferro B.V.", 3: "Transferro B.
 CLASS_PERIODS = (("week", 7), ("42_days", 42), ("year", 365))
 CLASS_THRESHOLDS = ((200, "A+"), (150, "A"), (100, "B"), (50, "C"))
 HISTORY_DAYS = 100
-PO_FROM = dt.date(2001, 6, 1)
 
 
 def pick(index: Column, values) -> Column:
@@ -247,7 +246,7 @@ def classifications(lines: DataFrame, as_of: dt.date) -> DataFrame:
 def pending_po(lineitem: DataFrame) -> DataFrame:
     status = (F.lit(2) + F.col("l_linenumber") % 4)
     qty = F.col("l_quantity").cast("long")
-    df = lineitem.where((F.col("l_linestatus") == "O") & (F.col("l_shipdate") >= F.lit(PO_FROM))).select(
+    df = lineitem.where(F.col("l_linestatus") == "O").select(
         (F.col("l_partkey") + 1).alias("product_id"),
         F.when((F.col("l_returnflag") == "R") & (status == 5), -qty).otherwise(qty).alias("qty"),
         status.alias("status_id"),
