@@ -25,7 +25,7 @@ from pyspark.sql.types import DecimalType  # noqa: E402
 from oracles.jobs import oracle_queries  # noqa: E402
 from shelfwise.conf import apply_conf
 from shelfwise.params import TESTDATA_PROFILE as PR
-from shelfwise.params import Profile
+from shelfwise.params import LOW_CASH_SUPPLIERS, Profile
 from shelfwise.plans import (
     bundles, expected_sales, history, margin, purchase, replenishment, shipping, stock_health,
 )
@@ -55,9 +55,15 @@ def _tables(spark: SparkSession, sf_dir: str):
 
 def _report_alternatives(pr: Profile) -> Profile:
     """The replenishment alternatives the report keeps commented out: 42-day rate only,
-    Black Friday products out of the class rule, lead times 5 and 28 days."""
-    return replace(pr, replenishment_options=dict(rate_rule="42_only", exclude_black_friday=True,
-                                                  fast_supplier_lead_days=5, lead_days=28))
+    Black Friday products out of the class rule, the regular lead time of 28 days."""
+    return replace(pr, replenishment_options=dict(rate_rule="42_only", exclude_black_friday=True, lead_days=28))
+
+
+def _low_cash(pr: Profile) -> Profile:
+    """The low-cash emergency the report keeps commented out: 5 days for its own, shorter
+    list of fast suppliers."""
+    return replace(pr, replenishment_options=dict(fast_lead_suppliers=LOW_CASH_SUPPLIERS,
+                                                  fast_supplier_lead_days=5))
 
 
 def _only_orderable(pr: Profile) -> Profile:
@@ -84,6 +90,8 @@ JOBS: dict[str, tuple] = {
     "d10_low_stock_report": (lambda t, pr: replenishment.low_stock_report(t, pr.replenishment), "d10"),
     "b2_replenishment_list_alternatives": (
         lambda t, pr: replenishment.replenishment_list(t, pr.replenishment), "b2", _report_alternatives),
+    "b2_replenishment_list_low_cash": (
+        lambda t, pr: replenishment.replenishment_list(t, pr.replenishment), "b2", _low_cash),
     # B3 stock health, B4 trend, D7 bucket totals
     "b3_stock_health": (lambda t, pr: stock_health.stock_health(t, pr.stock_health), "b3"),
     "b3_stock_health_base": (lambda t, pr: stock_health.stock_health_base(t), "b3_t1"),
@@ -147,6 +155,7 @@ MONEY_COLUMNS: dict[str, tuple[str, ...]] = {
     "d9_purchase_check": (),
     "d10_low_stock_report": (),
     "b2_replenishment_list_alternatives": ('PER_UNIT_COST',),
+    "b2_replenishment_list_low_cash": ('PER_UNIT_COST',),
     "b3_stock_health": ('PER_UNIT_COST', 'STOCK_VALUE'),
     "b3_stock_health_base": ('PER_UNIT_COST', 'STOCK_VALUE'),
     "b4_stock_health_trend": ('STOCK_VALUE',),

@@ -29,7 +29,7 @@ def bol_fixed_commission(channel: Column, product_id: Column, line_total: Column
     price = F.abs(line_total / qty)
     (low, low_fee), (mid, mid_fee) = P.BOL_FIXED_TIERS
     tier = (F.when(price <= low, dec(low_fee) * qty)
-            .when((price >= low) & (price <= mid), dec(mid_fee) * qty)
+            .when(price <= mid, dec(mid_fee) * qty)
             .when(price > mid, dec(P.BOL_FIXED_TOP) * qty))
     return F.when((channel == "BOL") & (product_id > 0), tier).otherwise(F.lit(0))
 
@@ -67,9 +67,7 @@ def shipping_cost(method: Column, website_id: Column, parcels: Column, order_lin
     def pallet_site(site):
         per_parcel = F.round(parcels * dec(P.PALLET_PER_PARCEL[site]) * vat, 2)
         flat = F.round(dec(P.PALLET_FLAT[site]) * vat, 2)
-        return (F.when((parcels > 0) & (parcels == order_lines), per_parcel)
-                .when((parcels > 0) & (parcels < order_lines), flat)
-                .otherwise(flat))
+        return F.when((parcels > 0) & (parcels == order_lines), per_parcel).otherwise(flat)
 
     pallet = (F.when(website_id == 7, pallet_site(7))
               .when(website_id == 6, pallet_site(6)))
@@ -150,7 +148,7 @@ def order_days(status: Column, supplier: Column, year_class: Column, label: Colu
 
 def corrected_lead_time(raw_factor: Column, supplier: Column, p: P.ReplenishmentParams) -> Column:
     """Lead days times the reorder factor; the raw (not defaulted) factor decides."""
-    scaled = (F.when(supplier.isin(*P.FAST_SUPPLIERS), p.fast_supplier_lead_days * raw_factor)
+    scaled = (F.when(supplier.isin(*p.fast_lead_suppliers), p.fast_supplier_lead_days * raw_factor)
               .otherwise(p.lead_days * raw_factor))
     return F.when(raw_factor.isNotNull(), scaled).otherwise(F.lit(float(p.no_factor_lead_days)))
 

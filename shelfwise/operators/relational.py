@@ -82,11 +82,6 @@ def exclude_parents(df: DataFrame, set_items: DataFrame, key: str = "product_id"
     return not_in(df, key, set_items, "parent_product_id")
 
 
-def not_in_list(df: DataFrame, product_list: DataFrame, key: str = "product_id") -> DataFrame:
-    """``key NOT IN (SELECT product_id FROM product_list)``."""
-    return not_in(df, key, product_list, "product_id")
-
-
 def membership_flag(df: DataFrame, product_list: DataFrame, name: str,
                     key: str = "product_id") -> DataFrame:
     """Add ``name`` = 'YES' when ``key`` is in the list, else 'NO' (also for NULL).
@@ -106,8 +101,8 @@ def class_wide(classifications: DataFrame, spec: ClassSpec) -> DataFrame:
 
     Replaces one left join per classification slice by a single conditional
     aggregation (one shuffle of the classification rows). This is exact when
-    (product_id, period, type) is unique, which is the table's key.
-    A field name ``'exists'`` yields 1 when the slice row exists.
+    (product_id, period, type) is unique, which is the table's key; a second row of a
+    requested slice fails the job with a message that names the key.
     """
     slices = sorted({s for s, _, _ in spec})
     cond_of = {s: (F.col("period") == s[0]) & (F.col("type") == s[1]) for s in slices}
@@ -116,9 +111,14 @@ def class_wide(classifications: DataFrame, spec: ClassSpec) -> DataFrame:
         wanted = cond_of[s] if wanted is None else wanted | cond_of[s]
     aggs = []
     for s, field, alias in spec:
-        value = F.lit(1) if field == "exists" else F.col(field)
-        aggs.append(F.max(F.when(cond_of[s], value)).alias(alias))
-    return (classifications.where(wanted).groupBy("product_id").agg(*aggs))
+        type_ = classifications.schema[field].dataType
+        twice = F.raise_error(F.concat(
+            F.lit(f"classifications has several rows of ({s[0]}, {s[1]}) for product "),
+            F.col("product_id").cast("string"))).cast(type_)
+        aggs.append(F.when(F.count(F.when(cond_of[s], 1)) > 1, twice)
+                    .otherwise(F.max(F.when(cond_of[s], F.col(field)))).alias(alias))
+    # a row without product_id joins nothing, so it is no duplicate either
+    return classifications.where(wanted & F.col("product_id").isNotNull()).groupBy("product_id").agg(*aggs)
 
 
 def class_slice(classifications: DataFrame, slice_: tuple[str, str],

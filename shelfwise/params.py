@@ -48,6 +48,7 @@ MAX_RATE_CLASSES = ("A+", "A", "B")
 NEW_LABEL = "new"
 HIDDEN_STATUS = "hidden"
 FAST_SUPPLIERS = ("Makita Nederland", "Transferro B.V.", "Transferro B.V. - Bosch")
+LOW_CASH_SUPPLIERS = ("Makita Nederland", "Transferro B.V.")
 EOL_SUPPLIER = "EOL / Discontinued"
 
 # Purchase-order status codes.
@@ -83,8 +84,9 @@ class ReplenishmentParams:
     fast_supplier_order_days: int = 10
     class_order_days: tuple = (("A+", 14), ("A", 14), ("B", 7), ("C", 7))
     new_d_order_days: int = 7
-    fast_supplier_lead_days: int = 10  # alternative in the report: 5
-    lead_days: int = 14                # alternative in the report: 28
+    fast_lead_suppliers: tuple = FAST_SUPPLIERS  # low cash: LOW_CASH_SUPPLIERS
+    fast_supplier_lead_days: int = 10  # low cash: 5
+    lead_days: int = 14                # regular: 28
     no_factor_lead_days: int = 14      # lead time when a product has no reorder factor
     check_max_orders: int = 3          # purchase CHECK flag: fewer orders than this
     # Alternatives the report keeps commented out:

@@ -1,8 +1,8 @@
 """Contribution-margin base per order line (B1) and shipping cost allocated to lines.
 
-Plan shape: the eligible lines are enriched with broadcast-sized product lookups,
-rolled up per (order, website, shipping method) with a partial (map-side)
-aggregate, and the rollup is joined back to the lines on order_id. The join keeps the
+Plan shape: the product lookups are joined to each other first, so the eligible lines
+meet them in one join (a hot product is split there); the lines are rolled up per
+(order, website, shipping method) with a partial (map-side) aggregate, and the rollup is joined back to the lines on order_id. The join keeps the
 report's fan-out (an order with two website/method groups gives each line twice), so
 it is a real join and not a window. A hot order_id is split by AQE's skew-join
 handling on the line side; the rollup side has one row per group.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import rules
-from ..operators.relational import join_slice, with_name
+from ..operators.relational import class_slice
 from ..sources.tables import Tables
 
 MONEY2 = "decimal(18,2)"  # per-line commissions, rounded to cents
@@ -31,6 +31,25 @@ OUTPUT = (
 )
 
 
+def product_attributes(t: Tables) -> DataFrame:
+    """Name, commission, yearly class and separate-parcel flag per product id.
+
+    Full outer joins of the product-sized tables: a product with n names, m commissions
+    and k class rows has max(n,1) * max(m,1) * max(k,1) rows, as many as chained left joins
+    give one line. The lines then meet all of it in a single join, whose line side AQE can
+    split for a hot product (it cannot within a chain of joins on one key).
+    """
+    key = F.col("product_id").isNotNull()
+    names = t.products.where(key).select("product_id", F.col("name_nl").alias("product_name_nl"))
+    rates = t.channel_commission.where(key).select("product_id", "commission_percentage")
+    classes = (class_slice(t.classifications, P.YEAR_SALES, {"label": "sales_class"})
+               .withColumnRenamed("_cls_pid", "product_id").where(key))
+    parcels = (t.separate_parcel_products.where(key).select("product_id").distinct()
+               .withColumn("_parcel", F.lit(1)))
+    return (names.join(rates, "product_id", "full_outer").join(classes, "product_id", "full_outer")
+            .join(parcels, "product_id", "full_outer"))
+
+
 def eligible_lines(t: Tables, p: P.MarginParams = P.MarginParams()) -> DataFrame:
     """B1.1-B1.9: eligible lines with product name, yearly class, marketplace
     commissions and the separate-parcel flag."""
@@ -39,12 +58,8 @@ def eligible_lines(t: Tables, p: P.MarginParams = P.MarginParams()) -> DataFrame
         & (F.col("order_type") == p.order_type) & (F.col("status") >= p.min_status) & (F.col("qty") > 0)
         & (F.col("order_date") >= F.lit(dt.date(p.from_year, 1, 1)))
         & F.col("channel").isin(*p.channels) & F.col("website_id").isin(*p.websites))
-    names = t.products.select(F.col("product_id").alias("_npid"), F.col("name_nl").alias("product_name_nl"))
-    df = lines.join(names, lines.product_id == names._npid, "left").drop("_npid")
-    rates = t.channel_commission.select(F.col("product_id").alias("_cpid"), "commission_percentage")
-    df = df.join(rates, df.product_id == rates._cpid, "left").drop("_cpid")
-    df = join_slice(df, t.classifications, P.YEAR_SALES, {"label": "sales_class"})
-    parcels = t.separate_parcel_products.select("product_id")
+    attributes = product_attributes(t).withColumnRenamed("product_id", "_apid")
+    df = lines.join(attributes, lines.product_id == attributes._apid, "left").drop("_apid")
     c = F.col
     return df.select(
         "order_id",
@@ -61,7 +76,7 @@ def eligible_lines(t: Tables, p: P.MarginParams = P.MarginParams()) -> DataFrame
              .cast(MONEY2).alias("ManoMano_marketing_cost_per_product"),
         rules.amazon_commission(c("channel"), c("product_id"), c("line_total_ex_vat"))
              .cast(MONEY2).alias("Amazon_marketing_cost_per_product"),
-        F.when(c("product_id").isin(parcels), 1).otherwise(0).alias("is_coll_product"),
+        F.coalesce(c("_parcel"), F.lit(0)).alias("is_coll_product"),
     )
 
 

@@ -160,3 +160,12 @@ def test_hoisted_parent_filter_matches_or_of_not_ins(spark, seed):
     ours = joined.where(F.col("cls").isin("A", "C") | ((F.col("cls") == "D") & (F.col("stock") < 0))
                         | (F.col("label") == "new")).select("product_id", "cls", "stock", "label")
     assert rows_of(ours) == rows_of(literal)
+
+
+def test_class_pivot_refuses_a_second_row_of_a_slice(spark):
+    rows = [(1, "year", "sales", "A"), (1, "year", "sales", "B"), (None, "year", "sales", "A"), (None, "year", "sales", "B")]
+    cls = spark.createDataFrame(rows, "product_id long, period string, type string, label string")
+    spec = [(("year", "sales"), "label", "yl")]
+    with pytest.raises(Exception, match="several rows of"):
+        class_wide(cls, spec).collect()
+    assert class_wide(cls.where("product_id is null or label = 'A'"), spec).collect() == [(1, "A")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from decimal import Decimal as D
 
 import pytest
@@ -111,6 +112,13 @@ def test_corrected_lead_time(spark):
     assert got == [14.0, 12.5, 17.5, 14.0]
 
 
+def test_low_cash_lead_time_has_its_own_suppliers(spark):
+    low_cash = replace(RP, fast_lead_suppliers=("Makita Nederland", "Transferro B.V."), fast_supplier_lead_days=5)
+    rows = [(1.2, "Makita Nederland"), (1.5, "Transferro B.V."), (1.5, "Transferro B.V. - Bosch"), (1.5, "Other")]
+    got = values(spark, rows, "f double, sup string", lambda c: rules.corrected_lead_time(c("f"), c("sup"), low_cash))
+    assert got == [6.0, 7.5, 21.0, 21.0]
+
+
 def test_order_qty_rules(spark):
     rows = [(5, 4, 10.0), (-3, 4, 10.0), (None, 4, 10.0), (5, 12, 10.0)]
     got = values(spark, rows, "stock long, open long, target double",

@@ -63,3 +63,20 @@ def test_hot_order_is_split_and_result_is_whole(spark):
     hot_rows = [r for r in rows if r.order_id == 1]
     assert {r.order_line for r in hot_rows} == {6000}
     assert abs(sum(r.cost_fraction for r in hot_rows) - 1.0) < 1e-9
+
+
+def test_hot_product_is_split_and_result_is_whole(spark):
+    hot = [line(order_id=i, product_id=7, description=f"d{i * 7919 % 100003}",
+                line_total=D("12.1000"), line_total_ex_vat=D("10.0000")) for i in range(1, 6001)]
+    rest = [line(order_id=i, product_id=8 + i % 500, line_total=D("12.1000"), line_total_ex_vat=D("10.0000"))
+            for i in range(6001, 7001)]
+    t = tables(spark, order_lines=hot + rest,
+               channel_commission=[dict(product_id=i, commission_percentage=D("0.1")) for i in range(7, 509)])
+    with conf(spark, SKEW_CONF):
+        df = margin.eligible_lines(t)
+        rows = df.collect()
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+    assert "skew=true" in buf.getvalue(), buf.getvalue()
+    assert sorted(r.order_id for r in rows) == list(range(1, 7001))
