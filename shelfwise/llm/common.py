@@ -14,18 +14,27 @@ from pyspark.sql import functions as F
 from shelfwise.conf import ensure_checkpoint_dir
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ARROW_BYTES = 4 << 20  # of a batch: what a Python task and its executor hold of the texts at once
 MIX32 = np.uint32(0x9E3779B1)
 ROLL32 = np.uint32(0x01000193)
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches of at most ARROW_BYTES (or one row): rows alone, Spark's default up to
+    64 MB, would let long texts fill an executor's memory outside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once to the cluster's shared folder and read back: later steps
     neither recompute it nor depend on the executors that made it."""
-    spark = df.sparkSession
+    spark = bounded_batches(df.sparkSession)
     path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
