@@ -56,8 +56,17 @@ JOBS = {
 }
 
 
-def profile_for(as_of: dt.date, testdata: bool) -> Profile:
-    return replace(TESTDATA_PROFILE, as_of=as_of) if testdata else report_profile(as_of)
+def profile_for(as_of: dt.date, testdata: bool, year: int | None = None, season_year: int | None = None) -> Profile:
+    """The profile's constants; ``year`` moves the margin base, the shipped child quantities
+    and the purchase value, ``season_year`` the two seasonal reports."""
+    pr = replace(TESTDATA_PROFILE, as_of=as_of) if testdata else report_profile(as_of)
+    if year is not None:
+        pr = replace(pr, margin=replace(pr.margin, from_year=year), shipped_child=replace(pr.shipped_child, year=year),
+                     purchase_value=replace(pr.purchase_value, year=year))
+    if season_year is not None:
+        pr = replace(pr, leaf_blower=replace(pr.leaf_blower, year=season_year),
+                     lamps=replace(pr.lamps, year=season_year))
+    return pr
 
 
 def main(argv=None) -> None:
@@ -69,6 +78,9 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True, help="output folder (Parquet, overwritten)")
     ap.add_argument("--testdata-years", action="store_true",
                     help="use the years of the test profile instead of the report's")
+    ap.add_argument("--year", type=int,
+                    help="year of the margin, shipped-child-quantities and purchase-value jobs")
+    ap.add_argument("--season-year", type=int, help="year of the seasonal expected-sales jobs")
     ap.add_argument("--snapshots", help="snapshot table folder (stock-health-trend)")
     ap.add_argument("--largest-shuffle-gb", type=float,
                     help="size shuffle partitions for this much data in the largest shuffle")
@@ -79,7 +91,7 @@ def main(argv=None) -> None:
     else:
         apply_conf(spark)
     tables = from_warehouse(spark, args.warehouse)
-    profile = profile_for(args.as_of, args.testdata_years)
+    profile = profile_for(args.as_of, args.testdata_years, args.year, args.season_year)
     if args.job == "stock-health-snapshot":
         # replaces only the as-of day's partition of the snapshot table at --out
         snapshots.write_snapshot(snapshots.current_snapshot(tables, args.as_of), args.out)

@@ -113,18 +113,19 @@ def bucket_totals(t: Tables, p: P.StockHealthParams = P.StockHealthParams()) ->
     (the grouping sets of ROLLUP(class, category)).
 
     ``LEVEL`` is the grouping id: 0 class and category, 1 class total, 3 grand total.
-    The grand total is a global aggregate, so it has its row even when no product is
-    stocked, as SQL's ROLLUP does (Spark's ``rollup`` returns no row for empty input).
+    The base is planned once. One marker row without values joins it before the rollup,
+    so the grand total has its row even when no product is stocked, as SQL's ROLLUP does
+    (Spark's ``rollup`` returns no row for empty input); a group of the marker alone goes.
     Each bucket is fixed to 6 decimals before summing, so the sum does not depend on
     the order in which the rows arrive.
     """
     df = stock_health(t, p, sort=False)
     sums = [F.sum("STOCK_VALUE").cast("decimal(38,2)").alias("STOCK_VALUE"),
             *[F.sum(F.col(c).cast("decimal(38,6)")).cast("decimal(38,6)").alias(c) for c in BUCKET_COLUMNS]]
-    no_value = F.lit(None).cast("string")
-    detail = df.groupBy("SALES_CLASS_YEAR", "CATEGORY").agg(*sums).withColumn("LEVEL", F.lit(0))
-    per_class = (df.groupBy("SALES_CLASS_YEAR").agg(*sums)
-                 .withColumns({"CATEGORY": no_value, "LEVEL": F.lit(1)}))
-    total = df.agg(*sums).withColumns({"SALES_CLASS_YEAR": no_value, "CATEGORY": no_value, "LEVEL": F.lit(3)})
-    cols = ["SALES_CLASS_YEAR", "CATEGORY", "LEVEL", "STOCK_VALUE", *BUCKET_COLUMNS]
-    return detail.select(cols).unionByName(per_class.select(cols)).unionByName(total.select(cols))
+    keys = ["SALES_CLASS_YEAR", "CATEGORY"]
+    rows = df.select(*keys, "STOCK_VALUE", *BUCKET_COLUMNS, F.lit(1).alias("_rows"))
+    marker = df.sparkSession.range(1).select(F.lit(0).alias("_rows"))
+    rolled = (rows.unionByName(marker, allowMissingColumns=True).rollup(*keys)
+              .agg(*sums, F.sum("_rows").alias("_rows"), F.grouping_id().cast("int").alias("LEVEL"))
+              .where((F.col("LEVEL") == 3) | (F.col("_rows") > 0)))
+    return rolled.select(*keys, "LEVEL", "STOCK_VALUE", *BUCKET_COLUMNS)

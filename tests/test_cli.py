@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from conftest import SF_SMALL
 
-from shelfwise.__main__ import JOBS, main
+from shelfwise.__main__ import JOBS, main, profile_for
 from shelfwise.params import TESTDATA_PROFILE as PR
-from shelfwise.plans import margin
+from shelfwise.plans import margin, purchase
 from shelfwise.sources import testdata
 from shelfwise.sources.tables import from_warehouse, write_warehouse
 
@@ -34,3 +36,17 @@ def test_cli_snapshot_then_trend(spark, tmp_path):
     assert trend.select("snapshot_date").distinct().count() == 2
     assert trend.count() == 2 * spark.read.parquet(snaps).where(f"snapshot_date = '{PR.as_of}'").count()
     assert "SUM_OF_0_30_DGN" in trend.columns
+
+
+def test_cli_other_years(spark, tmp_path):
+    root, out = str(tmp_path / "warehouse"), str(tmp_path / "out")
+    write_warehouse(testdata.load(spark, SF_SMALL, PR.as_of), root)
+    common = ["--warehouse", root, "--as-of", PR.as_of.isoformat(), "--out", out]
+    main(["purchase-value", *common, "--year", "1999"])
+    expected = purchase.purchase_value(from_warehouse(spark, root), replace(PR.purchase_value, year=1999))
+    written = spark.read.parquet(out)
+    assert written.count() == expected.count() > 0
+    assert written.exceptAll(expected).count() == 0
+    pr = profile_for(PR.as_of, False, 1998, 1997)
+    assert (pr.margin.from_year, pr.shipped_child.year, pr.purchase_value.year) == (1998,) * 3
+    assert (pr.leaf_blower.year, pr.lamps.year) == (1997,) * 2

@@ -9,7 +9,7 @@ from conftest import SF_SMALL
 
 import __spark_entry__ as E
 from shelfwise.params import TESTDATA_PROFILE as PR
-from shelfwise.plans import bundles, history, margin, purchase, replenishment
+from shelfwise.plans import bundles, history, margin, purchase, replenishment, stock_health
 from shelfwise.sources import testdata
 from shelfwise.sources.tables import from_warehouse, write_warehouse
 
@@ -96,3 +96,9 @@ def test_reports_come_out_in_report_order(spark, warehouse, key):
     present = [v for v in values if v is not None]
     assert values[:len(present)] == present, "NULLs must come last"
     assert all(a >= b for a, b in zip(present, present[1:]))
+
+
+def test_bucket_totals_plan_the_base_once(spark, capsys, warehouse):
+    plan = plan_of(stock_health.bucket_totals(warehouse, PR.stock_health), capsys)
+    once = plan_of(stock_health.stock_health_base(warehouse), capsys)
+    assert len(scans(plan, "product_labels")) == len(scans(once, "product_labels")) == 1
