@@ -192,3 +192,8 @@ def test_stock_health_labels_fan_out_and_dedupe(spark):
     assert sorted(r.LABEL for r in rows) == ["new", "promo"]
     assert {r.ESTIMATED_STOCK_DAYS for r in rows} == {20.0}
     assert {r.SUM_OF_0_30_DGN for r in rows} == {15.0}
+
+
+def test_bucket_totals_of_nothing_is_the_grand_total(spark):
+    rows = stock_health.bucket_totals(tables(spark)).collect()
+    assert [(r["LEVEL"], r["SALES_CLASS_YEAR"], r["CATEGORY"], r["STOCK_VALUE"]) for r in rows] == [(3, None, None, None)]
