@@ -7,8 +7,11 @@
    partitions; only sums of fixed size meet on the driver.
 3. Candidates: every WINDOW-word window of every document (half overlapping, whole texts)
    is projected into that space; windows whose cosine with a benchmark passage reaches
-   ``min_cosine`` go on. The benchmark comes in blocks of bounded size, so it is a stated
-   query set against all rows, never a join of all pairs.
+   ``min_cosine`` go on. An item shorter than a window fills only a part of it, so its
+   least cosine falls with the root of its length. Of the windows that go on, those with
+   too few of the item's content words around them for any check to accept are left out by
+   counts. The benchmark comes in blocks of bounded size, so it is a stated query set
+   against all rows, never a join of all pairs.
 4. Checks: longest common subsequence of words between the benchmark item and the words
    around the window (bit-parallel, so one step per word). Nearly the whole item in order
    is a leak. A paraphrase, with less of it in order, is a leak if enough of the item's
@@ -23,6 +26,7 @@ apart and never read. Very long documents are read whole, one block of steps at
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -38,6 +42,7 @@ FEATURES = 1 << BITS
 STEP = 24
 WINDOW = 2 * STEP
 RARE = 0.01
+SLACK = 0.8  # for words of an item that weigh less than others
 LEAK_TYPE = "array<struct<item:int,cosine:double,lcs_ratio:double,content_ratio:double,answer_ratio:double>>"
 
 
@@ -52,7 +57,7 @@ class Item:
 
     def __post_init__(self) -> None:
         self.rare = [w for w, c in zip(self.words, self.content) if c]
-        self.distinct = set(self.rare or self.words)
+        self.needed = self.rare or self.words  # the checks accept no text with under ``part`` of these
         self.answer = [w for w, c in zip(self.words[self.answer_from:], self.content[self.answer_from:]) if c]
 
 
@@ -219,21 +224,67 @@ def as_items(block: pd.DataFrame, common: np.ndarray) -> list[Item]:
     return out
 
 
+class Needed:
+    """Upper bounds of how many of an item's needed words (each as often as the item has
+    it) lie in a range of steps."""
+
+    def __init__(self, items: list[Item]):
+        pairs = [(w, i, n) for i, x in enumerate(items) for w, n in Counter(x.needed).items()]
+        word = np.array([p[0] for p in pairs], np.uint64)
+        order = np.argsort(word, kind="stable")
+        self.word, self.first, self.many = np.unique(word[order], return_index=True, return_counts=True)
+        self.item = np.array([p[1] for p in pairs], np.int64)[order]
+        self.times = np.array([p[2] for p in pairs], np.int64)[order]
+
+    def read(self, steps: Steps) -> None:
+        at = np.searchsorted(self.word, steps.hashes)
+        at[at == len(self.word)] = 0
+        known = np.flatnonzero(self.word[at] == steps.hashes)
+        entry, many = at[known], self.many[at[known]]
+        ends = np.cumsum(many)
+        place = np.repeat(self.first[entry] - (ends - many), many) + np.arange(many.sum())
+        self.size = len(steps.begin) + 1
+        key = self.item[place] * self.size + np.repeat(steps.of_word[known], many)
+        order = np.argsort(key)
+        self.key, self.total = key[order], np.concatenate(([0], np.cumsum(self.times[place][order])))
+
+    def between(self, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """For each item the count in the steps from ``low`` to before ``high``."""
+        return (self.total[np.searchsorted(self.key, item * self.size + high)]
+                - self.total[np.searchsorted(self.key, item * self.size + low)])
+
+
+def least_cosines(items: list[Item], min_cosine: float, part: float) -> np.ndarray:
+    """``min_cosine``, or less for an item so short that a window with ``part`` of its words
+    and others of equal weight may stay below."""
+    size = np.array([min(len(x.words), WINDOW) for x in items], float)
+    return np.minimum(min_cosine, SLACK * part * np.sqrt(size / WINDOW))
+
+
 def find_leaks(texts: list[str | None], basis: np.ndarray, queries: np.ndarray, owner: np.ndarray,
                items: list[Item], common: np.ndarray, min_cosine: float, whole: float, part: float
                ) -> list[list[tuple]]:
     """For each text its leaks (item, cosine, lcs, content and answer ratio)."""
     found: list[list[tuple]] = [[] for _ in texts]
-    hasher = WordHasher()
+    hasher, needed = WordHasher(), Needed(items)
+    least = least_cosines(items, min_cosine, part)[owner].astype(np.float32)
+    enough = np.array([part * len(x.needed) for x in items]) - 1e-9
+    reach = np.array([-(-len(x.words) // STEP) for x in items])
     for offset, block in word_blocks(texts):
         steps = Steps(hasher, block)
+        needed.read(steps)
         text, step, vector = steps.windows(steps.sums(basis))
         norm = np.linalg.norm(vector, axis=1)
         vector /= np.maximum(norm, 1e-12)[:, None]
         best: dict[tuple[int, int], list[tuple[float, int]]] = {}
         for at in range(0, len(vector), 4096):
             cosine = vector[at:at + 4096] @ queries.T
-            for w, q in zip(*np.nonzero(cosine >= min_cosine)):
+            row, q = np.nonzero(cosine >= least)
+            item, begin = owner[q], steps.base[text[at + row]]
+            first, end = begin + step[at + row], steps.base[text[at + row] + 1]
+            some = needed.between(item, np.maximum(begin, first - reach[item]),
+                                  np.minimum(end, first + 2 + reach[item])) >= enough[item]
+            for w, q in zip(row[some].tolist(), q[some].tolist()):
                 best.setdefault((int(text[at + w]), int(owner[q])), []).append((float(cosine[w, q]), int(step[at + w])))
         for (t, i), hits in best.items():
             item = items[i]
@@ -242,9 +293,6 @@ def find_leaks(texts: list[str | None], basis: np.ndarray, queries: np.ndarray,
                 begin = max(lo, lo + s * STEP - len(item.words))
                 around = steps.hashes[begin:min(hi, lo + s * STEP + WINDOW + len(item.words))]
                 words = around.tolist()
-                # no subsequence can be longer than the words in common
-                if len(item.distinct.intersection(words)) < part * len(item.distinct):
-                    continue
                 lcs = common_length(item.words, words) / len(item.words)
                 if lcs < part:
                     continue
@@ -257,7 +305,7 @@ def find_leaks(texts: list[str | None], basis: np.ndarray, queries: np.ndarray,
     return found
 
 
-def leak_finders(docs: DataFrame, items: DataFrame, rank: int = 128, min_cosine: float = 0.5, whole: float = 0.85,
+def leak_finders(docs: DataFrame, items: DataFrame, rank: int = 128, min_cosine: float = 0.4, whole: float = 0.85,
                  part: float = 0.6, max_items: int = 4096, max_bytes: int = 8 << 20
                  ) -> list[tuple[list, Callable[[str], Column]]]:
     """One (item_ids, column function) per block of the benchmark: the function gives the

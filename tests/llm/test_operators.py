@@ -197,6 +197,36 @@ def test_decontamination_finds_verbatim_and_paraphrase(spark):
     assert decontaminate.find_contamination(docs.where("false"), items).count() == 0
 
 
+def seldom(rng, n):
+    """Words that hardly ever come twice."""
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(n))
+
+
+def test_decontamination_finds_paraphrases_of_short_items_in_long_texts(spark):
+    rng = random.Random(13)
+    items = [seldom(rng, rng.randint(15, 20)) for _ in range(40)]
+    texts = []
+    for item in items:
+        changed = item.split()
+        for at in rng.sample(range(len(changed)), len(changed) // 3):
+            changed[at] = seldom(rng, 1)
+        around = rng.sample([x for x in items if x != item], 16)  # weigh as much as the item
+        texts.append(" ".join(around[:8] + changed + around[8:]))
+    given = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = documents(spark, texts + [seldom(rng, 300) for _ in range(400)])
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(docs, given).collect()}
+    assert {(i, i) for i in range(40)} <= found
+
+
+def test_decontamination_counts_repeated_words(spark):
+    rng = random.Random(14)
+    item = ("garden " * 8 + seldom(rng, 6)).split()
+    changed = item[:8] + seldom(rng, 5).split() + item[13:]
+    docs = documents(spark, [" ".join(changed)] + [prose(rng, 120) for _ in range(60)])
+    given = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.find_contamination(docs, given).collect()] == [0]
+
+
 def test_common_length():
     assert decontaminate.common_length([1, 2, 3, 4], [9, 1, 3, 3, 4, 2]) == 3
 
