@@ -16,7 +16,9 @@
    around the window (bit-parallel, so one step per word). Nearly the whole item in order
    is a leak. A paraphrase, with less of it in order, is a leak if enough of the item's
    content words (terms in under RARE of the steps) and of the content words of its answer
-   (the last sentence) are there in order.
+   (the last sentence) are there in order. Copies of a leaked item make its own words
+   frequent, so an item with fewer content words than others is also checked with the rarer
+   half of its words, and of its answer's words, as content words.
 
 Defined results: null, blank and short texts have no windows or one short one; an empty
 benchmark finds nothing; null or blank items are never found; repeated items are found
@@ -48,17 +50,37 @@ LEAK_TYPE = "array<struct<item:int,cosine:double,lcs_ratio:double,content_ratio:
 
 @dataclass
 class Item:
-    """Word hashes of one benchmark item, which are content words, and where its last
-    sentence begins."""
+    """Word hashes of one benchmark item, in how many steps the term of each is, from which
+    number of steps on a term is common, and where the last sentence begins."""
 
     words: list[int]
-    content: list[bool]
+    steps: list[int]
+    common_from: float
     answer_from: int
 
     def __post_init__(self) -> None:
-        self.rare = [w for w, c in zip(self.words, self.content) if c]
-        self.needed = self.rare or self.words  # the checks accept no text with under ``part`` of these
-        self.answer = [w for w, c in zip(self.words[self.answer_from:], self.content[self.answer_from:]) if c]
+        self.rare = [w for w, n in zip(self.words, self.steps) if n < self.common_from]
+        self.answer = [w for w, n in zip(self.words[self.answer_from:], self.steps[self.answer_from:])
+                       if n < self.common_from]
+        self.rarer = self.rarer_answer = None
+        if 2 * len(self.rare) < len(self.words):
+            self.rarer = rarer_half(self.words, self.steps)
+            self.rarer_answer = rarer_half(self.words[self.answer_from:], self.steps[self.answer_from:])
+        # the checks accept no text with fewer than ``part`` * ``least`` of the needed words
+        self.needed = self.rarer if self.rarer and self.rare else self.rare or self.words
+        self.least = min(len(self.rare) or len(self.rarer), len(self.rarer)) if self.rarer else len(self.rare)
+
+
+def rarer_half(words: list[int], steps: list[int]) -> list[int]:
+    """The words, in order, whose terms are in no more steps than that of the middle one."""
+    middle = sorted(steps)[(len(steps) - 1) // 2] if steps else 0
+    return [w for w, n in zip(words, steps) if n <= middle]
+
+
+def ratios(content: list[int], answer: list[int], words: list[int]) -> tuple[float, float]:
+    """Shares of the content words, and of those of the answer, that ``words`` has in order."""
+    whole = common_length(content, words) / len(content) if content else 0.0
+    return whole, common_length(answer, words) / len(answer) if answer else whole
 
 
 def terms(hashes: np.ndarray) -> np.ndarray:
@@ -212,7 +234,7 @@ def benchmark_blocks(items: DataFrame, max_items: int, max_bytes: int) -> Iterat
         yield pd.DataFrame(block, columns=["item_id", "text"])
 
 
-def as_items(block: pd.DataFrame, common: np.ndarray) -> list[Item]:
+def as_items(block: pd.DataFrame, frequency: np.ndarray, common_from: float) -> list[Item]:
     hasher, out = WordHasher(), []
     for text in block["text"]:
         body = text.strip()
@@ -220,7 +242,7 @@ def as_items(block: pd.DataFrame, common: np.ndarray) -> list[Item]:
         data = text.encode("utf-8", "surrogatepass").lower()
         hashes, _, _ = hasher(np.frombuffer(data, np.uint8))
         n_answer = len(body[cut + 1:].encode("utf-8", "surrogatepass").split())
-        out.append(Item(hashes.tolist(), (~common[terms(hashes)]).tolist(), len(hashes) - n_answer))
+        out.append(Item(hashes.tolist(), frequency[terms(hashes)].tolist(), common_from, len(hashes) - n_answer))
     return out
 
 
@@ -268,7 +290,7 @@ def find_leaks(texts: list[str | None], basis: np.ndarray, queries: np.ndarray,
     found: list[list[tuple]] = [[] for _ in texts]
     hasher, needed = WordHasher(), Needed(items)
     least = least_cosines(items, min_cosine, part)[owner].astype(np.float32)
-    enough = np.array([part * len(x.needed) for x in items]) - 1e-9
+    enough = np.array([part * x.least for x in items]) - 1e-9
     reach = np.array([-(-len(x.words) // STEP) for x in items])
     for offset, block in word_blocks(texts):
         steps = Steps(hasher, block)
@@ -297,10 +319,14 @@ def find_leaks(texts: list[str | None], basis: np.ndarray, queries: np.ndarray,
                 if lcs < part:
                     continue
                 rare = [w for w, c in zip(words, common[terms(around)].tolist()) if not c]
-                content = common_length(item.rare, rare) / len(item.rare) if item.rare else 0.0
-                answer = common_length(item.answer, rare) / len(item.answer) if item.answer else content
-                if content >= part and answer >= part or lcs >= whole and (content >= whole or not item.rare):
-                    found[offset + t].append((i, cosine, lcs, content, answer))
+                shares = [ratios(item.rare, item.answer, rare)]
+                if item.rarer:
+                    shares.append(ratios(item.rarer, item.rarer_answer, words))
+                fitting = [(content, answer) for content, answer in shares
+                           if content >= part and answer >= part
+                           or lcs >= whole and (content >= whole or not item.rare)]
+                if fitting:
+                    found[offset + t].append((i, cosine, lcs, *fitting[0]))
                     break
     return found
 
@@ -315,14 +341,16 @@ def leak_finders(docs: DataFrame, items: DataFrame, rank: int = 128, min_cosine:
         return []
     frequency, n_steps = term_frequencies(docs)
     idf = np.log((n_steps + 1) / (frequency + 1))
-    common = frequency >= RARE * max(1, n_steps)
+    common_from = RARE * max(1, n_steps)
+    common = frequency >= common_from
     out = []
     for block in benchmark_blocks(items, max_items, max_bytes):
         rows = stored(passage_rows(spark.createDataFrame(block[["text"]], "text string"), idf), "passages")
         basis = (latent_basis(rows, rank) * idf[:, None]).astype(np.float32)
         queries, owner = query_vectors(block, basis)
         shared = spark.sparkContext.broadcast(
-            (basis, queries, owner, [(x.words, x.content, x.answer_from) for x in as_items(block, common)], common))
+            (basis, queries, owner, [(x.words, x.steps, x.common_from, x.answer_from)
+                                      for x in as_items(block, frequency, common_from)], common))
         out.append((block["item_id"].tolist(), _finder(shared, min_cosine, whole, part)))
     return out
 

@@ -227,6 +227,20 @@ def test_decontamination_counts_repeated_words(spark):
     assert [r.doc_id for r in decontaminate.find_contamination(docs, given).collect()] == [0]
 
 
+def test_decontamination_finds_changed_copies_of_a_hot_item(spark):
+    rng = random.Random(15)
+    item = seldom(rng, 30) + ". " + seldom(rng, 10) + "."
+    changed = item.split()
+    for at in range(0, len(changed), 4):
+        changed[at] = seldom(rng, 1)
+    clean = [seldom(rng, 240) for _ in range(60)]
+    texts = clean + [seldom(rng, 100) + " " + item + " " + seldom(rng, 100) for _ in range(30)]
+    texts.append(seldom(rng, 100) + " " + " ".join(changed) + " " + seldom(rng, 100))
+    given = spark.createDataFrame([(3, item)], "item_id long, text string")
+    found = {r.doc_id for r in decontaminate.find_contamination(documents(spark, texts), given).collect()}
+    assert found == set(range(60, 91))
+
+
 def test_common_length():
     assert decontaminate.common_length([1, 2, 3, 4], [9, 1, 3, 3, 4, 2]) == 3
 
