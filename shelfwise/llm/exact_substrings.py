@@ -20,6 +20,8 @@ The hash of those bytes is the anchor's key.
    prefix ends where it starts. Nothing is renamed or sorted again recursively. Suffixes
    that share enough chunks lie side by side; strings of LENGTH bytes whose chunks have
    no neighbour are done, the others are compared in full by a 64-bit hash of their bytes.
+   A key of more than BATCH_SEGMENTS distinct segments never meets in a task: Spark counts
+   the hashes of all their strings of LENGTH bytes by place, and those counted once are out.
 4. The repeated starts go back to every text that has the segment, as intervals.
 
 Only hashes, segments of repeated anchors and, once, the texts are shuffled. Equal segments
@@ -338,6 +340,45 @@ def starts_of_segments(distinct: DataFrame, tasks: int) -> DataFrame:
     return dealt.mapInPandas(decide, "key long, before int, hash long, lo int, hi int")
 
 
+def starts_of_hot(hot: DataFrame) -> DataFrame:
+    """key, before, hash, lo, hi like starts_of_segments, without bringing keys together: of
+    all strings of LENGTH bytes, counted by key, place around the anchor and hash, those
+    counted once belong to one segment, which repeats in its other starts."""
+    name = ["key", "before", "hash"]
+
+    def strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in slices(frames):
+            sizes = np.fromiter(map(len, frame["segment"]), np.int64, len(frame))
+            before = frame["before"].to_numpy(np.int64)
+            n_starts = np.maximum(0, np.minimum(before, sizes - LENGTH) + 1)
+            row = np.repeat(np.arange(len(frame)), n_starts)
+            start = np.arange(n_starts.sum()) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts)
+            at = (np.cumsum(sizes) - sizes)[row] + start
+            value = Rolling(np.frombuffer(b"".join(frame["segment"]), np.uint8)).between(at, at + LENGTH)
+            yield pd.DataFrame({"key": frame["key"].to_numpy()[row], "place": before[row] - start,
+                                "value": value.view(np.int64), "n": frame["n"].to_numpy()[row],
+                                "before": before[row], "hash": frame["hash"].to_numpy()[row], "start": start})
+
+    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for k, b, h, last, alone in zip(*(frame[c] for c in (*name, "last", "alone"))):
+                starts = np.setdiff1d(np.arange(last + 1), alone if alone is not None else [])
+                if len(starts):
+                    cut = np.flatnonzero(np.diff(starts) != 1)
+                    out += [(k, b, h, int(lo), int(hi)) for lo, hi in
+                            zip(starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)])]
+            yield pd.DataFrame(out, columns=[*name, "lo", "hi"])
+
+    alone = (hot.mapInPandas(strings, "key long, place int, value long, n long, before int, hash long, start int")
+             .groupBy("key", "place", "value")
+             .agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in ("before", "hash", "start")]).where("n = 1")
+             .groupBy(*name).agg(F.collect_list("start").alias("alone")))  # at most WINDOW starts
+    last = F.least("before", F.octet_length("segment") - LENGTH)
+    return (hot.where("n = 1").select(*name, last.alias("last")).where("last >= 0").join(alone, name, "left")
+            .mapInPandas(runs, "key long, before int, hash long, lo int, hi int"))
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes) for every row."""
     spark = docs.sparkSession
@@ -348,10 +389,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     members = stored(members_of(named.select("text_id", "text"), bitmap_of(repeated)), "members")
     kinds = stored(members.groupBy(*name, "size").agg(F.count("*").alias("n")), "kinds")
     opened = kinds.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where("least = 1 and kinds > 1")
-    segments = segments_of(docs, bitmap_of(opened))
+    segments = stored(segments_of(docs, bitmap_of(opened)), "segments")
+    # a number for every BATCH_SEGMENTS segments at most: small enough to send to every task
+    hot = F.broadcast(kinds.groupBy("key").count().where(F.col("count") > BATCH_SEGMENTS).select("key"))
     whole = (kinds.where(f"n >= 2 and size >= {LENGTH}")
              .select(*name, F.lit(0).alias("lo"), F.least("before", F.col("size") - LENGTH).alias("hi")))
-    starts = whole.union(starts_of_segments(segments, tasks))
+    starts = (whole.union(starts_of_segments(segments.join(hot, "key", "left_anti"), tasks))
+              .union(starts_of_hot(segments.join(hot, "key", "left_semi"))))
     spans = (members.join(starts, name)
              .select("text_id", F.struct((F.col("begin") + F.col("lo")).alias("lo"),
                                          (F.col("begin") + F.col("hi") + LENGTH).alias("hi")).alias("span"))

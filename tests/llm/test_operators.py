@@ -100,6 +100,23 @@ def test_exact_substrings_against_brute_force(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == dict(enumerate(want))
 
 
+def test_exact_substrings_of_a_hot_passage_do_not_meet_in_a_task(spark, monkeypatch):
+    rng = random.Random(16)
+    shared = prose(rng, 200)
+    texts = [prose(rng, 40) + shared[:n] + prose(rng, 40) for n in (399, 400, 401, 430, 470, 527) * 5] + [shared] * 2
+    met, decide = [], exact_substrings.starts_of_segments
+
+    def watched(distinct, tasks):
+        met.extend(r["count"] for r in distinct.groupBy("key").count().collect())
+        return decide(distinct, tasks)
+
+    monkeypatch.setattr(exact_substrings, "BATCH_SEGMENTS", 4)
+    monkeypatch.setattr(exact_substrings, "starts_of_segments", watched)
+    got = exact_substrings.without_repeats(documents(spark, texts)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == dict(enumerate(kept_bytes(texts)))
+    assert max(met, default=0) <= 4
+
+
 # --- op4 -----------------------------------------------------------------------------
 
 KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
