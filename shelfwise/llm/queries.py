@@ -4,6 +4,8 @@ from shelfwise.llm.decontaminate import op1_decontamination
 from shelfwise.llm.exact_substrings import op5_suffix_array_dedup
 from shelfwise.llm.langid import op2_language_id
 from shelfwise.llm.lm import op3_lm_score
+from shelfwise.llm.manifest import ORACLE as MANIFEST_SQL
+from shelfwise.llm.manifest import op13_merkle_manifest
 from shelfwise.llm.packing import op7_best_fit_packing
 from shelfwise.llm.pii import op4_pii
 from shelfwise.llm.quality import op8_quality_resampling
@@ -13,5 +15,6 @@ from shelfwise.llm.toxicity import op6_toxicity
 
 QUERIES = {q.__name__: q for q in (
     op1_decontamination, op2_language_id, op3_lm_score, op4_pii, op5_suffix_array_dedup, op6_toxicity,
-    op7_best_fit_packing, op8_quality_resampling, op9_simhash_near_dedup, op10_topk_search)}
-ORACLE_SQL: dict[str, str] = {}
+    op7_best_fit_packing, op8_quality_resampling, op9_simhash_near_dedup, op10_topk_search,
+    op13_merkle_manifest)}
+ORACLE_SQL: dict[str, str] = {"op13_merkle_manifest": MANIFEST_SQL}
