@@ -1,6 +1,8 @@
 """The registered queries of the subpackage and their SQL counterparts."""
 
 from shelfwise.llm.decontaminate import op1_decontamination
+from shelfwise.llm.divergence import ORACLE as DIVERGENCE_SQL
+from shelfwise.llm.divergence import op11_source_divergence
 from shelfwise.llm.exact_substrings import op5_suffix_array_dedup
 from shelfwise.llm.langid import op2_language_id
 from shelfwise.llm.lm import op3_lm_score
@@ -16,5 +18,6 @@ from shelfwise.llm.toxicity import op6_toxicity
 QUERIES = {q.__name__: q for q in (
     op1_decontamination, op2_language_id, op3_lm_score, op4_pii, op5_suffix_array_dedup, op6_toxicity,
     op7_best_fit_packing, op8_quality_resampling, op9_simhash_near_dedup, op10_topk_search,
-    op13_merkle_manifest)}
-ORACLE_SQL: dict[str, str] = {"op13_merkle_manifest": MANIFEST_SQL}
+    op11_source_divergence, op13_merkle_manifest)}
+ORACLE_SQL: dict[str, str] = {
+    "op11_source_divergence": DIVERGENCE_SQL, "op13_merkle_manifest": MANIFEST_SQL}
