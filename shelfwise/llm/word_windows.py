@@ -328,17 +328,17 @@ ORACLE = f"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
   FROM documents),
-words AS (SELECT rid, doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM d),
-windows AS (
-  SELECT rid, doc_id, at, string_agg(word, ' ') OVER following AS k, count(*) OVER following AS n
-  FROM words WINDOW following AS (PARTITION BY rid ORDER BY at ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+words AS (SELECT rid, doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+runs AS (
+  SELECT rid, doc_id, pos, string_agg(word, ' ') OVER ahead AS k, count(*) OVER ahead AS n
+  FROM words WINDOW ahead AS (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
 later AS (
-  SELECT rid, at FROM windows WHERE n = {WINDOW}
-  QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, rid, at) > 1),
-gone AS (SELECT DISTINCT rid, unnest(range(at, at + {WINDOW})) AS at FROM later),
+  SELECT rid, pos FROM runs WHERE n = {WINDOW}
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, rid, pos) > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(pos, pos + {WINDOW})) AS pos FROM later),
 kept AS (
-  SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS text
-  FROM words ANTI JOIN gone USING (rid, at) GROUP BY rid)
+  SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text
+  FROM words ANTI JOIN gone USING (rid, pos) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (rid)
