@@ -77,7 +77,7 @@ JOBS: dict[str, tuple] = {
     # B1 contribution-margin base and its sub-steps; D8
     "b1_contribution_margin": (lambda t, pr: margin.contribution_margin(t, pr.margin), "b1"),
     "b1_eligible_lines": (lambda t, pr: margin.eligible_lines(t, pr.margin), "b1_t1"),
-    "b1_order_rollup": (lambda t, pr: margin.order_rollup(margin.eligible_lines(t, pr.margin)), "b1_t4"),
+    "b1_order_rollup": (lambda t, pr: margin.order_rollup(t, pr.margin), "b1_t4"),
     "d8_allocated_shipping_cost": (lambda t, pr: margin.allocated_shipping_cost(t, pr.margin), "d8"),
     # B2 replenishment list and its sub-steps; D9, D10
     "b2_replenishment_list": (lambda t, pr: replenishment.replenishment_list(t, pr.replenishment), "b2"),

@@ -1,18 +1,20 @@
 """Contribution-margin base per order line (B1) and shipping cost allocated to lines.
 
-Plan shape: the product lookups are joined to each other first, so the eligible lines
-meet them in one join (a hot product is split there); the lines are rolled up per
-(order, website, shipping method) with a partial (map-side) aggregate, and the rollup is joined back to the lines on order_id. The join keeps the
-report's fan-out (an order with two website/method groups gives each line twice), so
-it is a real join and not a window. A hot order_id is split by AQE's skew-join
-handling on the line side; the rollup side has one row per group.
+Plan shape: the product lookups become one table, aggregated once. An order's groups
+(order, website, shipping method) are rolled up from the order columns of the lines and a
+small table (product, number of lookup rows, parcel flag): a line counts as often as its
+lookup rows would repeat it, so that pass needs no names, rates or classes. The rollup is
+joined to the lines on order_id, which keeps the report's fan-out (an order with two
+website/method groups gives each line twice), so it is a real join and not a window; the
+lookup rows come last, so that only the lines' own columns are shuffled. A hot order or
+product is split on the line side by AQE's skew-join handling.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -32,63 +34,96 @@ OUTPUT = (
 
 
 def product_attributes(t: Tables) -> DataFrame:
-    """Name, commission, yearly class and separate-parcel flag per product id.
-
-    Full outer joins of the product-sized tables: a product with n names, m commissions
-    and k class rows has max(n,1) * max(m,1) * max(k,1) rows, as many as chained left joins
-    give one line. The lines then meet all of it in a single join, whose line side AQE can
-    split for a hot product (it cannot within a chain of joins on one key).
+    """(rows, parcel): per product the lookup rows (id, name, commission, yearly class) that
+    a line of it meets, and whether it goes as a parcel of its own.
+
+    A product with n names, m commissions and k class rows has max(n,1) * max(m,1) *
+    max(k,1) rows, as many as chained left joins give one line. The four tables are read
+    as one and grouped by product in one shuffle; every use below reads that same grouping.
+    The id is taken from the rows: a join on it then has an exchange of its own on this
+    side when it is too large to broadcast, without which AQE cannot split a hot product.
     """
-    key = F.col("product_id").isNotNull()
-    names = t.products.where(key).select("product_id", F.col("name_nl").alias("product_name_nl"))
-    rates = t.channel_commission.where(key).select("product_id", "commission_percentage")
-    classes = (class_slice(t.classifications, P.YEAR_SALES, {"label": "sales_class"})
-               .withColumnRenamed("_cls_pid", "product_id").where(key))
-    parcels = (t.separate_parcel_products.where(key).select("product_id").distinct()
-               .withColumn("_parcel", F.lit(1)))
-    return (names.join(rates, "product_id", "full_outer").join(classes, "product_id", "full_outer")
-            .join(parcels, "product_id", "full_outer"))
-
-
-def eligible_lines(t: Tables, p: P.MarginParams = P.MarginParams()) -> DataFrame:
-    """B1.1-B1.9: eligible lines with product name, yearly class, marketplace
-    commissions and the separate-parcel flag."""
-    lines = t.order_lines.where(
+    classes = class_slice(t.classifications, P.YEAR_SALES, {"label": "label"})
+    parts = [t.products.select("product_id", F.lit("name").alias("kind"), F.col("name_nl").alias("text")),
+             t.channel_commission.select("product_id", F.lit("rate").alias("kind"),
+                                         F.col("commission_percentage").alias("rate")),
+             classes.select(F.col("_cls_pid").alias("product_id"), F.lit("class").alias("kind"),
+                            F.col("label").alias("text")),
+             t.separate_parcel_products.select("product_id", F.lit("parcel").alias("kind"))]
+    facts = parts[0]
+    for part in parts[1:]:
+        facts = facts.unionByName(part, allowMissingColumns=True)
+    facts = (facts.where(F.col("product_id").isNotNull()).groupBy("product_id")
+             .agg(F.collect_list(F.struct("kind", "text", "rate")).alias("facts")))
+
+    def of(kind: str, field: str) -> Column:
+        """The facts of a kind, or one null."""
+        found = F.transform(F.filter("facts", lambda f: f["kind"] == kind), lambda f: f[field])
+        return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(None)))
+
+    rows = F.flatten(F.transform(of("name", "text"), lambda name: F.flatten(F.transform(
+        of("rate", "rate"), lambda rate: F.transform(of("class", "text"), lambda label: F.struct(
+            F.col("product_id").alias("id"), name.alias("product_name_nl"), rate.alias("commission_percentage"), label.alias("sales_class")))))))
+    return facts.select(rows.alias("rows"),
+                        F.exists("facts", lambda f: f["kind"] == "parcel").cast("int").alias("parcel"))
+
+
+def selected_lines(t: Tables, p: P.MarginParams) -> DataFrame:
+    """The order lines the margin base covers, with their own columns only."""
+    return t.order_lines.where(
         ~F.col("product_id").isin(*p.excluded_products)
         & (F.col("order_type") == p.order_type) & (F.col("status") >= p.min_status) & (F.col("qty") > 0)
         & (F.col("order_date") >= F.lit(dt.date(p.from_year, 1, 1)))
         & F.col("channel").isin(*p.channels) & F.col("website_id").isin(*p.websites))
-    attributes = product_attributes(t).withColumnRenamed("product_id", "_apid")
-    df = lines.join(attributes, lines.product_id == attributes._apid, "left").drop("_apid")
+
+
+def with_lookups(lines: DataFrame, t: Tables) -> DataFrame:
+    """Lines (and what was joined to them) with product name, yearly class, marketplace
+    commissions and the separate-parcel flag, once for each lookup row of the product."""
+    found = (product_attributes(t).select(F.explode("rows").alias("_row"), F.col("parcel").alias("_parcel"))
+             .select("_row.*", "_parcel"))
+    df = lines.join(found, lines.product_id == found.id, "left").drop("id")
     c = F.col
-    return df.select(
-        "order_id",
-        F.to_date("order_date").alias("order_date"),
-        "product_id", "product_name_nl", "sales_class", "brand", "category", "root_category",
-        "line_total", "line_total_ex_vat", "margin_total_net", "qty", "website_id", "channel",
-        rules.country(c("website_id")).alias("country"),
-        "shipping_method", "status",
-        rules.bol_fixed_commission(c("channel"), c("product_id"), c("line_total"), c("qty"))
-             .cast(MONEY2).alias("bol_fixed_cost_per_product"),
-        rules.bol_variable_commission(c("channel"), c("product_id"), c("line_total"),
-                                      c("commission_percentage")).cast(MONEY2).alias("bol_variable_cost_per_product"),
-        rules.manomano_commission(c("channel"), c("product_id"), c("brand"), c("line_total_ex_vat"))
-             .cast(MONEY2).alias("ManoMano_marketing_cost_per_product"),
-        rules.amazon_commission(c("channel"), c("product_id"), c("line_total_ex_vat"))
-             .cast(MONEY2).alias("Amazon_marketing_cost_per_product"),
-        F.coalesce(c("_parcel"), F.lit(0)).alias("is_coll_product"),
-    )
+    return df.withColumns({
+        "order_date": F.to_date("order_date"),
+        "country": rules.country(c("website_id")),
+        "bol_fixed_cost_per_product": rules.bol_fixed_commission(
+            c("channel"), c("product_id"), c("line_total"), c("qty")).cast(MONEY2),
+        "bol_variable_cost_per_product": rules.bol_variable_commission(
+            c("channel"), c("product_id"), c("line_total"), c("commission_percentage")).cast(MONEY2),
+        "ManoMano_marketing_cost_per_product": rules.manomano_commission(
+            c("channel"), c("product_id"), c("brand"), c("line_total_ex_vat")).cast(MONEY2),
+        "Amazon_marketing_cost_per_product": rules.amazon_commission(
+            c("channel"), c("product_id"), c("line_total_ex_vat")).cast(MONEY2),
+        "is_coll_product": F.coalesce(c("_parcel"), F.lit(0)),
+    })
+
+
+def eligible_lines(t: Tables, p: P.MarginParams = P.MarginParams()) -> DataFrame:
+    """B1.1-B1.9: eligible lines with product name, yearly class, marketplace
+    commissions and the separate-parcel flag."""
+    return with_lookups(selected_lines(t, p), t).select(
+        "order_id", "order_date", "product_id", "product_name_nl", "sales_class", "brand", "category",
+        "root_category", "line_total", "line_total_ex_vat", "margin_total_net", "qty", "website_id", "channel",
+        "country", "shipping_method", "status", "bol_fixed_cost_per_product", "bol_variable_cost_per_product",
+        "ManoMano_marketing_cost_per_product", "Amazon_marketing_cost_per_product", "is_coll_product")
 
 
-def order_rollup(lines: DataFrame) -> DataFrame:
+def order_rollup(t: Tables, p: P.MarginParams = P.MarginParams()) -> DataFrame:
     """B1.10-B1.11: per (order, website, shipping method): positive lines, revenue for
-    the cost share, separate-parcel lines and the shipping cost."""
+    the cost share, separate-parcel lines and the shipping cost. A line weighs as many
+    lines as its product has lookup rows, which is what it is after the lookups."""
+    lines = selected_lines(t, p).select("order_id", "website_id", "shipping_method", "product_id", "line_total_ex_vat")
+    weights = product_attributes(t).select(F.col("rows")[0]["id"].alias("_wpid"), F.size("rows").alias("_weight"), "parcel")
+    lines = lines.join(weights, lines.product_id == weights._wpid, "left")
+    weight = F.coalesce(F.col("_weight"), F.lit(1))
     positive = F.col("product_id") > 0
+    revenue = F.col("line_total_ex_vat") * weight.cast("decimal(10,0)")
     agg = lines.groupBy("order_id", "website_id", "shipping_method").agg(
-        F.sum(F.when(positive, 1).otherwise(0)).cast("long").alias("order_line"),
-        F.sum(F.when(positive & (F.col("line_total_ex_vat") > 0), F.col("line_total_ex_vat"))
-              .otherwise(F.lit(0))).cast("decimal(38,4)").alias("total_revenue_for_cost_share"),
-        F.sum(F.when(F.col("is_coll_product") > 0, 1).otherwise(0)).cast("long").alias("is_tm_colli"),
+        F.sum(F.when(positive, weight).otherwise(0)).cast("long").alias("order_line"),
+        F.sum(F.when(positive & (F.col("line_total_ex_vat") > 0), revenue).otherwise(F.lit(0)))
+         .cast("decimal(38,4)").alias("total_revenue_for_cost_share"),
+        F.sum(F.when(F.col("parcel") > 0, weight).otherwise(0)).cast("long").alias("is_tm_colli"),
     )
     return agg.withColumn("shipping_cost_per_shipping_method", rules.shipping_cost(
         F.col("shipping_method"), F.col("website_id"), F.col("is_tm_colli"), F.col("order_line"))
@@ -97,12 +132,11 @@ def order_rollup(lines: DataFrame) -> DataFrame:
 
 def contribution_margin(t: Tables, p: P.MarginParams = P.MarginParams()) -> DataFrame:
     """B1: one row per eligible line (per rollup group of its order) with the cost base."""
-    lines = eligible_lines(t, p)
-    rollup = order_rollup(lines).select(
+    lines = selected_lines(t, p)
+    rollup = order_rollup(t, p).select(
         F.col("order_id").alias("_oid"), "order_line", "total_revenue_for_cost_share",
-        "shipping_cost_per_shipping_method")
-    df = lines.join(rollup, lines.order_id == rollup._oid, "left").drop("_oid")
-    df = df.where(F.col("total_revenue_for_cost_share") != 0)
+        "shipping_cost_per_shipping_method").where(F.col("total_revenue_for_cost_share") != 0)
+    df = with_lookups(lines.join(rollup, lines.order_id == rollup._oid).drop("_oid"), t)
     c = F.col
     return df.select(
         "order_id", "order_date", "product_id", "product_name_nl", "sales_class", "brand", "category",

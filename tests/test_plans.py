@@ -81,6 +81,21 @@ def test_margin_pre_aggregates_before_the_order_shuffle(spark, capsys, warehouse
                      r"Functions \[3\]: \[partial_sum", plan)
 
 
+def test_margin_reads_the_lookups_once_and_rolls_up_narrow_lines(spark, capsys, warehouse):
+    """One plan of the product lookups (the second use is a reused exchange); the rollup's
+    scan of the lines reads the order columns and what the filters need."""
+    df = margin.contribution_margin(warehouse, PR.margin)
+    df.collect()  # AQE reuses an exchange when it meets the same stage again
+    final = plan_of(df, capsys).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final, final
+    plan = plan_of(margin.contribution_margin(warehouse, PR.margin), capsys)
+    assert plan.count("SortMergeJoin FullOuter") == 0
+    reads = [set(re.findall(r"(\w+):", re.search(r"ReadSchema: struct<([^\n]*)>", b).group(1)))
+             for b in scans(plan, "order_lines")]
+    filters = {"order_date", "order_type", "status", "qty", "channel"}
+    assert {"order_id", "website_id", "shipping_method", "product_id", "line_total_ex_vat"} | filters in reads
+
+
 SORTED = {
     "b2_replenishment_list": "ORDER_QTY", "b3_stock_health": "STOCK_VALUE",
     "b5_expected_sales_leaf_blowers": "ORDER_VALUE", "b6_expected_sales_lamps": "ORDER_VALUE",

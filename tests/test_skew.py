@@ -80,3 +80,20 @@ def test_hot_product_is_split_and_result_is_whole(spark):
             df.explain()
     assert "skew=true" in buf.getvalue(), buf.getvalue()
     assert sorted(r.order_id for r in rows) == list(range(1, 7001))
+
+
+def test_hot_product_is_split_in_the_rollup_too(spark):
+    hot = [line(order_id=i, product_id=7, line_total=D("12.1000"), line_total_ex_vat=D(i * 7919 % 100003) / 100)
+           for i in range(1, 6001)]
+    rest = [line(order_id=i, product_id=8 + i % 500, line_total=D("12.1000"), line_total_ex_vat=D("10.0000"))
+            for i in range(6001, 7001)]
+    t = tables(spark, order_lines=hot + rest,
+               channel_commission=[dict(product_id=i, commission_percentage=D("0.1")) for i in (7, 7, *range(8, 509))])
+    with conf(spark, SKEW_CONF):
+        df = margin.order_rollup(t)
+        rows = {r.order_id: r.order_line for r in df.collect()}
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+    assert "skew=true" in buf.getvalue(), buf.getvalue()
+    assert rows == {i: 2 if i <= 6000 else 1 for i in range(1, 7001)}
