@@ -14,7 +14,7 @@ found more than once, and so on up to WINDOW words, or until no candidates survi
    false candidate. A bucket compares what it got and answers with one bit for each value.
    What repeats inside a block needs no question.
 3. The answers are all that is kept between levels: a block works out its survivors again from
-   its texts and the bits so far. Word hashes are BLAKE2b, joined level by level.
+   its texts and the bits so far. Hashes have 128 bits, joined level by level.
 4. At the last level the question holds 96 bits of the window and the place of its first start in
    the block, and the bit says whether another block has an earlier one. Every start but the
    first of all is removed with its WINDOW words.
@@ -26,7 +26,7 @@ worth of values. Nothing is counted on the driver but the number of survivors of
 Defined results: a null text has no words. Rows are ordered by doc_id (null first), rows of
 one doc_id by a digest of their text; of equal rows one, whichever is read first, counts as
 the earlier. Documents of fewer words than WINDOW keep every word. A text is read whole by one
-task, which holds about 12 times its size. An empty table gives no rows; other columns are not
+task, which holds about 20 times its size. An empty table gives no rows; other columns are not
 read.
 """
 
@@ -38,20 +38,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.conf import ensure_checkpoint_dir
-from shelfwise.llm.common import stored, table
+from shelfwise.llm.common import SPACE_BYTE, stored, table
 
 WINDOW = 20
 FIRST = 5
 BLOCK_BYTES = 2 << 20  # of text; one longer text is a block of its own
 BUCKET_BYTES = 16 << 20  # of text, whose windows meet in one bucket of the hash space
-HELD_WORDS = 500_000  # distinct words a task remembers the hashes of
+SHORT = 64  # bytes of a word
 ASKED = np.dtype([("high", "<u8"), ("low", "<u4"), ("doc", "<i8"), ("tie", "<u4")])
 STEPS = np.random.default_rng(12).integers(1, 1 << 63, 64, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+BYTES = np.random.default_rng(13).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
 
 
 def lengths(window: int, first: int) -> list[int]:
@@ -61,46 +63,57 @@ def lengths(window: int, first: int) -> list[int]:
     return out
 
 
-class WordIds(dict):
-    """Number of a word; its two 64-bit hashes stand at that number."""
-
-    def __init__(self):
-        super().__init__()
-        self.hashes = np.zeros((1 << 10, 2), np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        at = len(self)
-        if at == len(self.hashes):
-            self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)))
-        self.hashes[at] = np.frombuffer(hashlib.blake2b(word, digest_size=16).digest(), np.uint64)
-        self[word] = at
-        return at
-
-
 def mixed(value: np.ndarray) -> np.ndarray:
     value = (value ^ (value >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return value ^ (value >> np.uint64(29))
 
 
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of the words of a byte array that ends in white space."""
+    edge = np.flatnonzero(np.diff(SPACE_BYTE[data].view(np.int8), prepend=1))
+    return edge[0::2], edge[1::2]
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each word: a polynomial in random values of its bytes, byte by byte
+    for all words at once. Words of over SHORT bytes, for which such polynomials modulo 2**64
+    can be made to collide, are hashed by XXH3."""
+    size = end - start
+    order = np.argsort(np.minimum(size, SHORT + 1).astype(np.uint8), kind="stable")[::-1]
+    order = order[np.searchsorted(-size[order], -SHORT):] if len(order) and size.max() > SHORT else order
+    at, n = start[order], np.bincount(size[order], minlength=SHORT + 1)
+    longer = len(order) - np.cumsum(n)  # words of more than j bytes
+    value = np.zeros((2, len(order)), np.uint64)
+    for j in range(SHORT):
+        k = longer[j]
+        if not k:
+            break
+        byte = data[at[:k] + j]
+        for lane in (0, 1):
+            value[lane, :k] = value[lane, :k] * STEPS[lane] + BYTES[lane][byte]
+    out = np.zeros((2, len(start)), np.uint64)
+    out[:, order] = mixed(value)
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[:, i] = np.frombuffer(xxhash.xxh3_128_digest(data[start[i]:end[i]].tobytes()), np.uint64)
+    return out
+
+
 class Block:
     """The words of some documents in a row, one place free after each document."""
 
-    known = WordIds()
-
     def __init__(self, rows: pd.DataFrame, window: int, first: int, buckets: int):
-        if len(Block.known) > HELD_WORDS:
-            Block.known = WordIds()
         rows = rows.sort_values("at")
         self.doc_id, self.at = rows["doc_id"].tolist(), rows["at"].to_numpy(np.int64)
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in rows["text"]]
-        self.words = [r.split() for r in raw]  # by ASCII white space, as bytes do
-        self.n_words = np.fromiter(map(len, self.words), np.int64, len(raw))
+        raw = self.raw = [(t or "").encode("utf-8", "surrogatepass") for t in rows["text"]]
+        data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+        begin, end = words_of(data)
+        text_end = np.cumsum([len(r) + 1 for r in raw])
+        self.n_words = np.bincount(np.searchsorted(text_end, begin, side="right"), minlength=len(raw))
         self.start = np.cumsum(self.n_words + 1) - self.n_words - 1
-        size = int((self.n_words + 1).sum())
-        ids = np.fromiter((Block.known[w] for doc in self.words for w in doc), np.int64, size - len(raw))
-        place = np.arange(len(ids)) + np.repeat(np.arange(len(raw)), self.n_words)
+        size = len(begin) + len(raw)
+        place = np.arange(len(begin)) + np.repeat(np.arange(len(raw)), self.n_words)
         self.hashes = np.zeros((2, size), np.uint64)
-        self.hashes[:, place] = Block.known.hashes[ids].T
+        self.hashes[:, place] = word_hashes(data, begin, end)
         self.left = np.zeros(size, np.int64)  # words from here to the end of the document
         self.left[place] = np.repeat(self.start + self.n_words, self.n_words) - place
         self.order = np.array([-(1 << 63) if d is None or d != d else int(d) for d in self.doc_id], np.int64)
@@ -193,8 +206,8 @@ class Block:
             edge[at + self.levels[-1]] -= 1
         gone = np.cumsum(edge) > 0
         out = []
-        for doc_id, words, start, n in zip(self.doc_id, self.words, self.start.tolist(), self.n_words.tolist()):
-            dead = gone[start:start + n]
+        for doc_id, raw, start, n in zip(self.doc_id, self.raw, self.start.tolist(), self.n_words.tolist()):
+            dead, words = gone[start:start + n], raw.split()  # by ASCII white space, as bytes do
             n_removed = int(dead.sum())
             if n_removed:
                 words = [words[i] for i in np.flatnonzero(~dead).tolist()]
