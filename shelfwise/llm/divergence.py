@@ -48,7 +48,7 @@ SMOOTHING = 5
 UNIT = 10**9
 BLOCK_TERMS = 1024
 TILE = 32
-HELD_TERMS = 200_000  # entries a task holds before it sends its counts on
+HELD_TERMS = 400_000  # entries a task holds before it sends its counts on
 SPACED = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -113,7 +113,8 @@ def count_levels(kept: DataFrame, block_terms: int) -> DataFrame:
     place = ["lang", "band", "block"]
     number = F.dense_rank().over(Window.partitionBy(*place).orderBy("term")) - 1
     dealt = (kept.withColumn("band", band).join(sizes, ["lang", "band"])
-             .withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks"))).withColumn("id", number)
+             .withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")))
+             .repartition(*place).withColumn("id", number)  # by band alone, Spark would gather its blocks in one task
              .groupBy(*place, "source").agg(F.collect_list("n").alias("n"), F.collect_list("id").alias("id")))
 
     def bitsets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
