@@ -96,8 +96,8 @@ JOBS: dict[str, tuple] = {
     "b3_stock_health": (lambda t, pr: stock_health.stock_health(t, pr.stock_health), "b3"),
     "b3_stock_health_base": (lambda t, pr: stock_health.stock_health_base(t), "b3_t1"),
     "b4_stock_health_trend": (lambda t, pr: stock_health.stock_health_trend(
-        stock_health.stock_health_snapshots(t), pr.stock_health), "b4"),
-    "b4_stock_health_snapshots": (lambda t, pr: stock_health.stock_health_snapshots(t), "b4_snapshots"),
+        t.stock_health_snapshots, pr.stock_health), "b4"),
+    "b4_stock_health_snapshots": (lambda t, pr: t.stock_health_snapshots, "b4_snapshots"),
     "d7_bucket_totals": (lambda t, pr: stock_health.bucket_totals(t, pr.stock_health), "d7"),
     # B5, B6, B7 expected sales
     "b5_expected_sales_leaf_blowers": (lambda t, pr: expected_sales.seasonal_expected_sales(t, pr.leaf_blower), "b5"),

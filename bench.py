@@ -33,7 +33,7 @@ HEADLINE = {
     "b1_contribution_margin": lambda t: margin.contribution_margin(t, PR.margin),
     "b2_replenishment_list": lambda t: replenishment.replenishment_list(t, PR.replenishment),
     "b3_stock_health": lambda t: stock_health.stock_health(t, PR.stock_health),
-    "b4_stock_health_trend": lambda t: stock_health.stock_health_trend(stock_health.stock_health_snapshots(t)),
+    "b4_stock_health_trend": lambda t: stock_health.stock_health_trend(t.stock_health_snapshots),
     "b5_expected_sales_leaf_blowers": lambda t: expected_sales.seasonal_expected_sales(t, PR.leaf_blower),
     "b6_expected_sales_lamps": lambda t: expected_sales.seasonal_expected_sales(t, PR.lamps),
     "b7_expected_sales_horizon": lambda t: expected_sales.horizon_expected_sales(t, PR.horizon),

@@ -64,7 +64,8 @@ def adapter_ctes(as_of: dt.date) -> dict[str, str]:
                    CASE o_orderkey % 11 WHEN 0 THEN 'GCNL' WHEN 1 THEN 'FXBE' WHEN 2 THEN 'FXES'
                         WHEN 3 THEN 'FXFR' WHEN 4 THEN 'FXDE' WHEN 5 THEN 'BOL' WHEN 6 THEN 'ManoMano'
                         WHEN 7 THEN 'Showroom' WHEN 8 THEN 'Amazon' WHEN 9 THEN 'VWW' ELSE 'Other' END AS channel,
-                   CASE o_orderkey % 5 WHEN 0 THEN 'pallet' WHEN 1 THEN 'pallet_manual'
+                   CASE (o_orderkey + CASE WHEN o_orderkey % 4 = 0 AND l_linenumber >= 5 THEN 1 ELSE 0 END) % 5
+                        WHEN 0 THEN 'pallet' WHEN 1 THEN 'pallet_manual'
                         WHEN 2 THEN 'flatrate_flatrate' WHEN 3 THEN 'standard' END AS shipping_method,
                    CAST(CASE o_orderstatus WHEN 'F' THEN 5 WHEN 'O' THEN 2 ELSE 0 END AS INTEGER) AS status,
                    CASE o_orderkey % 13 WHEN 0 THEN 'follow_up_shipment' WHEN 1 THEN 'rma'
@@ -84,9 +85,13 @@ def adapter_ctes(as_of: dt.date) -> dict[str, str]:
                    CASE WHEN p_partkey % 53 = 0 THEN NULL ELSE CAST(p_size - 10 AS BIGINT) END AS stock_magento,
                    CAST(p_size AS BIGINT) AS stock_hbs,
                    CAST(substr(p_brand, 7, 10) AS BIGINT) AS manufacturer_id,
-                   p_partkey % 110 AS default_supplier_id,
+                   CASE WHEN p_partkey % 29 = 0 THEN NULL
+                        WHEN p_partkey % 31 = 0 THEN first_supplier + 10000000
+                        ELSE first_supplier END AS default_supplier_id,
                    {MAIN_CATEGORY} AS main_category_id
-            FROM part""",
+            FROM part LEFT JOIN (
+                SELECT l_partkey, CAST(min(l_orderkey * 10000000 + l_suppkey) % 10000000 AS BIGINT) AS first_supplier
+                FROM lineitem GROUP BY l_partkey) lines ON p_partkey = l_partkey""",
         "manufacturers": f"""
             SELECT DISTINCT CAST(substr(p_brand, 7, 10) AS BIGINT) AS manufacturer_id, {MAKER} AS name
             FROM part""",
@@ -98,7 +103,7 @@ def adapter_ctes(as_of: dt.date) -> dict[str, str]:
                    'ROOT_' || CAST(p_size % 4 AS VARCHAR) FROM part""",
         "suppliers": """
             SELECT s_suppkey AS supplier_id,
-                   COALESCE(CASE s_suppkey % 10 WHEN 1 THEN 'Makita Nederland' WHEN 2 THEN 'Transferro B.V.'
+                   COALESCE(CASE s_suppkey % 20 WHEN 1 THEN 'Makita Nederland' WHEN 2 THEN 'Transferro B.V.'
                             WHEN 3 THEN 'Transferro B.V. - Bosch' WHEN 4 THEN 'EOL / Discontinued' END,
                             s_name) AS name,
                    CASE WHEN s_suppkey % 3 = 0 THEN 'OEM' WHEN s_suppkey % 3 = 1 THEN 'trader' END AS type
@@ -129,8 +134,8 @@ def adapter_ctes(as_of: dt.date) -> dict[str, str]:
             FROM part WHERE (p_partkey + 1) % 43 = 0""",
         "pending_po": """
             SELECT l_partkey + 1 AS product_id,
-                   CASE WHEN l_returnflag = 'R' AND 2 + l_linenumber % 4 = 5 THEN -CAST(l_quantity AS BIGINT)
-                        ELSE CAST(l_quantity AS BIGINT) END AS qty,
+                   CASE WHEN l_returnflag = 'R' AND 2 + l_linenumber % 4 = 5 THEN -(CAST(l_quantity AS BIGINT) % 4)
+                        ELSE CAST(l_quantity AS BIGINT) % 4 END AS qty,
                    CAST(2 + l_linenumber % 4 AS INTEGER) AS status_id,
                    CASE WHEN l_orderkey % 9 = 0 THEN l_shipdate END AS deleted_at
             FROM lineitem
@@ -168,5 +173,18 @@ def adapter_ctes(as_of: dt.date) -> dict[str, str]:
                         ELSE CAST(s AS DOUBLE) / days * 1.25 END AS mean,
                    CAST(s AS BIGINT) AS absolute
             FROM class_rows, (VALUES ('sales'), ('sales_in_stock')) AS kinds(type)""",
+        "stock_health_snapshots": """
+            SELECT h.product_id AS PRODUCT_ID, h.date AS snapshot_date, h.stock_magento AS STOCK_MAGENTO,
+                   CAST(ROUND(h.cost_net * h.stock_magento, 2) AS DECIMAL(18,2)) AS STOCK_VALUE,
+                   CAST(CASE WHEN m42.mean <= 0 THEN 0 ELSE m42.mean END AS DOUBLE) AS AVG_SALES_IN_STOCK_42_DAYS,
+                   CAST(CASE WHEN m365.mean <= 0 THEN 0 ELSE m365.mean END AS DOUBLE) AS AVG_SALES_IN_STOCK_365_DAYS,
+                   CAST(CASE WHEN m42.mean <= 0 THEN 0 ELSE h.stock_magento / m42.mean END AS DOUBLE)
+                       AS ESTIMATED_STOCK_DAYS
+            FROM product_history h
+            LEFT JOIN classifications m42 ON m42.product_id = h.product_id AND m42.period = '42_days'
+                                         AND m42.type = 'sales_in_stock'
+            LEFT JOIN classifications m365 ON m365.product_id = h.product_id AND m365.period = 'year'
+                                          AND m365.type = 'sales_in_stock'
+            WHERE h.stock_magento > 0 AND h.product_id NOT IN (SELECT parent_product_id FROM set_items)""",
     }
     return ctes

@@ -94,7 +94,7 @@ def main(argv=None) -> None:
     profile = profile_for(args.as_of, args.testdata_years, args.year, args.season_year)
     if args.job == "stock-health-snapshot":
         # replaces only the as-of day's partition of the snapshot table at --out
-        snapshots.write_snapshot(snapshots.current_snapshot(tables, args.as_of), args.out)
+        snapshots.write_snapshot(stock_health.current_snapshot(tables, args.as_of), args.out)
         return
     if args.job == "stock-health-trend":
         if not args.snapshots:

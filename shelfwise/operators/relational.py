@@ -44,6 +44,16 @@ def not_in(df: DataFrame, key: str, subquery: DataFrame, sub_key: str) -> DataFr
     return kept.join(build, kept[key].eqNullSafe(build["_nin_key"]), "left_anti")
 
 
+def not_in_by_key(df: DataFrame, key: str, subquery: DataFrame, sub_key: str) -> DataFrame:
+    """``not_in`` for a large ``df`` whose key repeats: the exclusion is decided once for each
+    distinct key (combined map-side), and the rows meet the keys that stay in a semi join.
+
+    Equality is null-safe, since a NULL key stays exactly when the subquery is empty.
+    """
+    keys = not_in(df.select(F.col(key).alias("_nik_key")).distinct(), "_nik_key", subquery, sub_key)
+    return df.join(keys, df[key].eqNullSafe(keys["_nik_key"]), "left_semi")
+
+
 def with_not_in_truth(df: DataFrame, key: str, subquery: DataFrame, sub_key: str, name: str) -> DataFrame:
     """Add ``name`` = the SQL truth value (TRUE / FALSE / NULL) of ``key NOT IN (subquery)``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.relational import exclude_parents, report_order
+from ..operators.relational import report_order
 from ..params import ShippedChildParams
 from ..sources.tables import Tables
 
@@ -30,36 +30,47 @@ def _eligible_line_groups(t: Tables, p: ShippedChildParams) -> DataFrame:
             .agg(F.max("description").alias("product_name"), F.sum("qty").alias("quantity_sold")))
 
 
-def explode_bundles(groups: DataFrame, set_items: DataFrame) -> DataFrame:
-    """B8.1: parent rows -> one row per child with quantity x bridge quantity."""
-    bridge = set_items.select(F.col("parent_product_id").alias("_parent"),
-                              F.col("child_product_id").alias("_child"), F.col("quantity").alias("_per"))
-    joined = groups.join(bridge, groups.product_id == bridge._parent, "inner")
-    return joined.select(F.col("_child").alias("product_id"), "product_name", "root_category", "category",
-                         "country", (F.col("quantity_sold") * F.col("_per")).alias("quantity_sold"))
+def sold_products(groups: DataFrame, set_items: DataFrame, direct: bool = True) -> DataFrame:
+    """The products that each group stands for: the product itself when it is no parent
+    (``direct``), the children of a sold bundle (B8.1) with quantity x bridge quantity.
+
+    The bridge becomes one row per parent with its children as an array, so one join
+    answers both whether a product is a parent and which children it has, and one
+    ``explode`` turns a group into its output rows: the lines are scanned once. As in
+    SQL's NOT IN, a NULL parent in the bridge leaves no direct row.
+    """
+    bridge = (set_items.where(F.col("parent_product_id").isNotNull())
+              .groupBy(F.col("parent_product_id").alias("_parent"))
+              .agg(F.collect_list(F.struct(F.col("child_product_id").alias("id"), F.col("quantity").alias("per")))
+                   .alias("_children")))
+    joined = groups.join(bridge, groups.product_id == bridge._parent, "left")
+    outputs = F.when(F.col("_is_bundle"), F.col("_children"))
+    if direct:
+        null_parents = set_items.select(F.count(F.when(F.col("parent_product_id").isNull(), 1))).scalar()
+        itself = F.array(F.struct(F.col("product_id").alias("id"), F.lit(1).cast("long").alias("per")))
+        outputs = F.when(F.col("_children").isNotNull(), outputs).otherwise(F.when(null_parents == 0, itself))
+    return (joined.withColumn("_sold", F.explode(outputs))
+            .select(F.col("_sold.id").alias("product_id"), "product_name", "root_category", "category", "country",
+                    (F.col("quantity_sold") * F.col("_sold.per")).alias("quantity_sold")))
+
+
+def _per_product(rows: DataFrame) -> DataFrame:
+    return (rows.groupBy(*GROUP).agg(F.max("product_name").alias("product_name"),
+                                     F.sum("quantity_sold").alias("quantity_sold"))
+            .select("product_id", "product_name", "root_category", "category", "country", "quantity_sold"))
 
 
 def bundle_child_quantities(t: Tables, p: ShippedChildParams = ShippedChildParams()) -> DataFrame:
     """B8.1 on its own: the bundle lines of the year exploded to their children and
     summed per child product, category and country."""
-    groups = _eligible_line_groups(t, p)
-    exploded = explode_bundles(groups.where(F.col("_is_bundle")), t.set_items)
-    return (exploded.groupBy(*GROUP).agg(F.max("product_name").alias("product_name"),
-                                         F.sum("quantity_sold").alias("quantity_sold"))
-            .select("product_id", "product_name", "root_category", "category", "country", "quantity_sold"))
+    return _per_product(sold_products(_eligible_line_groups(t, p), t.set_items, direct=False))
 
 
 def shipped_child_quantities(t: Tables, p: ShippedChildParams = ShippedChildParams(),
                              sort: bool = True) -> DataFrame:
     """Direct lines of non-parent products plus bundle lines exploded to their
     children, summed per child product, category and country."""
-    groups = _eligible_line_groups(t, p)
-    direct = exclude_parents(groups, t.set_items).select(*GROUP, "product_name", "quantity_sold")
-    bundles = explode_bundles(groups.where(F.col("_is_bundle")), t.set_items)
-    both = direct.unionByName(bundles.select(*GROUP, "product_name", "quantity_sold"))
-    out = both.groupBy(*GROUP).agg(F.max("product_name").alias("product_name"),
-                                   F.sum("quantity_sold").alias("quantity_sold"))
-    out = out.select("product_id", "product_name", "root_category", "category", "country", "quantity_sold")
+    out = _per_product(sold_products(_eligible_line_groups(t, p), t.set_items))
     if not sort:
         return out
     return out.orderBy(*report_order("quantity_sold", "product_id", "country", "category", "root_category"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..operators.relational import (
-    class_slice, class_wide, exclude_parents, membership_flag, not_in_all, report_order,
+    class_slice, class_wide, membership_flag, not_in_all, not_in_by_key, report_order,
     with_categories, with_name,
 )
 from ..sources.tables import Tables
@@ -81,11 +81,13 @@ def out_of_stock_percentage(t: Tables, p: P.OutOfStockParams) -> DataFrame:
 def stock_development(t: Tables, sort: bool = True) -> DataFrame:
     """Daily stock value of stocked non-parent products with current dimensions.
 
-    As in B12, the de-duplication is applied to each side of the product_id joins (the
+    Whether a product is a parent is decided once for each product of the history, not for
+    each of its days. As in B12, the de-duplication is applied to each side of the product_id joins (the
     narrow history rows, and every product-level lookup after projection) instead of
     to the wide output rows; the joins then cannot create duplicates.
     """
-    hist = exclude_parents(t.product_history.where(F.col("stock_magento") > 0), t.set_items)
+    hist = not_in_by_key(t.product_history.where(F.col("stock_magento") > 0), "product_id",
+                         t.set_items, "parent_product_id")
     value = F.when(F.col("stock_magento") > 0, F.col("cost_net") * F.col("stock_magento")).otherwise(F.lit(0))
     hist = hist.select(
         "product_id", F.col("date").alias("DATE"), F.col("cost_net").alias("PER_UNIT_COST"),

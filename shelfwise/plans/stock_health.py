@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,29 +80,10 @@ def stock_health(t: Tables, p: P.StockHealthParams = P.StockHealthParams(),
     return out.orderBy(*report_order("STOCK_VALUE", "PRODUCT_ID")) if sort else out
 
 
-def stock_health_snapshots(t: Tables) -> DataFrame:
-    """Daily stock-health rows rebuilt from the product history.
-
-    The trend job reads a table of stock-health snapshots. Here one snapshot row per
-    stocked non-parent product and history day is derived with the current in-stock
-    means; ``sources.snapshots`` writes and reads the same columns as a table
-    partitioned by ``snapshot_date``.
-    """
-    hist = exclude_parents(t.product_history.where(F.col("stock_magento") > 0), t.set_items)
-    cls = class_wide(t.classifications, [(P.YEAR_IN_STOCK, "mean", "_m365_is"),
-                                         (P.D42_IN_STOCK, "mean", "_m42_is")])
-    cls = cls.withColumnRenamed("product_id", "_cpid")
-    df = hist.join(cls, hist.product_id == cls._cpid, "left")
-    m42 = F.col("_m42_is")
-    return df.select(
-        F.col("product_id").alias("PRODUCT_ID"),
-        F.col("date").alias("snapshot_date"),
-        F.col("stock_magento").alias("STOCK_MAGENTO"),
-        _stock_value(F.col("cost_net"), F.col("stock_magento")).alias("STOCK_VALUE"),
-        floor_nonpositive(m42).cast("double").alias("AVG_SALES_IN_STOCK_42_DAYS"),
-        floor_nonpositive(F.col("_m365_is")).cast("double").alias("AVG_SALES_IN_STOCK_365_DAYS"),
-        _estimated_days(F.col("stock_magento"), m42).alias("ESTIMATED_STOCK_DAYS"),
-    )
+def current_snapshot(t: Tables, snapshot_date: dt.date) -> DataFrame:
+    """Today's stock-health rows (B3 without buckets) stamped with the snapshot date, as
+    ``sources.snapshots`` stores them for the trend."""
+    return stock_health_base(t).withColumn("snapshot_date", F.lit(snapshot_date))
 
 
 def stock_health_trend(snapshots: DataFrame, p: P.StockHealthParams = P.StockHealthParams()) -> DataFrame:

@@ -37,6 +37,12 @@ PRODUCT_HISTORY = _schema(
     ("product_id", LongType()), ("date", DateType()), ("cost_net", MONEY), ("stock_magento", LongType()),
 )
 
+STOCK_HEALTH_SNAPSHOTS = _schema(
+    ("PRODUCT_ID", LongType()), ("snapshot_date", DateType()), ("STOCK_MAGENTO", LongType()),
+    ("STOCK_VALUE", DecimalType(18, 2)), ("AVG_SALES_IN_STOCK_42_DAYS", DoubleType()),
+    ("AVG_SALES_IN_STOCK_365_DAYS", DoubleType()), ("ESTIMATED_STOCK_DAYS", DoubleType()),
+)
+
 CLASSIFICATIONS = _schema(
     ("product_id", LongType()), ("period", StringType()), ("type", StringType()),
     ("label", StringType()), ("mean", DoubleType()), ("absolute", LongType()),
@@ -61,6 +67,7 @@ TABLES = {
     "order_lines": ORDER_LINES,
     "products": PRODUCTS,
     "product_history": PRODUCT_HISTORY,
+    "stock_health_snapshots": STOCK_HEALTH_SNAPSHOTS,
     "classifications": CLASSIFICATIONS,
     "product_labels": PRODUCT_LABELS,
     "set_items": SET_ITEMS,

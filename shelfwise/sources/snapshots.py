@@ -8,22 +8,11 @@ The table should live in shared storage (e.g. under the cluster's
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..plans.stock_health import stock_health_base
-from ..sources.tables import Tables
 
 PARTITION = "snapshot_date"
 
 
-def current_snapshot(t: Tables, snapshot_date: dt.date) -> DataFrame:
-    """Today's stock-health rows (B3 without buckets) stamped with the snapshot date."""
-    return stock_health_base(t).withColumn(PARTITION, F.lit(snapshot_date))
-
-
 def write_snapshot(df: DataFrame, path: str) -> None:
     """Write (or rewrite) the snapshot dates present in ``df``."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

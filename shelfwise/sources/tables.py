@@ -65,23 +65,32 @@ def from_warehouse(spark: SparkSession, root: str, fmt: str = "parquet") -> Tabl
     return Tables({name: reader(name) for name in schemas.TABLES})
 
 
-def write_warehouse(tables: Tables, root: str, mode: str = "overwrite", files_per_date: int = 1,
-                    max_records_per_file: int = 0) -> None:
-    """Write every logical table to ``{root}/{name}`` (history partitioned by date).
-
-    The history is first repartitioned by (date, hash bucket of product_id), so each
-    date gets ``files_per_date`` files written by as many tasks, instead of one small
-    file per date from every task. Choose ``files_per_date`` so that a day's history
-    divided by it is a few hundred MB; ``max_records_per_file`` caps files further.
+# Tables kept by day: name -> (day, column that deals out a day's rows).
+BY_DAY = {"product_history": ("date", "product_id"), "stock_health_snapshots": ("snapshot_date", "PRODUCT_ID")}
+
+
+def dealt_by_day(df: DataFrame, day: str, key: str, rows_per_file: int) -> DataFrame:
+    """``df`` repartitioned by (day, bucket), with as many buckets for a day as its own row
+    count asks for: a large day is written by several tasks, a small one as a single file."""
+    files = df.groupBy(F.col(day).alias("_day")).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    dealt = df.join(files, df[day].eqNullSafe(files["_day"]))
+    # rows without a key deal themselves out by their other columns
+    spread = F.xxhash64(*[F.col(c) for c in df.columns if c != day])
+    bucket = F.pmod(F.when(F.col(key).isNull(), spread).otherwise(F.xxhash64(key)), F.col("_files"))
+    return (dealt.withColumn("_bucket", bucket).repartition(F.col(day), F.col("_bucket"))
+            .drop("_day", "_files", "_bucket"))
+
+
+def write_warehouse(tables: Tables, root: str, mode: str = "overwrite", rows_per_file: int = 10_000_000) -> None:
+    """Write every logical table to ``{root}/{name}`` (the tables kept by day partitioned by it).
+
+    A day's rows are divided over ceil(rows / ``rows_per_file``) tasks and files, whatever
+    its size, instead of one small file per date from every task.
     """
     for name in schemas.TABLES:
         df = getattr(tables, name)
-        if name == "product_history":
-            bucket = F.pmod(F.xxhash64("product_id"), F.lit(files_per_date))
-            df = df.repartition(F.col("date"), bucket)
-        writer = df.write.mode(mode)
-        if max_records_per_file:
-            writer = writer.option("maxRecordsPerFile", max_records_per_file)
-        if name == "product_history":
-            writer = writer.partitionBy("date")
-        writer.parquet(f"{root}/{name}")
+        if name in BY_DAY:
+            day, key = BY_DAY[name]
+            dealt_by_day(df, day, key, rows_per_file).write.mode(mode).partitionBy(day).parquet(f"{root}/{name}")
+        else:
+            df.write.mode(mode).parquet(f"{root}/{name}")

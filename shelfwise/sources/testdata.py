@@ -13,7 +13,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..params import TESTDATA_AS_OF
+from ..functions.exprs import floor_nonpositive
+from ..operators.relational import class_wide, exclude_parents
+from ..params import D42_IN_STOCK, TESTDATA_AS_OF, YEAR_IN_STOCK
 from .tables import Tables, conform
 
 # Fixture choices (ours, not business constants): value lists picked by a modulo.
@@ -29,6 +31,7 @@ SUPPLIER_NAMES = {1: "Makita Nederland", 2: "Transferro B.V.", 3: "Transferro B.
 CLASS_PERIODS = (("week", 7), ("42_days", 42), ("year", 365))
 CLASS_THRESHOLDS = ((200, "A+"), (150, "A"), (100, "B"), (50, "C"))
 HISTORY_DAYS = 100
+SUPPLIER_ROOM = 10_000_000   # above every supplier key
 
 
 def pick(index: Column, values) -> Column:
@@ -85,6 +88,8 @@ def order_lines(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> Data
               .when(F.col("o_orderstatus") == "O", 2).otherwise(0))
     order_type = (F.when(F.col("o_orderkey") % 13 == 0, "follow_up_shipment")
                   .when(F.col("o_orderkey") % 13 == 1, "rma").otherwise("sales_order"))
+    # a quarter of the orders ships its later lines by another method
+    second_method = F.when((F.col("o_orderkey") % 4 == 0) & (F.col("l_linenumber") >= 5), 1).otherwise(0)
     df = joined.select(
         (F.col("l_orderkey") + 1).alias("order_id"),
         F.col("o_orderdate").alias("order_date"),
@@ -102,7 +107,7 @@ def order_lines(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> Data
          .otherwise(qty).alias("qty"),
         pick(F.col("o_custkey") % 8, WEBSITES_BY_CUSTOMER).alias("website_id"),
         pick(F.col("o_orderkey") % 11, CHANNELS_BY_ORDER).alias("channel"),
-        pick(F.col("o_orderkey") % 5, METHODS_BY_ORDER).alias("shipping_method"),
+        pick((F.col("o_orderkey") + second_method) % 5, METHODS_BY_ORDER).alias("shipping_method"),
         status.alias("status"),
         order_type.alias("order_type"),
         F.when(F.col("l_partkey") % 10 == 0, "COMPOSITION").otherwise("SIMPLE").alias("line_type"),
@@ -117,9 +122,18 @@ def _cost(factor: str) -> Column:
     return _times(_dec(F.col("p_retailprice"), 12, 2), factor)
 
 
-def products(part: DataFrame) -> DataFrame:
+def first_suppliers(lineitem: DataFrame) -> DataFrame:
+    """The supplier of each part's first line (parts without lines have none)."""
+    first = F.min(F.col("l_orderkey") * SUPPLIER_ROOM + F.col("l_suppkey")) % SUPPLIER_ROOM
+    return lineitem.groupBy(F.col("l_partkey").alias("_pk")).agg(first.alias("_supplier"))
+
+
+def products(part: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """A supplier of its lines for most parts; none for some, one that the supplier table
+    lacks for others."""
     k = F.col("p_partkey")
-    df = part.select(
+    suppliers_of = first_suppliers(lineitem)
+    df = part.join(suppliers_of, part.p_partkey == suppliers_of._pk, "left").select(
         (k + 1).alias("product_id"),
         F.col("p_name").alias("name_nl"),
         F.concat(F.lit("871"), F.lpad(k.cast("string"), 10, "0")).alias("ean"),
@@ -129,7 +143,8 @@ def products(part: DataFrame) -> DataFrame:
         F.when(k % 53 == 0, F.lit(None)).otherwise(F.col("p_size") - 10).alias("stock_magento"),
         F.col("p_size").alias("stock_hbs"),
         _brand_number().alias("manufacturer_id"),
-        (k % 110).alias("default_supplier_id"),
+        F.when(k % 29 == 0, F.lit(None)).when(k % 31 == 0, F.col("_supplier") + SUPPLIER_ROOM)
+         .otherwise(F.col("_supplier")).alias("default_supplier_id"),
         _main_category_id().alias("main_category_id"),
     )
     return conform(df, "products")
@@ -158,7 +173,7 @@ def categories(part: DataFrame) -> DataFrame:
 
 def suppliers(supplier: DataFrame) -> DataFrame:
     k = F.col("s_suppkey")
-    name = F.coalesce(pick(k % 10, [SUPPLIER_NAMES.get(i) for i in range(10)]), F.col("s_name"))
+    name = F.coalesce(pick(k % 20, [SUPPLIER_NAMES.get(i) for i in range(20)]), F.col("s_name"))
     df = supplier.select(
         k.alias("supplier_id"), name.alias("name"),
         F.when(k % 3 == 0, "OEM").when(k % 3 == 1, "trader").alias("type"),
@@ -245,7 +260,7 @@ def classifications(lines: DataFrame, as_of: dt.date) -> DataFrame:
 
 def pending_po(lineitem: DataFrame) -> DataFrame:
     status = (F.lit(2) + F.col("l_linenumber") % 4)
-    qty = F.col("l_quantity").cast("long")
+    qty = F.col("l_quantity").cast("long") % 4   # small, so that reports find something left to order; some are 0
     df = lineitem.where(F.col("l_linestatus") == "O").select(
         (F.col("l_partkey") + 1).alias("product_id"),
         F.when((F.col("l_returnflag") == "R") & (status == 5), -qty).otherwise(qty).alias("qty"),
@@ -273,6 +288,22 @@ def product_history(part: DataFrame, as_of: dt.date) -> DataFrame:
     return conform(df, "product_history")
 
 
+def stock_health_snapshots(history: DataFrame, classes: DataFrame, bundles: DataFrame) -> DataFrame:
+    """One stock-health snapshot row per stocked non-parent product and history day, with
+    the current in-stock means (the given tables hold no older ones)."""
+    hist = exclude_parents(history.where(F.col("stock_magento") > 0), bundles)
+    means = class_wide(classes, [(YEAR_IN_STOCK, "mean", "_m365"), (D42_IN_STOCK, "mean", "_m42")])
+    means = means.withColumnRenamed("product_id", "_mpid")
+    m42 = F.col("_m42")
+    df = hist.join(means, hist.product_id == means._mpid, "left").select(
+        "product_id", F.col("date").alias("snapshot_date"), "stock_magento",
+        F.round(F.col("cost_net") * F.col("stock_magento"), 2).alias("STOCK_VALUE"),
+        floor_nonpositive(m42).alias("AVG_SALES_IN_STOCK_42_DAYS"),
+        floor_nonpositive(F.col("_m365")).alias("AVG_SALES_IN_STOCK_365_DAYS"),
+        F.when(m42 <= 0, F.lit(0.0)).otherwise(F.col("stock_magento") / m42).alias("ESTIMATED_STOCK_DAYS"))
+    return conform(df, "stock_health_snapshots")
+
+
 def load(spark: SparkSession, sf_dir: str, as_of: dt.date = TESTDATA_AS_OF) -> Tables:
     """All logical tables over the test tables in ``sf_dir``."""
     def read(name):
@@ -281,7 +312,7 @@ def load(spark: SparkSession, sf_dir: str, as_of: dt.date = TESTDATA_AS_OF) -> T
     part = lambda: read("part")
     builders = {
         "order_lines": lambda: order_lines(read("lineitem"), read("orders"), part()),
-        "products": lambda: products(part()),
+        "products": lambda: products(part(), read("lineitem")),
         "manufacturers": lambda: manufacturers(part()),
         "categories": lambda: categories(part()),
         "suppliers": lambda: suppliers(read("supplier")),
@@ -298,6 +329,8 @@ def load(spark: SparkSession, sf_dir: str, as_of: dt.date = TESTDATA_AS_OF) -> T
         "pending_po": lambda: pending_po(read("lineitem")),
         "product_history": lambda: product_history(part(), as_of),
     }
+    builders["stock_health_snapshots"] = lambda: stock_health_snapshots(
+        tables.product_history, tables.classifications, tables.set_items)
     builders["classifications"] = lambda: classifications(tables.order_lines, as_of)
     tables = Tables(builders)
     return tables

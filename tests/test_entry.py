@@ -10,6 +10,7 @@ import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as E
+from oracles.jobs import oracle_queries
 from shelfwise.plans.margin import OUTPUT
 
 DRIVER_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -50,6 +51,53 @@ def test_query_matches_oracle(spark, duck, key):
     assert canon([tuple(r) for r in df.collect()], df.columns) == canon(rel.fetchall(), rel.columns)
 
 
+# the last step of each sorting report: its column (descending) and the declared tie-breakers
+REPORT_ORDER = {
+    "b2_replenishment_list": ("ORDER_QTY", "PRODUCT_ID"),
+    "b2_replenishment_list_alternatives": ("ORDER_QTY", "PRODUCT_ID"),
+    "b2_replenishment_list_low_cash": ("ORDER_QTY", "PRODUCT_ID"),
+    "b3_stock_health": ("STOCK_VALUE", "PRODUCT_ID"),
+    "b5_expected_sales_leaf_blowers": ("ORDER_VALUE", "PRODUCT_ID", "CATEGORY", "ROOT_CATEGORY"),
+    "b6_expected_sales_lamps": ("ORDER_VALUE", "PRODUCT_ID", "CATEGORY", "ROOT_CATEGORY"),
+    "b5_expected_sales_leaf_blowers_orderable": ("ORDER_VALUE", "PRODUCT_ID", "CATEGORY", "ROOT_CATEGORY"),
+    "b6_expected_sales_lamps_orderable": ("ORDER_VALUE", "PRODUCT_ID", "CATEGORY", "ROOT_CATEGORY"),
+    "b7_expected_sales_horizon": ("ORDER_VALUE", "PRODUCT_ID", "ROOT_CATEGORY"),
+    "b8_shipped_child_quantities": ("quantity_sold", "product_id", "country", "category", "root_category"),
+    "b14_stock_development": ("STOCK_VALUE", "PRODUCT_ID", "DATE"),
+    "d10_low_stock_report": ("LOW_STOCK_PERCENTAGE_DAYS", "PRODUCT_ID"),
+}
+
+
+@pytest.mark.parametrize("key", sorted(REPORT_ORDER))
+def test_rows_come_out_as_the_oracle_orders_them(spark, duck, key):
+    """CORRECTNESS compares multisets; this compares the sequences of the sort keys."""
+    first, *ties = REPORT_ORDER[key]
+    order = ", ".join([f'"{first}" DESC NULLS LAST', *[f'"{c}" ASC NULLS LAST' for c in ties]])
+    got = [tuple(r[c] for c in REPORT_ORDER[key]) for r in E.queries()[key](spark, SF_SMALL).collect()]
+    columns = ", ".join(f'"{c}"' for c in REPORT_ORDER[key])
+    assert len(got) > 1
+    assert got == duck.sql(f"SELECT {columns} FROM ({E.oracle_sql()[key]}) AS report ORDER BY {order}").fetchall()
+
+
+@pytest.mark.parametrize("key", sorted(k for k, money in E.MONEY_COLUMNS.items() if money))
+def test_money_is_exact_to_the_scale_and_unit(spark, duck, key):
+    """Before they are presented as DOUBLE: precision, scale and unscaled values of every money
+    column, as the job and its oracle return them."""
+    df = E.run(key, E._tables(spark, SF_SMALL), E.PR)
+    cte, profile = E.oracle_for(key, E.PR)
+    rel = duck.sql(oracle_queries(profile, [cte])[cte])
+    for name in E.MONEY_COLUMNS[key]:
+        spark_type = df.schema[name].dataType
+        assert str(rel.types[rel.columns.index(name)]) == f"DECIMAL({spark_type.precision},{spark_type.scale})", name
+
+    def unscaled(rows, names):
+        at = [list(names).index(n) for n in E.MONEY_COLUMNS[key]]
+        return Counter(tuple(None if r[i] is None else (int(r[i].scaleb(-r[i].as_tuple().exponent)),
+                                                        -r[i].as_tuple().exponent) for i in at) for r in rows)
+
+    assert unscaled(df.collect(), df.columns) == unscaled(rel.fetchall(), rel.columns)
+
+
 def test_money_columns_list_matches_the_jobs(spark):
     """MONEY_COLUMNS (used to build the oracle casts) lists exactly the DECIMAL outputs,
     and the registered queries present no DECIMAL column."""

@@ -62,6 +62,12 @@ def random_tables(rng, null_parent: bool, null_in_list: bool = False) -> dict:
     history = [dict(product_id=pick(rng, ids, 0.02), date=start + dt.timedelta(days=rng.randint(0, 35)),
                     cost_net=m(rng, 0, 40), stock_magento=pick(rng, range(-3, 12), 0.1)) for _ in range(400)]
     history += history[:20]                           # duplicate history rows
+    snapshots = [dict(PRODUCT_ID=r["product_id"], snapshot_date=r["date"], STOCK_MAGENTO=r["stock_magento"],
+                      STOCK_VALUE=pick(rng, [D("0.00"), m(rng, -20, 400)]),
+                      AVG_SALES_IN_STOCK_42_DAYS=pick(rng, [0.0, 0.3, 2.5]),
+                      AVG_SALES_IN_STOCK_365_DAYS=pick(rng, [0.0, 0.1]),
+                      ESTIMATED_STOCK_DAYS=pick(rng, [0.0, 12.5, 30.0, 30.5, 31.0, 90.0, 150.0, 365.0, 400.0]))
+                 for r in history[::3]]
     classes = []
     for i in ids:
         for period in ("week", "42_days", "year"):
@@ -97,6 +103,7 @@ def random_tables(rng, null_parent: bool, null_in_list: bool = False) -> dict:
     flag = lambda n: [dict(product_id=rng.choice(ids)) for _ in range(n)]
     return dict(
         order_lines=lines, products=products, product_history=history, classifications=classes,
+        stock_health_snapshots=snapshots,
         product_labels=[dict(product_id=pick(rng, ids, 0.05), label=pick(rng, ["new", "promo", "NONE"], 0.1))
                         for _ in range(10)],
         set_items=set_items,

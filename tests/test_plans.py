@@ -96,6 +96,28 @@ def test_margin_reads_the_lookups_once_and_rolls_up_narrow_lines(spark, capsys,
     assert {"order_id", "website_id", "shipping_method", "product_id", "line_total_ex_vat"} | filters in reads
 
 
+def test_bundles_scan_the_lines_once(spark, capsys, warehouse):
+    for df in (bundles.shipped_child_quantities(warehouse, PR.shipped_child),
+               bundles.bundle_child_quantities(warehouse, PR.shipped_child)):
+        assert len(scans(plan_of(df, capsys), "order_lines")) == 1
+
+
+def test_parents_are_excluded_once_per_product(spark, capsys, warehouse):
+    """The null-aware anti join reads the distinct products of the history."""
+    df = history.stock_development(warehouse)
+    capsys.readouterr()
+    df.explain("extended")
+    text = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    lines = text.splitlines()
+    anti = [i for i, x in enumerate(lines) if "Join LeftAnti" in x]
+    assert anti
+    for i in anti:
+        below = [x for x in lines[i + 1:] if re.search(r"Aggregate \[\w+#\d+L\]|Relation", x)]
+        assert re.search(r"Aggregate \[product_id#\d+L\], \[product_id#\d+L AS _nik_key", below[0]) or \
+            "_nin_key" in below[0] or "parent_product_id" in below[0], text
+    assert "AS _nik_key" in text
+
+
 SORTED = {
     "b2_replenishment_list": "ORDER_QTY", "b3_stock_health": "STOCK_VALUE",
     "b5_expected_sales_leaf_blowers": "ORDER_VALUE", "b6_expected_sales_lamps": "ORDER_VALUE",
