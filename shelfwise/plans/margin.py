@@ -33,15 +33,14 @@ OUTPUT = (
 )
 
 
-def product_attributes(t: Tables) -> DataFrame:
-    """(rows, parcel): per product the lookup rows (id, name, commission, yearly class) that
-    a line of it meets, and whether it goes as a parcel of its own.
-
-    A product with n names, m commissions and k class rows has max(n,1) * max(m,1) *
-    max(k,1) rows, as many as chained left joins give one line. The four tables are read
-    as one and grouped by product in one shuffle; every use below reads that same grouping.
-    The id is taken from the rows: a join on it then has an exchange of its own on this
-    side when it is too large to broadcast, without which AQE cannot split a hot product.
+def product_facts(t: Tables) -> DataFrame:
+    """(facts): per product its names, commissions, yearly classes and separate-parcel marks,
+    one array of (id, kind, text, rate).
+
+    The four tables are read as one and grouped by product in one shuffle; both uses below
+    read that same grouping. The id is taken from the facts: a join on it then has an
+    exchange of its own on this side when it is too large to broadcast, without which AQE
+    cannot split a hot product.
     """
     classes = class_slice(t.classifications, P.YEAR_SALES, {"label": "label"})
     parts = [t.products.select("product_id", F.lit("name").alias("kind"), F.col("name_nl").alias("text")),
@@ -53,19 +52,35 @@ def product_attributes(t: Tables) -> DataFrame:
     facts = parts[0]
     for part in parts[1:]:
         facts = facts.unionByName(part, allowMissingColumns=True)
-    facts = (facts.where(F.col("product_id").isNotNull()).groupBy("product_id")
-             .agg(F.collect_list(F.struct("kind", "text", "rate")).alias("facts")))
+    return (facts.where(F.col("product_id").isNotNull()).groupBy("product_id")
+            .agg(F.collect_list(F.struct(F.col("product_id").alias("id"), "kind", "text", "rate")).alias("facts"))
+            .select("facts"))
+
+
+def _of_kind(kind: str) -> Column:
+    return F.filter("facts", lambda f: f["kind"] == kind)
+
+
+def product_weights(t: Tables) -> DataFrame:
+    """(id, weight, parcel): how many lookup rows a line of the product meets, and whether it
+    goes as a parcel of its own.
+
+    A product with n names, m commissions and k class rows has max(n,1) * max(m,1) *
+    max(k,1) rows, as many as chained left joins give one line.
+    """
+    rows = [F.greatest(F.size(_of_kind(kind)), F.lit(1)).cast("long") for kind in ("name", "rate", "class")]
+    return product_facts(t).select(F.col("facts")[0]["id"].alias("id"), (rows[0] * rows[1] * rows[2]).alias("weight"),
+                                   (F.size(_of_kind("parcel")) > 0).alias("parcel"))
 
-    def of(kind: str, field: str) -> Column:
-        """The facts of a kind, or one null."""
-        found = F.transform(F.filter("facts", lambda f: f["kind"] == kind), lambda f: f[field])
-        return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(None)))
 
-    rows = F.flatten(F.transform(of("name", "text"), lambda name: F.flatten(F.transform(
-        of("rate", "rate"), lambda rate: F.transform(of("class", "text"), lambda label: F.struct(
-            F.col("product_id").alias("id"), name.alias("product_name_nl"), rate.alias("commission_percentage"), label.alias("sales_class")))))))
-    return facts.select(rows.alias("rows"),
-                        F.exists("facts", lambda f: f["kind"] == "parcel").cast("int").alias("parcel"))
+def product_rows(t: Tables) -> DataFrame:
+    """(id, product_name_nl, commission_percentage, sales_class, parcel): the lookup rows."""
+    df = product_facts(t).select(F.col("facts")[0]["id"].alias("id"), (F.size(_of_kind("parcel")) > 0).alias("parcel"),
+                                 *[_of_kind(kind).alias(f"_{kind}") for kind in ("name", "rate", "class")])
+    for kind, field, name in (("name", "text", "product_name_nl"), ("rate", "rate", "commission_percentage"),
+                              ("class", "text", "sales_class")):
+        df = df.withColumn("_one", F.explode_outer(f"_{kind}")).withColumn(name, F.col(f"_one.{field}")).drop("_one", f"_{kind}")
+    return df
 
 
 def selected_lines(t: Tables, p: P.MarginParams) -> DataFrame:
@@ -80,8 +95,7 @@ def selected_lines(t: Tables, p: P.MarginParams) -> DataFrame:
 def with_lookups(lines: DataFrame, t: Tables) -> DataFrame:
     """Lines (and what was joined to them) with product name, yearly class, marketplace
     commissions and the separate-parcel flag, once for each lookup row of the product."""
-    found = (product_attributes(t).select(F.explode("rows").alias("_row"), F.col("parcel").alias("_parcel"))
-             .select("_row.*", "_parcel"))
+    found = product_rows(t)
     df = lines.join(found, lines.product_id == found.id, "left").drop("id")
     c = F.col
     return df.withColumns({
@@ -95,7 +109,7 @@ def with_lookups(lines: DataFrame, t: Tables) -> DataFrame:
             c("channel"), c("product_id"), c("brand"), c("line_total_ex_vat")).cast(MONEY2),
         "Amazon_marketing_cost_per_product": rules.amazon_commission(
             c("channel"), c("product_id"), c("line_total_ex_vat")).cast(MONEY2),
-        "is_coll_product": F.coalesce(c("_parcel"), F.lit(0)),
+        "is_coll_product": F.when(c("parcel"), 1).otherwise(0),
     })
 
 
@@ -114,16 +128,16 @@ def order_rollup(t: Tables, p: P.MarginParams = P.MarginParams()) -> DataFrame:
     the cost share, separate-parcel lines and the shipping cost. A line weighs as many
     lines as its product has lookup rows, which is what it is after the lookups."""
     lines = selected_lines(t, p).select("order_id", "website_id", "shipping_method", "product_id", "line_total_ex_vat")
-    weights = product_attributes(t).select(F.col("rows")[0]["id"].alias("_wpid"), F.size("rows").alias("_weight"), "parcel")
-    lines = lines.join(weights, lines.product_id == weights._wpid, "left")
-    weight = F.coalesce(F.col("_weight"), F.lit(1))
+    weights = product_weights(t)
+    lines = lines.join(weights, lines.product_id == weights.id, "left")
+    weight = F.coalesce(F.col("weight"), F.lit(1))
     positive = F.col("product_id") > 0
     revenue = F.col("line_total_ex_vat") * weight.cast("decimal(10,0)")
     agg = lines.groupBy("order_id", "website_id", "shipping_method").agg(
         F.sum(F.when(positive, weight).otherwise(0)).cast("long").alias("order_line"),
         F.sum(F.when(positive & (F.col("line_total_ex_vat") > 0), revenue).otherwise(F.lit(0)))
          .cast("decimal(38,4)").alias("total_revenue_for_cost_share"),
-        F.sum(F.when(F.col("parcel") > 0, weight).otherwise(0)).cast("long").alias("is_tm_colli"),
+        F.sum(F.when(F.col("parcel"), weight).otherwise(0)).cast("long").alias("is_tm_colli"),
     )
     return agg.withColumn("shipping_cost_per_shipping_method", rules.shipping_cost(
         F.col("shipping_method"), F.col("website_id"), F.col("is_tm_colli"), F.col("order_line"))
