@@ -51,7 +51,7 @@ FAST_SUPPLIERS = ("Makita Nederland", "Transferro B.V.", "Transferro B.V. - Bosc
 LOW_CASH_SUPPLIERS = ("Makita Nederland", "Transferro B.V.")
 EOL_SUPPLIER = "EOL / Discontinued"
 
-# Purchase-order status codes.
+# Purchase-order status numbers.
 PO_BACKORDER, PO_ORDERED, PO_CONFIRMED, PO_RECEIVED = 2, 3, 4, 5
 
 # Classification slices: (period, type).
