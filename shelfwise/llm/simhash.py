@@ -79,8 +79,9 @@ def colliding_pairs(distinct: DataFrame, max_bits: int) -> DataFrame:
     ``max_bits`` bits apart; for an even ``max_bits``, enough of them to connect all."""
     ball = F.array(*[F.lit(m) for m in masks((max_bits + 1) // 2)])
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # dealt out first: every fingerprint is about to become a whole ball
-    met = (distinct.repartition(tasks, "fp").select("fp", F.explode(ball).alias("mask"))
+    # dealt out first, as every fingerprint is about to become a whole ball; round-robin, since
+    # Spark leaves out a shuffle by the key that the rows already lie by
+    met = (distinct.repartition(tasks).select("fp", F.explode(ball).alias("mask"))
            .select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
            .groupBy("variant").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
            .where(F.size("fps") > 1))
