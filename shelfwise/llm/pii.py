@@ -9,7 +9,7 @@ and every row is worked on where it was read. The patterns use possessive loops,
 match the same text as plain ones here and need no stack on very long texts.
 
 Base kinds (email, ip, card, phone) always stay. Added kinds (iban, with its mod-97
-check) are reported if the score after the context words reaches ``min_score``.
+check, as long as its country has them, no letter or digit next to it) are reported if the score after the context words reaches ``min_score``.
 
 Defined results: a null text counts as empty and has no spans; kinds may overlap each
 other and are all reported; repeated rows are reported alike; other columns are kept apart.
@@ -39,17 +39,26 @@ class Kind:
     unlikely: str  # context words that lower it
 
 
+# Characters of an IBAN by its country (public registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "|".join(f"(?:{'|'.join(names.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{size - 4}}}" for size, names in IBAN_LENGTHS.items())
+
 # Patterns of the base kinds.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)++", "@", True, 0.9,
-         "mail|contact|write|reply", "example|noreply"),
+         "e?mail|contact|write|reply", "example|noreply"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", True, 0.6,
          "ip|address|host|server|login", "version|release|section"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9][0-9\x20-]{12}", True, 0.8,
          "card|visa|credit|pay|amex", "order|tracking|isbn|invoice"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", True, 0.8,
          "phone|tel|call|mobile|fax", "score|math"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+", r"[A-Z]{2}[0-9]{2}", False, 0.7,
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{IBAN})(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", False, 0.7,
          "iban|bank|account|transfer|konto", "serial|part"),
 )
 BASE = [k.name for k in KINDS if k.base]
@@ -97,15 +106,15 @@ def confirmed(kind: Kind, value: Column) -> Column:
     if kind.name == "phone":
         return F.length(digits_of(value)).between(10, 15)
     if kind.name == "iban":
-        return F.length(F.replace(value, F.lit(" "), F.lit(""))).between(15, 34) & mod97(value)
+        return mod97(value)  # the pattern has the length
     return F.lit(True)
 
 
 def adjusted(kind: Kind, before: Column, after: Column) -> Column:
     """Score of a confirmed span from the words around it, as whole percents."""
     near = F.lower(F.concat(F.right(before, F.lit(NEAR)), F.lit(" "), F.left(after, F.lit(NEAR))))
-    return (F.lit(round(kind.score * 100)) + F.when(near.rlike(rf"({kind.likely})"), 10).otherwise(0)
-            - F.when(near.rlike(rf"({kind.unlikely})"), 30).otherwise(0))
+    return (F.lit(round(kind.score * 100)) + F.when(near.rlike(rf"\b(?:{kind.likely})\b"), 10).otherwise(0)
+            - F.when(near.rlike(rf"\b(?:{kind.unlikely})\b"), 30).otherwise(0))
 
 
 def staged(df: DataFrame, *columns: Column) -> DataFrame:
@@ -138,7 +147,8 @@ def span_arrays(df: DataFrame, min_score: float) -> DataFrame:
         size = F.size(f"s_{name}")
         blocks = F.when(size > 0, F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int"))
                         ).otherwise(F.array().cast("array<int>"))
-        return F.transform(blocks, lambda b: total(F.slice(f"s_{name}", F.lit(1), b * BLOCK)))
+        return F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda sums, b: F.concat(sums, F.array(
+            F.element_at(sums, -1) + total(F.slice(f"s_{name}", b * BLOCK + 1, F.lit(BLOCK))))))
 
     df = staged(df, *[sizes(k.name).alias(f"s_{k.name}") for k in KINDS])
     df = staged(df, *[before_blocks(k.name).alias(f"b_{k.name}") for k in KINDS])
