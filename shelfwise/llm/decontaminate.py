@@ -224,7 +224,7 @@ def latent_basis(rows: DataFrame, rank: int, oversample: int = 16, power: int =
 def benchmark_blocks(items: DataFrame, max_items: int, max_bytes: int) -> Iterator[pd.DataFrame]:
     """The benchmark, a bounded block of rows (item_id, text) at a time."""
     block, held = [], 0
-    for row in items.select("item_id", "text").where(F.length(F.trim("text")) > 0).toLocalIterator():
+    for row in items.select("item_id", "text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).toLocalIterator():
         block.append((row["item_id"], row["text"]))
         held += len(row["text"])
         if len(block) >= max_items or held >= max_bytes:
