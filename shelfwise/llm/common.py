@@ -45,19 +45,35 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def sample_per_class(df: DataFrame, label: str, per_class: int, key: Column) -> DataFrame:
-    """The ``per_class`` rows of each label with the smallest hash of ``key``. Every task
-    keeps that many rows per label before the shuffle, so a frequent label does not
-    gather in one task."""
+def first_per_class(df: DataFrame, label: str, per_class: int, key: Column) -> DataFrame:
+    """The ``per_class`` rows of each label with the smallest hash of ``key``. One task ranks
+    a label's rows, so this is for rows whose number is bounded already."""
     order = Window.partitionBy(label).orderBy("_order", "_key")
-    return (df.withColumn("_key", key.cast("string")).withColumn("_order", F.xxhash64("_key"))
+    return (df.withColumn("_key", key.cast("string")).withColumn("_order", _place("_key"))
             .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class)
             .drop("_key", "_order", "_rank"))
 
 
+def _place(key: str) -> Column:
+    """Hash of a column as a number from 0 to 1."""
+    return F.shiftrightunsigned(F.xxhash64(key), 11) / F.lit(float(1 << 53))
+
+
+def sample_per_class(df: DataFrame, label: str, per_class: int, key: Column) -> DataFrame:
+    """``first_per_class`` for any number of rows, each with a key of its own. The labels are
+    counted first (combined in the tasks); only rows whose hash lies below twice the share
+    that is wanted are ranked, about 2 * per_class + 64 of each label, however frequent it
+    is. That fewer than ``per_class`` of them are left is ruled out for practical purposes
+    (below 1e-12), and then only shrinks the sample."""
+    counts = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+    likely = (df.withColumn("_hashed", key.cast("string")).join(counts, F.col(label).eqNullSafe(F.col("_label")))
+              .where(_place("_hashed") * F.col("_n") < 2 * per_class + 64).drop("_label", "_n", "_hashed"))
+    return first_per_class(likely, label, per_class, key)
+
+
 class CharBlock:
     """Code points of several texts (or parts of very long ones), each text between two
-    spaces. Part p covers ``codes[start[p]:end[p]]``; n-grams that begin in the first
+    spaces. Part p covers ``points[start[p]:end[p]]``; n-grams that begin in the first
     ``own[p]`` positions are its own, the rest only completes them."""
 
     def __init__(self, parts: list[tuple[int, str, int]]):
@@ -67,7 +83,7 @@ class CharBlock:
         self.start = self.end - sizes
         self.own = np.array([p[2] for p in parts], dtype=np.int64)
         joined = "".join(p[1] for p in parts)
-        self.codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
     def foreign(self, valid: np.ndarray, n: int) -> None:
         """Unset positions whose n-gram leaves its part or belongs to the next part."""
@@ -78,13 +94,13 @@ class CharBlock:
                ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(n, bucket per position, valid flag per position) for each n. With
         ``inside_words`` only the first and the last character may be white space."""
-        codes, length = self.codes, len(self.codes)
-        rolled = codes.copy()
-        space = codes <= 32
+        points, length = self.points, len(self.points)
+        rolled = points.copy()
+        space = points <= 32
         inner = np.zeros(length, dtype=bool)
         for n in range(1, max(sizes) + 1):
             if n > 1:
-                rolled = rolled[:-1] * ROLL32 + codes[n - 1:]
+                rolled = rolled[:-1] * ROLL32 + points[n - 1:]
             if n > 2:
                 inner = inner[:max(0, length - n + 1)] | space[n - 2:length - 1]
             if n not in sizes:

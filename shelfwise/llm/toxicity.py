@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import char_blocks, fold, sample_per_class, table
+from shelfwise.llm.common import char_blocks, first_per_class, fold, sample_per_class, table
 
 SIZES = (3, 4, 5)
 BITS = 17
@@ -69,11 +69,11 @@ def labelled_sample(docs: DataFrame, marked: DataFrame, per_class: int) -> DataF
     chosen = sample_per_class(marked, "label", per_class, F.col("doc_id"))
     # at most 2 * per_class rows of two numbers: small enough to send to every task
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return sample_per_class(texts, "label", per_class, F.concat_ws(" ", "doc_id", F.xxhash64("text"))
+    return first_per_class(texts, "label", per_class, F.concat_ws(" ", "doc_id", F.xxhash64("text"))
                             ).select("text", "label")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, **options) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, **options) -> ToxicityModel:
     """Fit on at most ``per_class`` rows of each class (the documented bound). The n-gram
     bags are made on all executors; one task trains on the bounded sample, so the driver
     only gets the model."""
