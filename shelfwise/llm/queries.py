@@ -11,6 +11,7 @@ from shelfwise.llm.manifest import op13_merkle_manifest
 from shelfwise.llm.packing import op7_best_fit_packing
 from shelfwise.llm.pii import op4_pii
 from shelfwise.llm.quality import op8_quality_resampling
+from shelfwise.llm.search import ORACLE as SEARCH_SQL
 from shelfwise.llm.search import op10_topk_search
 from shelfwise.llm.simhash import op9_simhash_near_dedup
 from shelfwise.llm.toxicity import op6_toxicity
@@ -22,5 +23,5 @@ QUERIES = {q.__name__: q for q in (
     op7_best_fit_packing, op8_quality_resampling, op9_simhash_near_dedup, op10_topk_search,
     op11_source_divergence, op12_substring_dedup, op13_merkle_manifest)}
 ORACLE_SQL: dict[str, str] = {
-    "op11_source_divergence": DIVERGENCE_SQL, "op12_substring_dedup": WINDOWS_SQL,
+    "op10_topk_search": SEARCH_SQL, "op11_source_divergence": DIVERGENCE_SQL, "op12_substring_dedup": WINDOWS_SQL,
     "op13_merkle_manifest": MANIFEST_SQL}

@@ -1,4 +1,4 @@
-"""Exact BM25 top-k over an inverted index with block-max WAND pruning.
+"""Exact BM25 top-k over an inverted index, pruned by upper bounds of terms and blocks.
 
 Index: every row is indexed. Tasks turn runs of documents into shards of bounded size, each
 one row of a stored table: sorted 64-bit term hashes, postings in (term, document) order,
@@ -15,7 +15,10 @@ score carries over between the shards of a task, and the shards' lists are merge
 
 A query is the set of distinct words (A-Z lower-cased) of a text; the score is the sum over
 them of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len / mean)),
-rounded to nine decimals. Only documents that share a word with the query are found.
+rounded to nine decimals. Only documents that share a word with the query are found. Words
+are told apart by 64-bit hashes (odd-base polynomials of their bytes, mixed): two words of a
+corpus agree by chance with a probability of about words**2 / 2**65, and words of 1,024 bytes
+and more can be made to collide on purpose.
 
 Defined results: ties go to the smaller doc_id, null ids last; null and blank texts are
 indexed with length 0 and never found, as queries they find nothing; repeated documents
@@ -105,8 +108,8 @@ class Shard:
         self.impact = self.score(np.frombuffer(row.tfs, np.int32), length[self.docs], mean)
         self.block = self.score(np.frombuffer(row.block_tf, np.int32), np.frombuffer(row.block_len, np.int32), mean)
         self.bound = (np.maximum.reduceat(self.impact, self.offsets[:-1]) if len(self.terms) else np.zeros(0))
-        term = np.repeat(np.arange(len(self.terms)), np.diff(self.offsets))
-        self.pair = term * self.n_docs + self.docs  # ascending
+        self.pair = np.repeat(np.arange(len(self.terms)) * self.n_docs, np.diff(self.offsets))  # ascending
+        self.pair += self.docs
 
     @staticmethod
     def score(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
@@ -254,3 +257,28 @@ def op10_topk_search(spark, sf_dir: str) -> DataFrame:
     """The ten best rows of ``documents`` for every row whose doc_id is divisible by 100."""
     docs = table(spark, sf_dir, "documents")
     return search(build_index(docs), docs.where(F.col("doc_id") % 100 == 0))
+
+
+# doc_id is a key of the given table, so its rows are the distinct queries
+ORACLE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents),
+held AS (SELECT rid, word, count(*) AS tf FROM (SELECT rid, unnest(words) AS word FROM d) AS t GROUP BY rid, word),
+rarity AS (
+  SELECT word, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf
+  FROM held, (SELECT count(*) AS n FROM d) AS size GROUP BY word, n),
+lengths AS (
+  SELECT rid, doc_id, len(words) / (SELECT sum(len(words)) / count(*) FROM d) AS share FROM d),
+found AS (
+  SELECT q.doc_id AS query_id, l.doc_id,
+         round(sum(idf * tf * ({K1} + 1) / (tf + {K1} * (1 - {B} + {B} * share))), 9) AS score
+  FROM (SELECT h.rid, d.doc_id, h.word FROM held h JOIN d USING (rid) WHERE d.doc_id % 100 = 0) AS q
+  JOIN held h ON h.word = q.word JOIN rarity r ON r.word = q.word JOIN lengths l ON l.rid = h.rid
+  GROUP BY q.rid, q.doc_id, l.rid, l.doc_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+       doc_id, score
+FROM found QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10
+"""
