@@ -39,7 +39,7 @@ from shelfwise.llm.common import WordHasher, stored, table, word_blocks
 
 K1, B = 1.2, 0.75
 BLOCK = 64
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_000_000  # a task holds about 40 bytes for each
 NO_ID = np.iinfo(np.int64).max
 INDEX_TYPE = ("n_docs long, n_tokens long, ids binary, lengths binary, terms binary, offsets binary, docs binary, "
               "tfs binary, block_tf binary, block_len binary")

@@ -3,12 +3,14 @@ fingerprints dealt out before their balls."""
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.llm import common, decontaminate, pii, simhash
+from shelfwise.llm import common, decontaminate, lm, pii, simhash
 
 from .conftest import documents
 
@@ -86,3 +88,24 @@ def test_blank_benchmark_items_are_never_found(spark):
 def test_fingerprints_are_dealt_out_before_their_balls(spark):
     marked = documents(spark, ["a"]).select(F.xxhash64("doc_id").alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
     assert "RoundRobinPartitioning" in plan(simhash.colliding_pairs(marked.select("fp"), 2))
+
+
+@pytest.mark.parametrize("most", [1 << 25, 3])
+def test_predictor_counts_are_whole_numbers(spark, monkeypatch, most):
+    """Counts beyond what a slot of a task holds, and many small ones, against exact sums."""
+    monkeypatch.setattr(lm, "MOST", most)
+    monkeypatch.setattr(lm, "TABLE_BITS", 10)
+    rng = random.Random(1)
+    rows = [(rng.randrange(1 << 56), rng.choice([1, 2, 1 << 24, (1 << 25) - 1, 1 << 33])) for _ in range(700)]
+    odds = lm.predictor_tables(spark.createDataFrame(rows, "key long, n long").coalesce(1))
+    key, n = np.array([k for k, _ in rows], np.uint64), [c for _, c in rows]
+    byte = key & np.uint64(255)
+    for o, context in enumerate(lm.order_hashes(key)):
+        sums = [[0, 0] for _ in range(1 << 10)]
+        for bit in range(8):
+            node = (byte | np.uint64(256)) >> np.uint64(8 - bit)
+            for slot, b, c in zip(lm.slots(context, node).tolist(), byte.tolist(), n):
+                sums[slot][b >> (7 - bit) & 1] += c
+        for slot, (zeros, ones) in enumerate(sums):
+            want = max(-127, min(127, round(math.log((ones + 0.4) / (zeros + 0.4)) * lm.STEP))) if zeros + ones else 0
+            assert abs(int(odds[o][slot]) - want) <= (abs(math.log((ones + 0.4) / (zeros + 0.4)) * lm.STEP % 1 - 0.5) < 1e-6)
