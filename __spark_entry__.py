@@ -76,8 +76,8 @@ def _only_orderable(pr: Profile) -> Profile:
 JOBS: dict[str, tuple] = {
     # B1 contribution-margin base and its sub-steps; D8
     "b1_contribution_margin": (lambda t, pr: margin.contribution_margin(t, pr.margin), "b1"),
-    "b1_eligible_lines": (lambda t, pr: margin.eligible_lines(t, pr.margin), "b1_t1"),
-    "b1_order_rollup": (lambda t, pr: margin.order_rollup(t, pr.margin), "b1_t4"),
+    "b1_eligible_lines": (lambda t, pr: margin.eligible_lines(t, pr.margin), "b1_lines"),
+    "b1_order_rollup": (lambda t, pr: margin.order_rollup(t, pr.margin), "b1_groups"),
     "d8_allocated_shipping_cost": (lambda t, pr: margin.allocated_shipping_cost(t, pr.margin), "d8"),
     # B2 replenishment list and its sub-steps; D9, D10
     "b2_replenishment_list": (lambda t, pr: replenishment.replenishment_list(t, pr.replenishment), "b2"),
@@ -94,7 +94,7 @@ JOBS: dict[str, tuple] = {
         lambda t, pr: replenishment.replenishment_list(t, pr.replenishment), "b2", _low_cash),
     # B3 stock health, B4 trend, D7 bucket totals
     "b3_stock_health": (lambda t, pr: stock_health.stock_health(t, pr.stock_health), "b3"),
-    "b3_stock_health_base": (lambda t, pr: stock_health.stock_health_base(t), "b3_t1"),
+    "b3_stock_health_base": (lambda t, pr: stock_health.stock_health_base(t), "b3_base"),
     "b4_stock_health_trend": (lambda t, pr: stock_health.stock_health_trend(
         t.stock_health_snapshots, pr.stock_health), "b4"),
     "b4_stock_health_snapshots": (lambda t, pr: t.stock_health_snapshots, "b4_snapshots"),
@@ -106,9 +106,9 @@ JOBS: dict[str, tuple] = {
         lambda t, pr: expected_sales.seasonal_expected_sales(t, pr.leaf_blower), "b5", _only_orderable),
     "b6_expected_sales_lamps_orderable": (
         lambda t, pr: expected_sales.seasonal_expected_sales(t, pr.lamps), "b6", _only_orderable),
-    "b5_season_sales": (lambda t, pr: expected_sales.season_sales(t, pr.leaf_blower), "b5_t1"),
+    "b5_season_sales": (lambda t, pr: expected_sales.season_sales(t, pr.leaf_blower), "b5_season"),
     "b7_expected_sales_horizon": (lambda t, pr: expected_sales.horizon_expected_sales(t, pr.horizon), "b7"),
-    "b7_horizon_candidates": (lambda t, pr: expected_sales.horizon_candidates(t, pr.horizon), "b7_t1"),
+    "b7_horizon_candidates": (lambda t, pr: expected_sales.horizon_candidates(t, pr.horizon), "b7_rows"),
     # B8 shipped child quantities
     "b8_shipped_child_quantities": (lambda t, pr: bundles.shipped_child_quantities(t, pr.shipped_child), "b8"),
     "b8_bundle_child_quantities": (
