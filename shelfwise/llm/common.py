@@ -46,8 +46,9 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 
 def first_per_class(df: DataFrame, label: str, per_class: int, key: Column) -> DataFrame:
-    """The ``per_class`` rows of each label with the smallest hash of ``key``. One task ranks
-    a label's rows, so this is for rows whose number is bounded already."""
+    """The ``per_class`` rows of each label with the smallest hash of ``key``. Below Spark's
+    limit of 1,000 every task keeps that many rows before the shuffle; for a larger bound one
+    task ranks all rows of a label, so this is then for rows whose number is bounded already."""
     order = Window.partitionBy(label).orderBy("_order", "_key")
     return (df.withColumn("_key", key.cast("string")).withColumn("_order", _place("_key"))
             .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class)
@@ -59,16 +60,27 @@ def _place(key: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 11) / F.lit(float(1 << 53))
 
 
-def sample_per_class(df: DataFrame, label: str, per_class: int, key: Column) -> DataFrame:
-    """``first_per_class`` for any number of rows, each with a key of its own. The labels are
-    counted first (combined in the tasks); only rows whose hash lies below twice the share
-    that is wanted are ranked, about 2 * per_class + 64 of each label, however frequent it
-    is. That fewer than ``per_class`` of them are left is ruled out for practical purposes
-    (below 1e-12), and then only shrinks the sample."""
+def sample_per_class(df: DataFrame, label: str, per_class: int, key: Column, slots: int = 256) -> DataFrame:
+    """``first_per_class`` for any number of rows and any bound, each row with a key of its own,
+    without bringing a class together. The labels are counted; the rows whose hash lies below
+    twice the share that is wanted (about 2 * per_class + 64 of a label) are counted by slots
+    of their hash; whole slots are kept as long as they fit, and only the rows of the slot at
+    the border are ranked. That fewer than ``per_class`` rows lie below the hash is ruled out
+    for practical purposes (below 1e-12), and then only shrinks the sample."""
+    room = 2 * per_class + 64
     counts = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
-    likely = (df.withColumn("_hashed", key.cast("string")).join(counts, F.col(label).eqNullSafe(F.col("_label")))
-              .where(_place("_hashed") * F.col("_n") < 2 * per_class + 64).drop("_label", "_n", "_hashed"))
-    return first_per_class(likely, label, per_class, key)
+    likely = (df.withColumn("_key", key.cast("string")).withColumn("_order", _place("_key"))
+              .join(counts, F.col(label).eqNullSafe(F.col("_label"))).where(F.col("_order") * F.col("_n") < room)
+              .withColumn("_slot", F.floor(F.col("_order") * F.col("_n") * slots / room)))
+    in_slot = likely.groupBy("_label", "_slot").agg(F.count("*").alias("_in"))
+    upto = Window.partitionBy("_label").orderBy("_slot")  # over at most ``slots`` rows
+    in_slot = (in_slot.withColumn("_left", F.lit(per_class) - F.sum("_in").over(upto) + F.col("_in"))
+               .select(F.col("_label").alias("_of"), F.col("_slot").alias("_at"), "_in", "_left").where("_left > 0"))
+    rows = likely.join(in_slot, F.col("_label").eqNullSafe(F.col("_of")) & (F.col("_slot") == F.col("_at")))
+    border = Window.partitionBy("_label").orderBy("_order", "_key")
+    ranked = (rows.where("_in > _left").withColumn("_rank", F.row_number().over(border))
+              .where("_rank <= _left").drop("_rank"))
+    return rows.where("_in <= _left").unionByName(ranked).select(*df.columns)
 
 
 class CharBlock:

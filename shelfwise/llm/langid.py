@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import char_blocks, first_per_class, fold, sample_per_class, table
+from shelfwise.llm.common import char_blocks, first_per_class, fold, table
 
 SIZES = (1, 2, 3)
 BITS = 14
@@ -88,7 +88,7 @@ def train(docs: DataFrame, per_language: int = 500, epochs: int = 40, rate: floa
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
                           & (fold(F.col("doc_id"), HELD_OUT_FOLDS) != 0)).select("doc_id", "lang", "text")
     # the sample is drawn on short rows; the texts of the chosen rows follow
-    chosen = sample_per_class(labelled.select("doc_id", "lang"), "lang", per_language, F.col("doc_id"))
+    chosen = first_per_class(labelled.select("doc_id", "lang"), "lang", per_language, F.col("doc_id"))
     texts = labelled.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
     rows = (first_per_class(texts, "lang", per_language, F.concat_ws(" ", "doc_id", F.xxhash64("text")))
             .select("lang", "text").mapInPandas(to_bags, "lang string, bucket binary, share binary").toArrow().to_pandas())

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import char_blocks, first_per_class, fold, sample_per_class, table
+from shelfwise.llm.common import char_blocks, fold, sample_per_class, table
 
 SIZES = (3, 4, 5)
 BITS = 17
@@ -65,12 +65,12 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, marked: DataFrame, per_class: int) -> DataFrame:
-    """At most ``per_class`` rows (text, label) of each class of ``marked``."""
+    """At most ``per_class`` rows (text, label) of each class of ``marked``; of several rows with
+    one doc_id the least text stands for it."""
     chosen = sample_per_class(marked, "label", per_class, F.col("doc_id"))
     # at most 2 * per_class rows of two numbers: small enough to send to every task
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return first_per_class(texts, "label", per_class, F.concat_ws(" ", "doc_id", F.xxhash64("text"))
-                            ).select("text", "label")
+    return texts.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("one")).select("one.text", "one.label")
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, **options) -> ToxicityModel:
