@@ -72,9 +72,11 @@ def bags(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield some, row[some] / max(1.0, row.sum())
 
 
-def train(docs: DataFrame, per_language: int = 500, epochs: int = 40, rate: float = 2.0) -> LanguageModel | None:
-    """Fit on at most ``per_language`` training rows of each language (the documented
-    bound); bags are made on the executors, the joint fit of all bits is numpy."""
+def train(docs: DataFrame, per_language: int = 500, max_languages: int = 200, max_rows: int = 10_000,
+          epochs: int = 40, rate: float = 2.0) -> LanguageModel | None:
+    """Fit on at most ``per_language`` training rows of each of the ``max_languages`` most
+    frequent languages, ``max_rows`` in all (the documented bounds); bags are made on the
+    executors, the joint fit of all bits is numpy."""
 
     def to_bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -87,6 +89,12 @@ def train(docs: DataFrame, per_language: int = 500, epochs: int = 40, rate: floa
 
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
                           & (fold(F.col("doc_id"), HELD_OUT_FOLDS) != 0)).select("doc_id", "lang", "text")
+    # at most max_languages short values: small enough to send to every task
+    frequent = (docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), HELD_OUT_FOLDS) != 0))
+                .groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang"))
+    names = [r["lang"] for r in frequent.collect()]
+    labelled = labelled.where(F.col("lang").isin(names))
+    per_language = min(per_language, max(1, max_rows // max(1, len(names))))
     # the sample is drawn on short rows; the texts of the chosen rows follow
     chosen = first_per_class(labelled.select("doc_id", "lang"), "lang", per_language, F.col("doc_id"))
     texts = labelled.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])

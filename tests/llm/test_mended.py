@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.llm import common, decontaminate, lm, pii, simhash
+from shelfwise.llm import common, decontaminate, langid, lm, pii, simhash, toxicity
 
 from .conftest import documents
 
@@ -110,3 +110,72 @@ def test_predictor_counts_are_whole_numbers(spark, monkeypatch, most):
         for slot, (zeros, ones) in enumerate(sums):
             want = max(-127, min(127, round(math.log((ones + 0.4) / (zeros + 0.4)) * lm.STEP))) if zeros + ones else 0
             assert abs(int(odds[o][slot]) - want) <= (abs(math.log((ones + 0.4) / (zeros + 0.4)) * lm.STEP % 1 - 0.5) < 1e-6)
+
+
+def test_languages_learned_are_bounded(spark):
+    rows = [(i, f"wort wort{i % 3} satz", f"l{i % 7}" if i % 2 else "de") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, max_languages=3, max_rows=30)
+    assert len(model.languages) == 3 and "de" in model.languages
+    assert langid.train(docs, per_language=5).languages == sorted({r[2] for r in rows})
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_codeword_decoding_against_brute_force(spark, seed):
+    """Each bit's loss weighted by its trust; the least sum wins, its share is the score."""
+    rng = np.random.default_rng(seed)
+    n = 3 + seed * 3
+    code = langid.codewords(n)
+    bits = code.shape[1]
+    model = langid.LanguageModel([f"l{i}" for i in range(n)], code, rng.normal(0, 40, (bits, 1 << langid.BITS)).astype(np.float32),
+                                 rng.normal(0, 1, bits).astype(np.float32), rng.dirichlet(np.ones(bits), n).astype(np.float32))
+    texts = ["ein kurzer satz", "Another ONE", "x", "é" * 30, "le chat noir " * 40]
+    best, score, doubt = langid.identify(model, texts)
+    for t, text in enumerate(texts):
+        margin, total = np.zeros(bits), 0
+        for block in common.char_blocks([text.lower()], max(langid.SIZES)):
+            for _, bucket, valid in block.ngrams(langid.SIZES, langid.BITS, inside_words=False):
+                for b in bucket[valid].tolist():
+                    margin += model.weight[:, b]
+                    total += 1
+        margin = margin / total + model.bias
+        loss = [sum(float(model.trust[k][b]) * math.log1p(math.exp(-float(margin[b] * code[k][b]))) if margin[b] * code[k][b] > -500
+                    else float(model.trust[k][b]) * -float(margin[b] * code[k][b]) for b in range(bits)) for k in range(n)]
+        power = [math.exp(-2.0 * bits * (x - min(loss))) for x in loss]
+        assert best[t] == int(np.argmin(loss))
+        assert abs(score[t] - max(power) / sum(power)) < 1e-3
+        assert doubt[t] == (sorted(power)[-1] - sorted(power)[-2] < 0.2 * sum(power)) or abs(
+            (sorted(power)[-1] - sorted(power)[-2]) / sum(power) - 0.2) < 1e-3
+
+
+def test_toxicity_score_against_brute_force():
+    rng = np.random.default_rng(3)
+    size = 1 << toxicity.BITS
+    model = toxicity.ToxicityModel(rng.normal(0, 1, size).astype(np.float32), rng.random(size).astype(np.float32), -0.3, 10.0)
+    texts = ["you vile creature", "a", "", None, "many plain words " * 30]
+    for text, got in zip(texts, toxicity.score_texts(model, texts)):
+        top = weight = 0.0
+        for block in common.char_blocks([text], max(toxicity.SIZES)):
+            for _, bucket, valid in block.ngrams(toxicity.SIZES, toxicity.BITS, inside_words=True):
+                for b in bucket[valid].tolist():
+                    top, weight = top + float(model.top[b]), weight + float(model.weight[b])
+        assert abs(got - 1 / (1 + math.exp(-(model.bias + top / (weight + model.pad))))) < 1e-6
+
+
+def test_ngram_buckets_against_brute_force():
+    """Rolling hash, mixing and the rule for spaces, one n-gram at a time."""
+    text, bits = "ab cé d", 12
+    padded = f" {text} "
+    (block,) = common.char_blocks([text], 3)
+    for n, bucket, valid in block.ngrams((1, 2, 3), bits, inside_words=True):
+        for at in range(len(padded)):
+            part = padded[at:at + n]
+            inner = any(c <= " " for c in part[1:-1])
+            assert bool(valid[at]) == (len(part) == n and not inner)
+            if len(part) == n:
+                rolled = 0
+                for c in part:
+                    rolled = (rolled * int(common.ROLL32) + ord(c)) % (1 << 32)
+                mixed = (rolled + n) * int(common.MIX32) % (1 << 32)
+                mixed ^= mixed >> 15
+                assert bucket[at] == (mixed * (int(common.ROLL32) * int(common.MIX32) % (1 << 32)) % (1 << 32)) >> (32 - bits)
