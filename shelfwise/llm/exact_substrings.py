@@ -390,8 +390,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     kinds = stored(members.groupBy(*name, "size").agg(F.count("*").alias("n")), "kinds")
     opened = kinds.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where("least = 1 and kinds > 1")
     segments = stored(segments_of(docs, bitmap_of(opened)), "segments")
-    # a number for every BATCH_SEGMENTS segments at most: small enough to send to every task
-    hot = F.broadcast(kinds.groupBy("key").count().where(F.col("count") > BATCH_SEGMENTS).select("key"))
+    hot = kinds.groupBy("key").count().where(F.col("count") > BATCH_SEGMENTS).select("key")
     whole = (kinds.where(f"n >= 2 and size >= {LENGTH}")
              .select(*name, F.lit(0).alias("lo"), F.least("before", F.col("size") - LENGTH).alias("hi")))
     starts = (whole.union(starts_of_segments(segments.join(hot, "key", "left_anti"), tasks))
