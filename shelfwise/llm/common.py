@@ -15,6 +15,7 @@ from shelfwise.conf import ensure_checkpoint_dir
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ARROW_BYTES = 4 << 20  # of a batch: what a Python task and its executor hold of the texts at once
+_folders: list[str] = []  # written by this process
 MIX32 = np.uint32(0x9E3779B1)
 ROLL32 = np.uint32(0x01000193)
 
@@ -35,11 +36,28 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once to the cluster's shared folder and read back: later steps
     neither recompute it nor depend on the executors that made it."""
     spark = bounded_batches(df.sparkSession)
-    path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}/{tag}"
+    path = f"{shared_folder(spark)}/{tag}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared one, known to ``drop_stored``."""
+    _folders.append(f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete what the operators called in this process have stored so far, and say how many
+    folders that were. For callers who have written the results they want: DataFrames that
+    still read those folders fail afterwards."""
+    hadoop, n = spark.sparkContext._jsc.hadoopConfiguration(), len(_folders)
+    while _folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+    return n
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod ``modulus``; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -43,8 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.conf import ensure_checkpoint_dir
-from shelfwise.llm.common import SPACE_BYTE, stored, table
+from shelfwise.llm.common import SPACE_BYTE, shared_folder, stored, table
 
 WINDOW = 20
 FIRST = 5
@@ -270,7 +269,7 @@ def in_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 def bucketed(df: DataFrame, key: str, buckets: int, tag: str) -> DataFrame:
     """``df`` written to the shared folder, bucketed by ``key``, so that groups of a key need no shuffle."""
     name = f"llm_{uuid.uuid4().hex}_{tag}"
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}"
+    path = f"{shared_folder(df.sparkSession)}/{tag}"
     df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
     return df.sparkSession.table(name)
 

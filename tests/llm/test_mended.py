@@ -4,6 +4,7 @@ fingerprints dealt out before their balls."""
 from __future__ import annotations
 
 import math
+import os
 import random
 
 import numpy as np
@@ -179,3 +180,13 @@ def test_ngram_buckets_against_brute_force():
                 mixed = (rolled + n) * int(common.MIX32) % (1 << 32)
                 mixed ^= mixed >> 15
                 assert bucket[at] == (mixed * (int(common.ROLL32) * int(common.MIX32) % (1 << 32)) % (1 << 32)) >> (32 - bits)
+
+
+def test_stored_folders_can_be_dropped(spark):
+    kept = common.stored(spark.range(5), "kept")
+    folder = os.path.dirname(common._folders[-1]).removeprefix("file:")
+    assert kept.count() == 5 and os.path.isdir(common._folders[-1].removeprefix("file:"))
+    before = list(common._folders)
+    assert common.drop_stored(spark) == len(before) > 0
+    assert not any(os.path.exists(f.removeprefix("file:")) for f in before) and os.path.isdir(folder)
+    assert common.drop_stored(spark) == 0
