@@ -40,6 +40,7 @@ from shelfwise.llm.common import WordHasher, stored, table, word_blocks
 K1, B = 1.2, 0.75
 BLOCK = 64
 SHARD_TOKENS = 4_000_000
+PIECE = 1 << 16
 NO_ID = np.iinfo(np.int64).max
 INDEX_TYPE = ("n_docs long, n_tokens long, ids binary, lengths binary, terms binary, offsets binary, docs binary, "
               "tfs binary, block_tf binary, block_len binary")
@@ -105,7 +106,10 @@ class Shard:
         self.offsets, self.docs = np.frombuffer(row.offsets, np.int64), np.frombuffer(row.docs, np.int32)
         self.n_docs = len(self.ids)
         length = np.frombuffer(row.lengths, np.int32)
-        self.impact = self.score(np.frombuffer(row.tfs, np.int32), length[self.docs], mean)
+        tf, self.impact = np.frombuffer(row.tfs, np.int32), np.empty(len(self.docs))
+        for at in range(0, len(tf), PIECE):  # a piece at a time: temporaries stay small
+            part = slice(at, at + PIECE)
+            self.impact[part] = self.score(tf[part], length[self.docs[part]], mean)
         self.block = self.score(np.frombuffer(row.block_tf, np.int32), np.frombuffer(row.block_len, np.int32), mean)
         self.bound = (np.maximum.reduceat(self.impact, self.offsets[:-1]) if len(self.terms) else np.zeros(0))
         self.pair = np.repeat(np.arange(len(self.terms)) * self.n_docs, np.diff(self.offsets))  # ascending
