@@ -31,6 +31,7 @@ SUPPLIER_NAMES = {1: "Makita Nederland", 2: "Transferro B.V.", 3: "Transferro B.
 CLASS_PERIODS = (("week", 7), ("42_days", 42), ("year", 365))
 CLASS_THRESHOLDS = ((200, "A+"), (150, "A"), (100, "B"), (50, "C"))
 HISTORY_DAYS = 100
+ROWS_PER_TASK = 2_000_000    # of the generated history
 SUPPLIER_ROOM = 10_000_000   # above every supplier key
 
 
@@ -271,14 +272,19 @@ def pending_po(lineitem: DataFrame) -> DataFrame:
 
 
 def product_history(part: DataFrame, as_of: dt.date) -> DataFrame:
-    """One row per product and day over the last 100 days (a generator, no join)."""
+    """One row per product and day over the last 100 days.
+
+    A join with the days, not an ``explode``: Spark's size estimate of an exploded table is
+    that of its input, so that the whole history could pass for a side to broadcast. The
+    parts come in few, small file splits and every row becomes HISTORY_DAYS + 1; they are
+    dealt out first, so that a task makes about ROWS_PER_TASK rows whatever the size.
+    """
     start = as_of - dt.timedelta(days=HISTORY_DAYS)
     k = F.col("p_partkey")
-    days = part.select(
-        k, F.col("p_size"), F.col("p_retailprice"),
-        F.explode(F.sequence(F.lit(0), F.lit(HISTORY_DAYS))).alias("day_idx"),
-    )
-    df = days.select(
+    tasks = -(-part.count() * (HISTORY_DAYS + 1) // ROWS_PER_TASK)
+    parts = part.select(k, "p_size", "p_retailprice").repartition(max(1, tasks))
+    day_idx = part.sparkSession.range(HISTORY_DAYS + 1).select(F.col("id").cast("int").alias("day_idx"))
+    df = parts.crossJoin(F.broadcast(day_idx)).select(
         (k + 1).alias("product_id"),
         F.date_add(F.lit(start), F.col("day_idx")).alias("date"),
         _cost("0.55").alias("cost_net"),
