@@ -10,11 +10,13 @@ model's probability of the text.
 
 The counts cover every training document: tasks count distinct runs of bytes, Spark sums
 them, and a second pass adds them up into the tables of 2**TABLE_BITS slots per order (the
-bound on what is broadcast). Weights and map are fitted online, bit after bit, on a
-bounded sample of training documents that is left out of the counts, so that they meet
-contexts as new as a scored text would. Scoring does not change the model: a score does
-not depend on the partition or on the other texts. Each task evaluates a run of bytes
-once and keeps the result in a fixed-size cache.
+bound on what is broadcast). Weights and map are fitted on every training byte: each
+distinct run counts as often as it occurs, and its decisions are predicted from the counts
+without the occurrence itself, so that they meet contexts as new as a scored text would.
+Weights take STEPS Newton steps of the logistic loss, whose sums tasks make and Spark adds
+up; a last pass makes the map. Scoring does not change the model: a score does not depend
+on the partition or on the other texts. Each task evaluates a run of bytes once and keeps
+the result in a fixed-size cache.
 
 ``base_score`` is the add-one unigram score of the contract. Counts of the most frequent
 words are broadcast (a bounded number); the rest meet their counts in a join. A 64-bit
@@ -27,14 +29,14 @@ whole; other columns are never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import WordHasher, first_per_class, fold, stored, table, word_blocks
+from shelfwise.llm.common import WordHasher, fold, stored, table, word_blocks
 
 ORDERS = (1, 2, 3, 4, 6)
 SPAN = max(ORDERS) + 1  # bytes in a run: the context and the byte it precedes
@@ -46,7 +48,9 @@ END_WORD = 0
 MODULUS, HELD_OUT = 7, 2
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 ORDER_SALT = {o: np.uint64(o * int(M3) % (1 << 64)) for o in ORDERS}
-FIT_SHARE, FIT_ROWS, FIT_CHARS = 20, 400, 20000  # one training row in 20, at most 400, none longer
+SETS, INPUTS = 8 * (len(ORDERS) + 1), len(ORDERS) + 1  # weight sets; log odds and a constant
+STEPS = 4  # Newton steps of the weights
+FIRM = 20.0  # decisions that the map's starting values weigh as much as
 MOST = 1 << 25  # largest count that is added up inside a task
 CELLS, REACH = 33, 8.0  # the map's cells over log odds of -REACH to REACH
 
@@ -133,6 +137,11 @@ def tallied(texts: DataFrame, words: bool) -> DataFrame:
 
 def predictor_tables(counted: DataFrame) -> np.ndarray:
     """Log odds (int8, orders x slots) of a one after each hashed context and bit prefix."""
+    return slot_odds(counted, [(0, 0)])[0]
+
+
+def slot_odds(counted: DataFrame, less: list[tuple[int, int]]) -> np.ndarray:
+    """Log odds (int8, orders x slots) for each (zeros, ones) taken from the counts."""
 
     def places(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(whether the bit is one, slot) of every run, for each order and bit."""
@@ -171,22 +180,29 @@ def predictor_tables(counted: DataFrame) -> np.ndarray:
                 held += int(n[at:at + 64].sum())
         yield from given_out()
 
-    odds = (F.log((F.col("ones") + 0.4) / (F.col("zeros") + 0.4)) * STEP)
+    def odds(zeros: int, ones: int) -> Column:
+        left = [F.greatest(F.col(c) - k, F.lit(0)) + 0.4 for c, k in (("ones", ones), ("zeros", zeros))]
+        return F.greatest(F.lit(-127), F.least(F.lit(127), F.round(F.log(left[0] / left[1]) * STEP))).cast("tinyint")
+
     found = (counted.mapInPandas(spread, "slot int, zeros long, ones long").groupBy("slot")
              .agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-             .select("slot", F.greatest(F.lit(-127), F.least(F.lit(127), F.round(odds))).cast("tinyint").alias("odds"))
-             .toArrow())  # at most len(ORDERS) * 2**TABLE_BITS rows of five bytes
-    out = np.zeros(len(ORDERS) << TABLE_BITS, np.int8)
-    out[found["slot"].to_numpy()] = found["odds"].to_numpy()
-    return out.reshape(len(ORDERS), -1)
-
-
-def inputs(odds: np.ndarray, hashes: list[np.ndarray], node: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(log odds of every predictor and a constant, weight set) of one decision."""
+             .select("slot", *[odds(*k).alias(f"odds_{i}") for i, k in enumerate(less)])
+             .toArrow())  # at most len(ORDERS) * 2**TABLE_BITS rows of a few bytes
+    out = np.zeros((len(less), len(ORDERS) << TABLE_BITS), np.int8)
+    for i in range(len(less)):
+        out[i, found["slot"].to_numpy()] = found[f"odds_{i}"].to_numpy()
+    return out.reshape(len(less), len(ORDERS), -1)
+
+
+def inputs(odds: np.ndarray, hashes: list[np.ndarray], node: np.ndarray, bit: int,
+           one: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(log odds of every predictor and a constant, weight set) of one decision. With ``one``,
+    the bits decided, ``odds`` holds the tables without a zero and without a one."""
     x = np.empty((len(node), len(ORDERS) + 1), np.float32)
     longest = np.zeros(len(node), np.int64)
     for o, context in enumerate(hashes):
-        found = odds[o][slots(context, node)]
+        place = slots(context, node)
+        found = odds[o][place] if one is None else odds[one, o, place]
         x[:, o] = found
         longest[found != 0] = o + 1
     x[:, -1] = 0.3 * STEP
@@ -211,31 +227,87 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(odds: np.ndarray, texts: list[str], batch: int = 256, rate: float = 0.02
-        ) -> tuple[np.ndarray, np.ndarray]:
-    """(mixing weights, adaptive map) learned online over the sample, ``batch`` bytes at a
-    time; every probability is used before its bit is learned."""
-    weights = np.full((8 * (len(ORDERS) + 1), len(ORDERS) + 1), 0.3, np.float32)
-    refine = np.tile(sigmoid(np.linspace(-REACH, REACH, CELLS)), (256, 1))
-    for _, block in word_blocks(texts, 1 << 16):
-        key, _ = runs(block)
-        for at in range(0, len(key), batch):
-            part = key[at:at + batch]
-            byte, before = part & np.uint64(255), ((part >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
-            hashes = order_hashes(part)
-            for bit in range(8):
-                node = (byte | np.uint64(256)) >> np.uint64(8 - bit)
-                one = ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.float32)
-                x, gate = inputs(odds, hashes, node, bit)
-                logit = (x * weights[gate]).sum(axis=1)
-                err = one - sigmoid(logit)
-                for s in np.unique(gate):
-                    mine = gate == s
-                    weights[s] += rate * (err[mine] @ x[mine]) / np.sqrt(mine.sum())
-                low, up = cells(logit)
-                for cell, share in ((low, 1 - up), (low + 1, up)):
-                    np.add.at(refine, (before, cell), 0.02 * share * (one - refine[before, cell]))
-    return weights, np.clip(refine, 1e-5, 1 - 1e-5)
+def decisions(left: np.ndarray, weights: np.ndarray, key: np.ndarray
+              ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(inputs, weight set, mixed log odds, bit) of the runs' eight decisions."""
+    byte, hashes = key & np.uint64(255), order_hashes(key)
+    for bit in range(8):
+        one = ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.int64)
+        x, gate = inputs(left, hashes, (byte | np.uint64(256)) >> np.uint64(8 - bit), bit, one)
+        yield x, gate, np.einsum("ij,ij->i", x, weights[gate]), one
+
+
+def slopes(left: np.ndarray, weights: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Gradient and curvature of the log likelihood for every weight set, runs counted n times."""
+    out = np.zeros((SETS, INPUTS, INPUTS + 1))
+    for x, gate, logit, one in decisions(left, weights, key):
+        chance = sigmoid(logit)
+        err, curve = n * (one - chance), n * chance * (1 - chance)
+        for i in range(INPUTS):
+            out[:, i, -1] += np.bincount(gate, err * x[:, i], SETS)
+            for j in range(i + 1):
+                out[:, i, j] += np.bincount(gate, curve * x[:, i] * x[:, j], SETS)
+    return out.ravel()
+
+
+def cell_counts(left: np.ndarray, weights: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Decisions and ones in every cell of the map, runs counted n times."""
+    out = np.zeros((2, 256 * CELLS))
+    before = ((key >> np.uint64(8)) & np.uint64(255)).astype(np.int64) * CELLS
+    for _, _, logit, one in decisions(left, weights, key):
+        low, up = cells(logit)
+        for cell, share in ((low, 1 - up), (low + 1, up)):
+            out[0] += np.bincount(before + cell, n * share, out.shape[1])
+            out[1] += np.bincount(before + cell, n * share * one, out.shape[1])
+    return out.ravel()
+
+
+def learned(total: Callable[[Callable, np.ndarray, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(mixing weights, adaptive map) from sums over all runs: ``total`` gives those of a
+    function under given weights. Rounding keeps the order of adding out of the model."""
+    weights = np.full((SETS, INPUTS), 0.3, np.float32)
+    for _ in range(STEPS):
+        sums = total(slopes, weights, SETS * INPUTS * (INPUTS + 1)).reshape(SETS, INPUTS, INPUTS + 1)
+        curve = np.tril(sums[:, :, :-1])
+        curve = curve + np.tril(curve, -1).transpose(0, 2, 1) + np.eye(INPUTS)  # drawn to 0.3 where little is known
+        step = np.linalg.solve(curve, (sums[:, :, -1] - (weights - 0.3))[:, :, None])[:, :, 0]
+        weights = np.round(weights + np.clip(step, -1, 1), 4).astype(np.float32)
+    decided, ones = total(cell_counts, weights, 2 * 256 * CELLS).reshape(2, 256, CELLS)
+    refine = (ones + FIRM * sigmoid(np.linspace(-REACH, REACH, CELLS))) / (decided + FIRM)
+    return weights, np.clip(np.round(refine, 6), 1e-5, 1 - 1e-5)
+
+
+def fit(odds: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(mixing weights, adaptive map) for tables that do not hold the texts' own counts."""
+    key, n = np.unique(np.concatenate([runs(block)[0] for _, block in word_blocks(texts)]), return_counts=True)
+    left = np.stack([odds, odds])
+    return learned(lambda of, weights, _: of(left, weights, key, n))
+
+
+def fit_counted(left: np.ndarray, counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(mixing weights, adaptive map) over all counted runs, for tables without a zero and
+    without a one."""
+    context = counted.sparkSession.sparkContext
+    tables = context.broadcast(left)
+
+    def total(of: Callable, weights: np.ndarray, size: int) -> np.ndarray:
+        def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = np.zeros(size)
+            for frame in frames:
+                sums += of(tables.value, weights, frame["key"].to_numpy(np.int64).view(np.uint64),
+                           frame["n"].to_numpy(np.int64))
+            at = np.flatnonzero(sums)
+            yield pd.DataFrame({"place": at.astype(np.int32), "value": sums[at]})
+
+        found = (counted.mapInPandas(add, "place int, value double").groupBy("place")
+                 .agg(F.sum("value").alias("value")).toArrow())  # at most ``size`` rows
+        out = np.zeros(size)
+        out[found["place"].to_numpy()] = found["value"].to_numpy()
+        return out
+
+    found = learned(total)
+    tables.unpersist()
+    return found
 
 
 class Scorer:
@@ -273,17 +345,12 @@ class Scorer:
 
 
 def trained(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(predictor tables, mixing weights, adaptive map) from the training rows of ``docs``."""
-    learn = docs.where(fold(F.col("doc_id"), MODULUS) != HELD_OUT).select("doc_id", "text")
-    usable = (learn.where(F.col("doc_id").isNotNull() & (F.length("text") <= FIT_CHARS))
-              .where(F.pmod(F.xxhash64("doc_id"), F.lit(FIT_SHARE)) == 0))
-    # below Spark's limit of 1,000, so every task keeps that many rows before the shuffle
-    sample = first_per_class(usable.withColumn("_all", F.lit(0)), "_all", FIT_ROWS, F.col("doc_id")).collect()
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in sample] or [(None,)], "doc_id long")
-    counted = stored(tallied(learn.join(F.broadcast(ids.distinct()), "doc_id", "left_anti"), words=False), "runs")
-    odds = predictor_tables(counted)
-    weights, refine = fit(odds, [r["text"] for r in sorted(sample, key=lambda r: (r["doc_id"], r["text"]))])
-    return odds, weights, refine
+    """(predictor tables, mixing weights, adaptive map) from all training rows of ``docs``."""
+    learn = docs.where(fold(F.col("doc_id"), MODULUS) != HELD_OUT)
+    counted = stored(tallied(learn, words=False), "runs")
+    odds = slot_odds(counted, [(0, 0), (1, 0), (0, 1)])
+    weights, refine = fit_counted(odds[1:], counted)
+    return odds[0], weights, refine
 
 
 def scored(docs: DataFrame, frequent: int = 1 << 18) -> DataFrame:

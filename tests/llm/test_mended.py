@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 import os
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -190,3 +191,22 @@ def test_stored_folders_can_be_dropped(spark):
     assert common.drop_stored(spark) == len(before) > 0
     assert not any(os.path.exists(f.removeprefix("file:")) for f in before) and os.path.isdir(folder)
     assert common.drop_stored(spark) == 0
+
+
+def test_language_model_learns_from_every_training_row(spark, monkeypatch):
+    """Counts, weights and map against sums over all training texts, long ones too; with the
+    sample, rows outside it (or longer than its bound) did not reach weights and map."""
+    monkeypatch.setattr(lm, "TABLE_BITS", 12)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abc  ") for _ in range(rng.choice([3, 50, 400]))) for _ in range(60)] + ["abab " * 5000, "", None]
+    docs = documents(spark, texts).repartition(7)
+    odds, weights, refine = lm.trained(docs)
+    mine = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    key, n = np.unique(np.concatenate([lm.runs(block)[0] for _, block in lm.word_blocks(mine)]), return_counts=True)
+    counted = spark.createDataFrame([(int(k), int(c)) for k, c in zip(key, n)], "key long, n long")
+    assert np.array_equal(odds, lm.predictor_tables(counted))
+    left = lm.slot_odds(counted, [(1, 0), (0, 1)])
+    want_weights, want_refine = lm.learned(lambda of, w, _: of(left, w, key, n))
+    assert np.allclose(weights, want_weights, atol=2e-4) and np.allclose(refine, want_refine, atol=2e-3)
+    for count in (lm.slopes, lm.cell_counts):  # counting a run n times is the same as repeating it
+        assert np.allclose(count(left, weights, key, n), count(left, weights, np.repeat(key, n), np.ones(n.sum(), np.int64)))
