@@ -73,3 +73,11 @@ def test_exclusion_by_key_is_not_in(spark, listed):
     got, want = not_in_by_key(rows, "product_id", excluded, "k"), not_in(rows, "product_id", excluded, "k")
     assert got.columns == want.columns
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_side_over_ten_megabytes_is_not_broadcast(spark):
+    """The driver builds each broadcast table; sides up to 64 MB by estimate went through it."""
+    big, side = spark.range(4_000_000), spark.range(1_500_000)   # side: 12 MB
+    plan = big.join(side, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert SCALE_CONF["spark.sql.adaptive.autoBroadcastJoinThreshold"] == "10MB"
