@@ -13,8 +13,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..conf import split_shuffles
 from ..functions.exprs import floor_nonpositive
-from ..operators.relational import class_wide, exclude_parents
+from ..operators.relational import class_wide, not_in_by_key
 from ..params import D42_IN_STOCK, TESTDATA_AS_OF, YEAR_IN_STOCK
 from .tables import Tables, conform
 
@@ -297,7 +298,8 @@ def product_history(part: DataFrame, as_of: dt.date) -> DataFrame:
 def stock_health_snapshots(history: DataFrame, classes: DataFrame, bundles: DataFrame) -> DataFrame:
     """One stock-health snapshot row per stocked non-parent product and history day, with
     the current in-stock means (the given tables hold no older ones)."""
-    hist = exclude_parents(history.where(F.col("stock_magento") > 0), bundles)
+    # one shuffle of the history by product serves the parent test and the means
+    hist = not_in_by_key(history.where(F.col("stock_magento") > 0), "product_id", bundles, "parent_product_id")
     means = class_wide(classes, [(YEAR_IN_STOCK, "mean", "_m365"), (D42_IN_STOCK, "mean", "_m42")])
     means = means.withColumnRenamed("product_id", "_mpid")
     m42 = F.col("_m42")
@@ -316,6 +318,7 @@ def load(spark: SparkSession, sf_dir: str, as_of: dt.date = TESTDATA_AS_OF) -> T
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     part = lambda: read("part")
+    split_shuffles(spark, part().count() * (HISTORY_DAYS + 1))   # the history is the largest table
     builders = {
         "order_lines": lambda: order_lines(read("lineitem"), read("orders"), part()),
         "products": lambda: products(part(), read("lineitem")),

@@ -6,9 +6,10 @@ import datetime as dt
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import frame, tables
-from shelfwise.conf import SCALE_CONF
+from shelfwise.conf import SCALE_CONF, split_shuffles
 from shelfwise.operators.relational import not_in, not_in_by_key
 from shelfwise.plans import history
 from shelfwise.sources import testdata
@@ -81,3 +82,39 @@ def test_side_over_ten_megabytes_is_not_broadcast(spark):
     plan = big.join(side, "id")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert SCALE_CONF["spark.sql.adaptive.autoBroadcastJoinThreshold"] == "10MB"
+
+
+@pytest.mark.parametrize("rows, pieces", [(1, 4), (2_000_000, 4), (2_500_001, 6), (727_200_000, 1455)])
+def test_shuffles_start_from_pieces_of_bounded_rows(spark, rows, pieces):
+    """200 pieces of the history of 7.2 million products were 3.6 million rows each."""
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        split_shuffles(spark, rows)
+        assert int(spark.conf.get(name)) == pieces
+        plan = part(spark, 9).groupBy("p_size").count()._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"hashpartitioning\(p_size#\d+, {pieces}\)", plan)
+    finally:
+        spark.conf.unset(name)
+
+
+def test_snapshots_shuffle_the_history_once(spark, capsys):
+    """The parent test and the means each shuffled it when neither side could be broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = tables(spark)
+        df = testdata.stock_health_snapshots(t.product_history, t.classifications, t.set_items)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", SCALE_CONF["spark.sql.autoBroadcastJoinThreshold"])
+    assert len(re.findall(r"REPARTITION_BY_COL", plan)) == 1
+    assert "hashpartitioning(coalesce(product_id" not in plan.split("REPARTITION_BY_COL")[0]
+
+
+@pytest.mark.parametrize("parents", [[], [2], [None], [2, None]])
+def test_snapshots_leave_out_parents_as_not_in_does(spark, parents):
+    """NOT IN keeps a row without a product only when no parent is listed, and repeats stay."""
+    t = tables(spark, product_history=[dict(product_id=k, stock_magento=s) for k in (None, 1, 2, 2, 3) for s in (1, 1, 0)],
+               set_items=[dict(parent_product_id=p) for p in parents])
+    got = testdata.stock_health_snapshots(t.product_history, t.classifications, t.set_items)
+    kept = [None, 1, 2, 2, 3] if not parents else [] if None in parents else [1, 3]
+    assert sorted((r.product_id or 0) for r in got.select(F.col("PRODUCT_ID").alias("product_id")).collect()) == sorted(2 * [k or 0 for k in kept])
