@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..conf import split_shuffles
 from ..functions.exprs import floor_nonpositive
-from ..operators.relational import class_wide, not_in_by_key
+from ..operators.relational import class_wide, merged, not_in_by_key
 from ..params import D42_IN_STOCK, TESTDATA_AS_OF, YEAR_IN_STOCK
 from .tables import Tables, conform
 
@@ -34,6 +34,7 @@ CLASS_THRESHOLDS = ((200, "A+"), (150, "A"), (100, "B"), (50, "C"))
 HISTORY_DAYS = 100
 ROWS_PER_TASK = 2_000_000    # of the generated history
 SUPPLIER_ROOM = 10_000_000   # above every supplier key
+BROADCAST_ROWS = 200_000     # of a table that the order lines look up
 
 
 def pick(index: Column, values) -> Column:
@@ -79,9 +80,15 @@ def _times(c: Column, factor: str) -> Column:
     return _dec(c * F.lit(factor).cast(f"decimal({len(factor) - 1},{digits})"), 18, 4)
 
 
+def looked_up(table: DataFrame) -> DataFrame:
+    """``table`` as a side of the order lines' joins. A job that needs little more than its
+    keys would broadcast millions of rows, which the driver builds in four times their size."""
+    return merged(table) if table.count() > BROADCAST_ROWS else table
+
+
 def order_lines(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
-    joined = (lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
-              .join(part, lineitem.l_partkey == part.p_partkey))
+    joined = (lineitem.join(looked_up(orders), lineitem.l_orderkey == orders.o_orderkey)
+              .join(looked_up(part), lineitem.l_partkey == part.p_partkey))
     key = F.col("l_orderkey") + F.col("l_linenumber")
     ex_vat = _dec(_dec(F.col("l_extendedprice"), 12, 2) * (F.lit(1) - _dec(F.col("l_discount"), 4, 2))
                   * F.lit("0.005").cast("decimal(3,3)"), 18, 4)

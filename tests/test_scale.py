@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,8 +12,11 @@ from pyspark.sql import functions as F
 from conftest import frame, tables
 from shelfwise.conf import SCALE_CONF, split_shuffles
 from shelfwise.operators.relational import not_in, not_in_by_key
-from shelfwise.plans import history
+from shelfwise import schemas
+from shelfwise.params import TESTDATA_PROFILE as PR
+from shelfwise.plans import history, replenishment
 from shelfwise.sources import testdata
+from shelfwise.sources.tables import Tables
 
 AS_OF = dt.date(2022, 3, 1)
 
@@ -118,3 +122,38 @@ def test_snapshots_leave_out_parents_as_not_in_does(spark, parents):
     got = testdata.stock_health_snapshots(t.product_history, t.classifications, t.set_items)
     kept = [None, 1, 2, 2, 3] if not parents else [] if None in parents else [1, 3]
     assert sorted((r.product_id or 0) for r in got.select(F.col("PRODUCT_ID").alias("product_id")).collect()) == sorted(2 * [k or 0 for k in kept])
+
+
+def one_of_each(spark):
+    """Tables of one row each, of a size that the optimizer knows; every value is 1."""
+    return Tables.from_frames(**{
+        name: spark.range(1, 2).select([
+            (F.timestamp_seconds("id") if f.dataType.typeName() in ("date", "timestamp", "timestamp_ntz") else F.col("id"))
+            .cast(f.dataType).alias(f.name) for f in schema.fields])
+        for name, schema in schemas.TABLES.items()})
+
+
+@pytest.mark.parametrize("options", [{}, {"exclude_black_friday": True}])
+def test_replenishment_lookups_by_product_are_not_broadcast(spark, options):
+    """About ten of them, each under the limit, met in the driver."""
+    df = replenishment.replenishment_list(one_of_each(spark), replace(PR.replenishment, **options))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"(?i)SortMergeJoin[^\n]*product_id", plan)) >= 9
+    assert not re.search(r"(?i)BroadcastHashJoin \[(coalesce\()?_?product_id", plan)
+
+
+def test_order_lines_do_not_broadcast_large_tables(spark, monkeypatch):
+    lineitem = spark.createDataFrame(
+        [(k, k % 3, 1, 2.0, 100.0, 0.1, "N") for k in range(6)],
+        "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+        "l_discount double, l_returnflag string")
+    orders = spark.createDataFrame([(k, k, "F", dt.datetime(2022, 1, 1)) for k in range(5)],
+                                   "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp")
+    parts = spark.createDataFrame([(k, "p", "Brand#1", "SMALL", k) for k in range(2)],
+                                  "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    small = testdata.order_lines(lineitem, orders, parts)
+    monkeypatch.setattr(testdata, "BROADCAST_ROWS", 1)
+    large = testdata.order_lines(lineitem, orders, parts)
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+    assert sorted(small.collect()) == sorted(large.collect()) and large.count() == 4
