@@ -157,3 +157,14 @@ def test_order_lines_do_not_broadcast_large_tables(spark, monkeypatch):
     plan = large._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
     assert sorted(small.collect()) == sorted(large.collect()) and large.count() == 4
+
+
+def test_out_of_stock_products_are_joined_apart_from_the_history(spark):
+    """One task sorted the products for all their joins and the history's rows."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = history.out_of_stock_base(one_of_each(spark), PR.out_of_stock)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", SCALE_CONF["spark.sql.autoBroadcastJoinThreshold"])
+    assert len(re.findall(r"hashpartitioning\(xxhash64\(_[ef]pid#\d+L, 42\), \d+\), REPARTITION_BY_COL", plan)) == 2
