@@ -88,41 +88,53 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, **options)
     shares = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}  # two rows
 
     def to_model(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([f for f in frames if len(f)] or [pd.DataFrame()], ignore_index=True)
-        if len(rows):
-            rows = rows.sort_values(["label", "bucket", "n"], kind="stable", ignore_index=True)
-            model = fit(rows, shares, **options)
+        label, size, bucket, n = [], [], [], []
+        for frame in frames:  # every batch's bags become a few arrays at once
+            label.append(frame["label"].to_numpy())
+            size.append(frame["bucket"].map(len).to_numpy(np.int64) // 4)
+            bucket.append(np.frombuffer(b"".join(frame["bucket"]), np.int32))
+            n.append(np.frombuffer(b"".join(frame["n"]), np.int32))
+        if sum(map(len, label)):
+            model = fit(*map(joined, (label, size, bucket, n)), shares, **options)
             yield pd.DataFrame({"top": [model.top.tobytes()], "weight": [model.weight.tobytes()],
                                 "bias": [model.bias], "pad": [model.pad]})
 
     found = (labelled_sample(docs, marked, per_class).mapInPandas(to_bags, "label int, bucket binary, n binary")
-             .repartition(1).mapInPandas(to_model, "top binary, weight binary, bias double, pad double").collect())
+             .repartition(1).sortWithinPartitions("label", "bucket", "n")
+             .mapInPandas(to_model, "top binary, weight binary, bias double, pad double").collect())
     if not found:
         return ToxicityModel(np.zeros(1 << BITS, np.float32), np.ones(1 << BITS, np.float32), -np.inf)
     return ToxicityModel(np.frombuffer(found[0]["top"], np.float32), np.frombuffer(found[0]["weight"], np.float32),
                          found[0]["bias"], found[0]["pad"])
 
 
-def fit(rows: pd.DataFrame, shares: dict[int, int], dim: int = 8, epochs: int = 10, steps: int = 400, batch: int = 64,
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The arrays as one; the list is emptied, so that they are not held twice."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
+def fit(label: np.ndarray, size: np.ndarray, bucket: np.ndarray, count: np.ndarray, shares: dict[int, int], dim: int = 8, epochs: int = 10, steps: int = 400, batch: int = 64,
         rate: float = 0.5, smooth: float = 1e-4, pad: float = 10.0, least: int = 3, seed: int = 7) -> ToxicityModel:
-    """Train table and softmax jointly on bags (label, bucket, n), ``epochs`` times and for
-    ``steps`` batches at least; ``shares`` counts the labelled rows of each class."""
-    label = rows["label"].to_numpy()
-    bucket = [np.frombuffer(x, np.int32) for x in rows["bucket"]]
-    count = [np.frombuffer(x, np.int32) for x in rows["n"]]
-    del rows
+    """Train table and softmax jointly on bags, ``epochs`` times and for ``steps`` batches at
+    least: bag i has ``label[i]`` and the next ``size[i]`` entries of ``bucket`` and ``count``,
+    which are overwritten. ``shares`` counts the labelled rows of each class."""
+    ends = np.cumsum(size)
     total, in_docs = np.zeros(1 << BITS), np.zeros(1 << BITS, np.int64)
-    for b, c in zip(bucket, count):
-        total[b] += c
-        in_docs[b] += 1
+    for lo, hi in zip((ends - size).tolist(), ends.tolist()):
+        total[bucket[lo:hi]] += count[lo:hi]
+        in_docs[bucket[lo:hi]] += 1
     weight = (smooth / (smooth + total / max(1.0, total.sum())) * (in_docs >= least)).astype(np.float32)
-    share = []
-    for i, (b, c) in enumerate(zip(bucket, count)):
+    share, edge = count.view(np.float32), [0]  # in the counts' place
+    for lo, hi in zip((ends - size).tolist(), ends.tolist()):
+        b = bucket[lo:hi]
         kept = weight[b] > 0
-        w = weight[b[kept]] * c[kept].astype(np.float32)
-        bucket[i] = b[kept]
-        share.append(w / (w.sum() + np.float32(pad)))
-    del count
+        b = b[kept]
+        w = weight[b] * count[lo:hi][kept].astype(np.float32)
+        edge.append(edge[-1] + len(b))
+        bucket[edge[-2]:edge[-1]], share[edge[-2]:edge[-1]] = b, w / (w.sum() + np.float32(pad))
+    edge = np.array(edge)
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (dim, 1 << BITS)).astype(np.float32)
     out = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
@@ -132,9 +144,9 @@ def fit(rows: pd.DataFrame, shares: dict[int, int], dim: int = 8, epochs: int =
         order = rng.permutation(len(label))
         for at in range(0, len(order), batch):
             ids = order[at:at + batch]
-            at_bucket = np.concatenate([bucket[i] for i in ids])
-            a = np.concatenate([share[i] for i in ids]).astype(np.float32)
-            sizes = np.array([len(bucket[i]) for i in ids])
+            at_bucket = np.concatenate([bucket[edge[i]:edge[i + 1]] for i in ids])
+            a = np.concatenate([share[edge[i]:edge[i + 1]] for i in ids])
+            sizes = edge[ids + 1] - edge[ids]
             row = np.repeat(np.arange(len(ids)), sizes)
             doc = np.stack([np.bincount(row, emb[d][at_bucket] * a, len(ids)) for d in range(dim)], axis=1)
             logits = doc @ out + bias

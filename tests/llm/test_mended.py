@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -210,3 +211,19 @@ def test_language_model_learns_from_every_training_row(spark, monkeypatch):
     assert np.allclose(weights, want_weights, atol=2e-4) and np.allclose(refine, want_refine, atol=2e-3)
     for count in (lm.slopes, lm.cell_counts):  # counting a run n times is the same as repeating it
         assert np.allclose(count(left, weights, key, n), count(left, weights, np.repeat(key, n), np.ones(n.sum(), np.int64)))
+
+
+def test_toxicity_training_holds_its_bags_once():
+    """The caller's frame kept every bag while the filtered copies were trained on."""
+    rng = np.random.default_rng(5)
+    size = rng.integers(1, 4000, 3000)
+    bucket, count = (rng.integers(1, high, size.sum()).astype(np.int32) for high in (1 << toxicity.BITS, 5))
+    label = np.arange(3000) % 2
+    args = (label, size, bucket.copy(), count.copy())
+    tracemalloc.start()
+    model = toxicity.fit(*args, {0: 1500, 1: 1500}, epochs=1, steps=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < bucket.nbytes + count.nbytes  # the copies alone were as much
+    kept = np.bincount(bucket, minlength=1 << toxicity.BITS) > 0
+    assert not model.weight[~kept].any() and np.abs(model.top).sum() > 0
