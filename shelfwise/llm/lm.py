@@ -41,7 +41,7 @@ from shelfwise.llm.common import WordHasher, fold, stored, table, word_blocks
 ORDERS = (1, 2, 3, 4, 6)
 SPAN = max(ORDERS) + 1  # bytes in a run: the context and the byte it precedes
 TABLE_BITS = 21
-CACHE_BITS = 20
+CACHE_BITS = 22
 STEP = 8.0  # a table entry is the log odds in steps of 1 / STEP
 END = b"\n"
 END_WORD = 0
@@ -77,17 +77,31 @@ def order_hashes(key: np.ndarray) -> list[np.ndarray]:
 
 def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Table slot of (context hash, bits of the byte so far)."""
-    mixed = (context ^ (context >> np.uint64(29))) + node * M3
-    mixed = (mixed ^ (mixed >> np.uint64(31))) * M2
-    return (mixed >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    return slots_after(context ^ (context >> np.uint64(29)), node)
+
+
+def slots_after(stirred: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """``slots`` for what it makes of the context hash alone, the same for every node."""
+    mixed = stirred + node * M3
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= M2
+    mixed >>= np.uint64(64 - TABLE_BITS)
+    return mixed.view(np.int64)
+
+
+def stirred_contexts(key: np.ndarray) -> np.ndarray:
+    """(order, run): the context hashes of every order, ready for ``slots_after``."""
+    out = np.stack(order_hashes(key))
+    out ^= out >> np.uint64(29)
+    return out
 
 
 class Tally:
     """Distinct numbers and how often each was added. Whenever more than ``most`` are held
-    they are merged; if that does not halve them, ``add`` gives them out and starts anew,
-    so that memory does not grow with the task's input."""
+    they are merged; if more than three quarters of that are left, ``add`` gives them out
+    and starts anew, so that memory does not grow with the task's input."""
 
-    def __init__(self, most: int = 1 << 20):
+    def __init__(self, most: int = 1 << 21):
         self.keys, self.counts, self.held, self.most = [], [], 0, most
 
     def add(self, values: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -97,12 +111,12 @@ class Tally:
         self.held += len(key)
         if self.held > self.most:
             self.merge()
-            if self.held > self.most // 2:
+            if self.held > self.most * 3 // 4:
                 yield from self.given_out()
 
     def merge(self) -> None:
         key = np.concatenate(self.keys)
-        order = np.argsort(key)
+        order = np.argsort(key, kind="stable")  # merges the sorted pieces
         key = key[order]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         count = np.add.reduceat(np.concatenate(self.counts)[order], first)
@@ -194,20 +208,23 @@ def slot_odds(counted: DataFrame, less: list[tuple[int, int]]) -> np.ndarray:
     return out.reshape(len(less), len(ORDERS), -1)
 
 
-def inputs(odds: np.ndarray, hashes: list[np.ndarray], node: np.ndarray, bit: int,
+def inputs(odds: np.ndarray, contexts: np.ndarray, node: np.ndarray, bit: int,
            one: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(log odds of every predictor and a constant, weight set) of one decision. With ``one``,
     the bits decided, ``odds`` holds the tables without a zero and without a one."""
+    place = slots_after(contexts, node)
+    place += np.arange(len(ORDERS))[:, None] << TABLE_BITS
+    if one is not None:
+        place += one * (len(ORDERS) << TABLE_BITS)
+    found = odds.reshape(-1).take(place)
     x = np.empty((len(node), len(ORDERS) + 1), np.float32)
-    longest = np.zeros(len(node), np.int64)
-    for o, context in enumerate(hashes):
-        place = slots(context, node)
-        found = odds[o][place] if one is None else odds[one, o, place]
-        x[:, o] = found
-        longest[found != 0] = o + 1
+    x[:, :-1] = found.T
     x[:, -1] = 0.3 * STEP
     x *= 1 / STEP
-    return x, longest * 8 + bit
+    gate = np.full(len(node), bit)
+    for o in range(len(ORDERS)):
+        np.copyto(gate, 8 * (o + 1) + bit, where=found[o] != 0)
+    return x, gate
 
 
 def cells(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +237,9 @@ def cells(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def refined(chance: np.ndarray, logit: np.ndarray, before: np.ndarray, refine: np.ndarray) -> np.ndarray:
     """The mixer's probability averaged with the adaptive map's."""
     low, up = cells(logit)
-    return 0.5 * chance + 0.5 * (refine[before, low] * (1 - up) + refine[before, low + 1] * up)
+    low += before * refine.shape[1]
+    refine = refine.reshape(-1)
+    return 0.5 * chance + 0.5 * (refine.take(low) * (1 - up) + refine.take(low + 1) * up)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -230,11 +249,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def decisions(left: np.ndarray, weights: np.ndarray, key: np.ndarray
               ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(inputs, weight set, mixed log odds, bit) of the runs' eight decisions."""
-    byte, hashes = key & np.uint64(255), order_hashes(key)
+    byte, contexts = key & np.uint64(255), stirred_contexts(key)
     for bit in range(8):
         one = ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.int64)
-        x, gate = inputs(left, hashes, (byte | np.uint64(256)) >> np.uint64(8 - bit), bit, one)
-        yield x, gate, np.einsum("ij,ij->i", x, weights[gate]), one
+        x, gate = inputs(left, contexts, (byte | np.uint64(256)) >> np.uint64(8 - bit), bit, one)
+        yield x, gate, np.einsum("ij,ij->i", x, weights.take(gate, axis=0)), one
 
 
 def slopes(left: np.ndarray, weights: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -243,10 +262,11 @@ def slopes(left: np.ndarray, weights: np.ndarray, key: np.ndarray, n: np.ndarray
     for x, gate, logit, one in decisions(left, weights, key):
         chance = sigmoid(logit)
         err, curve = n * (one - chance), n * chance * (1 - chance)
-        for i in range(INPUTS):
-            out[:, i, -1] += np.bincount(gate, err * x[:, i], SETS)
-            for j in range(i + 1):
-                out[:, i, j] += np.bincount(gate, curve * x[:, i] * x[:, j], SETS)
+        for g in np.flatnonzero(np.bincount(gate, minlength=SETS)):
+            of = np.flatnonzero(gate == g)
+            mine = x.take(of, axis=0).astype(np.float64)
+            out[g, :, :-1] += mine.T @ (mine * curve[of, None])
+            out[g, :, -1] += mine.T @ err[of]
     return out.ravel()
 
 
@@ -315,30 +335,30 @@ class Scorer:
 
     def __init__(self, odds: np.ndarray, weights: np.ndarray, refine: np.ndarray):
         self.odds, self.weights, self.refine = odds, weights, refine
-        self.keys = np.zeros(1 << CACHE_BITS, np.uint64)
+        self.keys = np.full(1 << CACHE_BITS, ~np.uint64(0))  # no run: a run has seven bytes
         self.values = np.zeros(1 << CACHE_BITS)
 
     def evaluate(self, key: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(key))
+        out = np.ones(len(key))  # eight factors of 5e-6 or more: no underflow
         byte, before = key & np.uint64(255), ((key >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
-        hashes = order_hashes(key)
+        contexts = stirred_contexts(key)
         for bit in range(8):
             node = (byte | np.uint64(256)) >> np.uint64(8 - bit)
-            x, gate = inputs(self.odds, hashes, node, bit)
-            logit = np.einsum("ij,ij->i", x, self.weights[gate])
+            x, gate = inputs(self.odds, contexts, node, bit)
+            logit = np.einsum("ij,ij->i", x, self.weights.take(gate, axis=0))
             chance = refined(sigmoid(logit), logit, before, self.refine)
-            out += np.log10(np.where((byte >> np.uint64(7 - bit)) & np.uint64(1), chance, 1 - chance))
-        return out
+            out *= np.where((byte >> np.uint64(7 - bit)) & np.uint64(1), chance, 1 - chance)
+        return np.log10(out)
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
-        at = ((key * M1) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-        out = self.values[at]
-        missing = np.flatnonzero(self.keys[at] != key)
+        at = ((key * M1) >> np.uint64(64 - CACHE_BITS)).view(np.int64)
+        out = self.values.take(at)
+        missing = np.flatnonzero(self.keys.take(at) != key)
         if len(missing):
             new, place = np.unique(key[missing], return_inverse=True)
-            value = np.concatenate([self.evaluate(new[i:i + 32768]) for i in range(0, len(new), 32768)])
+            value = np.concatenate([self.evaluate(new[i:i + 16384]) for i in range(0, len(new), 16384)])
             out[missing] = value[place]
-            where = ((new * M1) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+            where = ((new * M1) >> np.uint64(64 - CACHE_BITS)).view(np.int64)
             kept = np.unique(where, return_index=True)[1]  # one key a slot
             self.keys[where[kept]], self.values[where[kept]] = new[kept], value[kept]
         return out

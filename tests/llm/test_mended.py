@@ -10,6 +10,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +228,57 @@ def test_toxicity_training_holds_its_bags_once():
     assert peak < bucket.nbytes + count.nbytes  # the copies alone were as much
     kept = np.bincount(bucket, minlength=1 << toxicity.BITS) > 0
     assert not model.weight[~kept].any() and np.abs(model.top).sum() > 0
+
+
+def test_language_model_evaluates_frequent_runs_once():
+    """A task met 1.5 million distinct runs again and again; a cache of 2**20 forgot most of them."""
+    odds = np.zeros((len(lm.ORDERS), 1 << lm.TABLE_BITS), np.int8)
+    scorer = lm.Scorer(odds, *lm.fit(odds, ["a text"]))
+    asked = []
+    scorer.evaluate = lambda key: asked.append(len(key)) or key.astype(np.float64)
+    key = np.random.default_rng(3).integers(0, 1 << 56, 1_500_000).astype(np.uint64)
+    for _ in range(2):
+        assert np.array_equal(np.concatenate([scorer(k) for k in np.split(key, 10)]), key.astype(np.float64))
+    assert sum(asked) < 2_000_000
+
+
+def test_run_of_zero_bytes_is_no_empty_cache_slot():
+    odds = np.zeros((len(lm.ORDERS), 1 << lm.TABLE_BITS), np.int8)
+    scorer = lm.Scorer(odds, *lm.fit(odds, ["a text"]))
+    zero = np.zeros(1, np.uint64)
+    assert scorer(zero)[0] == scorer.evaluate(zero)[0] < 0
+
+
+def test_tally_gives_out_few_rows_more_than_it_has_numbers():
+    """Pieces that share most of their numbers were given out each by itself."""
+    rng = np.random.default_rng(4)
+    pieces = [rng.integers(0, 1 << 20, 400_000).astype(np.uint64) for _ in range(12)]
+    tally = lm.Tally()
+    rows = pd.concat([f for p in pieces for f in tally.add(p)] + list(tally.given_out()))
+    key, n = np.unique(np.concatenate(pieces), return_counts=True)
+    assert len(rows) < 2 * len(key)
+    assert rows.groupby("key")["n"].sum().to_dict() == dict(zip(key.tolist(), n.tolist()))
+
+
+def test_slopes_against_plain_sums(monkeypatch):
+    monkeypatch.setattr(lm, "TABLE_BITS", 12)
+    rng = np.random.default_rng(6)
+    left = rng.integers(-20, 20, (2, len(lm.ORDERS), 1 << 12)).astype(np.int8) * (rng.random((2, len(lm.ORDERS), 1 << 12)) < 0.6)
+    left = left.astype(np.int8)
+    weights = rng.normal(0.3, 0.2, (lm.SETS, lm.INPUTS)).astype(np.float32)
+    key, n = rng.integers(0, 1 << 56, 500).astype(np.uint64), rng.integers(1, 9, 500)
+    want = np.zeros((lm.SETS, lm.INPUTS, lm.INPUTS + 1))
+    for k, times in zip(key, n):
+        byte = int(k) & 255
+        for bit in range(8):
+            node, one = (byte | 256) >> 8 - bit, byte >> 7 - bit & 1
+            x, longest = [], 0
+            for o, context in enumerate(lm.order_hashes(np.array([k]))):
+                odds = int(left[one, o, lm.slots(context, np.array([node], np.uint64))[0]])
+                x, longest = x + [odds / lm.STEP], o + 1 if odds else longest
+            x = np.array(x + [0.3])
+            chance = 1 / (1 + np.exp(-(x @ weights[longest * 8 + bit])))
+            want[longest * 8 + bit, :, :-1] += times * chance * (1 - chance) * np.outer(x, x)
+            want[longest * 8 + bit, :, -1] += times * (one - chance) * x
+    got = lm.slopes(left, weights, key, n).reshape(want.shape)
+    assert np.allclose(np.tril(got[:, :, :-1]), np.tril(want[:, :, :-1]), atol=1e-4) and np.allclose(got[:, :, -1], want[:, :, -1], atol=1e-4)
