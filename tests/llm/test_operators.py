@@ -117,6 +117,34 @@ def test_exact_substrings_of_a_hot_passage_do_not_meet_in_a_task(spark, monkeypa
     assert max(met, default=0) <= 4
 
 
+def test_hot_passages_in_blocks_against_brute_force(spark, monkeypatch):
+    """Neighbours that agree for some bytes on either side, copies, texts that begin or end in
+    the passage; a row for every string was made before."""
+    rng = random.Random(21)
+    shared = prose(rng, 120)[:500]
+    left, right = (["".join(rng.choice("abc ") for _ in range(140)) for _ in range(4)] for _ in range(2))
+    texts = []
+    for _ in range(140):
+        a, b, n = rng.randint(0, 140), rng.randint(0, 140), rng.choice([280, 300, 380, 400, 430])
+        begin = rng.randint(0, 60)
+        texts.append(prose(rng, rng.choice([0, 20])) + rng.choice(left)[140 - a:] + shared[begin:begin + n]
+                     + rng.choice(right)[:b] + prose(rng, rng.choice([0, 20])))
+    texts += texts[:9] + [texts[0] + texts[1], shared * 2]
+    made, widths, cut = [], [], exact_substrings.blocks_of
+
+    def counted(hot, width):
+        made.append((cut(hot, width).count(), hot.count()))
+        widths.append(width)
+        return cut(hot, width)
+
+    monkeypatch.setattr(exact_substrings, "BATCH_SEGMENTS", 3)
+    monkeypatch.setattr(exact_substrings, "blocks_of", counted)
+    got = exact_substrings.without_repeats(documents(spark, texts)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == dict(enumerate(kept_bytes(texts)))
+    assert widths[:2] == [32, 8] and widths[-1] <= 2
+    assert all(0 < rows <= 4 * segments for rows, segments in made)
+
+
 # --- op4 -----------------------------------------------------------------------------
 
 KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
