@@ -412,3 +412,84 @@ def test_search_against_brute_force(spark, monkeypatch):
         got = sorted(rows.get(q, []))
         assert [d for _, d, _ in got] == best
         assert np.allclose([s for _, _, s in got], [score[d] for d in best], atol=1e-8)
+
+
+def shard_rows(texts, per_row):
+    """Index rows as their tasks read them, the documents numbered from 0."""
+    hashes = list(search.hashed_texts(texts))
+    rows = [search.build_shard(list(range(a, min(a + per_row, len(texts)))), hashes[a:a + per_row])
+            for a in range(0, len(texts), per_row)]
+    return hashes, [[row[c] for c in search.COLUMNS] for row in rows]
+
+
+def tiled_search(texts, asked, k, per_row=40, together=2, passes=1):
+    """(ids, scores, floors, documents evaluated in each pass) of the tiles of all rows; each
+    pass starts with the floors that the one before found."""
+    hashes, rows = shard_rows(texts, per_row)
+    lists = [np.unique(hashes[q]) for q in asked]
+    vocabulary, term_of = np.unique(np.concatenate(lists), return_inverse=True)
+    df = np.bincount(np.searchsorted(vocabulary, np.concatenate(
+        [u[np.isin(u, vocabulary)] for u in map(np.unique, hashes)])), minlength=len(vocabulary))
+    mean, n = max(1e-9, sum(map(len, hashes)) / len(texts)), len(texts)
+    edges = np.cumsum([0, *map(len, lists)])
+    lists = np.split(term_of.astype(np.int32), edges[1:-1])
+    groups, idf = search.Groups(lists, df, n), np.log(1 + (n - df + 0.5) / (df + 0.5))
+    floor, evaluated = np.zeros(len(asked)), []
+    for _ in range(passes):
+        best, done = search.Best(edges, np.concatenate(lists), len(vocabulary), k, floor), []
+        for a in range(0, len(rows), together):
+            held = [search.asked_postings(row, vocabulary) for row in rows[a:a + together]]
+            for tile in search.tiles(held, mean, idf, groups):
+                full = tile.evaluate
+                tile.evaluate = lambda mark, docs, full=full: (done.append(len(docs)), full(mark, docs))[1]
+                best.take(tile)
+        floor = np.maximum(floor, best.scores[:, -1])
+        evaluated.append(sum(done))
+    return best.ids, best.scores, evaluated
+
+
+def bm25_best(texts, q, k):
+    bags = [collections.Counter(words(t)) for t in texts]
+    size = [sum(b.values()) for b in bags]
+    mean, n = sum(size) / len(size), len(size)
+    df = collections.Counter(w for b in bags for w in b)
+    score = {d: round(sum(math.log(1 + (n - df[w] + .5) / (df[w] + .5)) * b[w] * 2.2
+                          / (b[w] + 1.2 * (.25 + .75 * size[d] / mean)) for w in bags[q] if w in b), 9)
+             for d, b in enumerate(bags)}
+    return sorted(((-s, d) for d, s in score.items() if s > 0))[:k]
+
+
+@pytest.mark.parametrize("tile_docs, cells, dense", [(4096, 1 << 18, 0.06), (16, 64, 0.3), (7, 1, 1e9), (50, 999, 0.0)])
+def test_search_tiles_against_brute_force(monkeypatch, tile_docs, cells, dense):
+    for name, value in (("TILE_DOCS", tile_docs), ("CELLS", cells), ("DENSE", dense), ("PIECE", 100)):
+        monkeypatch.setattr(search, name, value)
+    rng = random.Random(5)
+    tongues = [[prose(rng, 1) + str(t) for _ in range(150)] for t in range(3)]
+    texts = [" ".join(rng.choice(tongues[i % 3][:rng.choice([8, 150])]) for _ in range(rng.randint(1, 60)))
+             for i in range(200)]
+    texts += texts[:30] + ["", None, "  "] + texts[:5] + ODD_TEXTS
+    asked = [q for q in range(0, len(texts), 4) if words(texts[q])]
+    ids, scores, _ = tiled_search(texts, asked, k=6, passes=2)
+    for i, q in enumerate(asked):
+        best = bm25_best(texts, q, 6)
+        found = scores[i] >= 0
+        assert ids[i][found].tolist() == [d for _, d in best]
+        assert np.allclose(scores[i][found], [-s for s, _ in best], atol=1e-8)
+
+
+def test_search_evaluates_few_documents_once_the_best_are_known():
+    """Frequent words alone open no document: with the floors of a first part of the index
+    each query looks in full at little more than its k best, however many rows there are."""
+    rng = random.Random(6)
+    common, rare = [prose(rng, 1) + "c" for _ in range(40)], [f"r{i}" for i in range(4000)]
+    texts = [" ".join(rng.choices(common, k=40) + rng.choices(rare, k=20)) for _ in range(1000)]
+    asked = range(0, 1000, 50)
+    _, _, (first, second) = tiled_search(texts, asked, k=3, per_row=50, together=1, passes=2)
+    assert second <= 2 * 3 * len(asked) < first
+
+
+def test_search_with_blocks_that_hold_no_query(spark):
+    """One long query makes several blocks, and its hash leaves all others empty."""
+    docs = documents(spark, ["a b c d e f g h", "a b", "c"])
+    found = search.search(search.build_index(docs), docs.where("doc_id = 0"), k=2, block_terms=2).collect()
+    assert sorted((r["rank"], r.doc_id) for r in found) == [(1, 0), (2, 1)]
